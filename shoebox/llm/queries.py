@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality_rules
+from . import decontamination, licenses, mixing, near_dedup, pii, quality_classifier, quality_rules, token_store, url_filters, warc
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
     "op2_licenses": licenses.op2_licenses,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_pii": pii.op4_pii,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_token_store": token_store.op7_token_store,
+    "op8_warc": warc.op8_warc,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op1_url_filters": url_filters.ORACLE,
     "op2_licenses": licenses.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
 }
