@@ -77,7 +77,7 @@ def black_intervals(log: Column) -> Column:
     """Intervals of a blackdetect log with end after start, by start."""
     starts, ends = (F.regexp_extract_all(log, F.lit(r"black_start:\s*(-?[\d.]+)\s+black_end:\s*(-?[\d.]+)"), F.lit(g)) for g in (1, 2))
     pairs = F.arrays_zip(F.transform(starts, leading_number).alias("s"), F.transform(ends, leading_number).alias("e"))
-    named = F.transform(pairs, lambda p: F.struct(p["0"].alias("start"), p["1"].alias("end")))
+    named = F.transform(pairs, lambda p: F.struct(p["s"].alias("start"), p["e"].alias("end")))
     return F.array_sort(F.filter(named, lambda p: p["end"] > p["start"]))
 
 

@@ -139,3 +139,21 @@ def current_round(selections: DataFrame, trip, round_: int) -> DataFrame:
     """selections in which one round of a trip is current, and no other of it."""
     mine = (F.col("trip_id") == F.lit(trip)) & (F.col("selection_round") > 0)
     return selections.withColumn("is_current", F.when(mine, F.col("selection_round") == round_).otherwise(F.col("is_current")))
+
+
+def pinned_covers(trips: DataFrame, pins: DataFrame, resets: DataFrame) -> DataFrame:
+    """trips after users pinned covers (id, media_id) or took their pins back (id)."""
+    p = pins.select("id", F.col("media_id").alias("__pin")).withColumn("__pinned", F.lit(True))
+    r = resets.select("id").withColumn("__reset", F.lit(True))
+    out = trips.join(p, "id", "left").join(r, "id", "left")
+    cover = F.when(F.col("__pinned"), F.col("__pin")).when(F.col("__reset").isNull(), F.col("cover_media_id"))
+    flag = F.when(F.col("__pinned"), True).when(F.col("__reset"), False).otherwise(F.col("cover_set_by_user"))
+    return out.withColumn("cover_set_by_user", flag).withColumn("cover_media_id", cover).select(*trips.columns)
+
+
+def decided_once(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """rows with users' decisions (id, decision) and outcome: applied, already_applied, or not_asked."""
+    d = decisions.select("id", F.col("decision").alias("__d"))
+    out = rows.join(d, "id", "left")
+    outcome = F.when(F.col("__d").isNull(), "not_asked").when(F.col("user_decision").eqNullSafe(F.col("__d")), "already_applied").otherwise("applied")
+    return out.withColumn("outcome", outcome).withColumn("user_decision", F.coalesce("__d", "user_decision")).drop("__d")

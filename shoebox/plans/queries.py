@@ -687,3 +687,127 @@ def s8_s9_k14_k15_uploads(get):
     head = F.when(k % 5 == 1, mp4).when(k % 5 == 2, none).otherwise(jpeg)
     u = S.upload_outcome(pick(7, "x.jpg", "clip.MP4", "", "a.png", "b.txt", "noext", "c.jpeg"), pick(4, "video/mp4", "image/jpeg", None, None), head, F.lit(10), F.when(k % 31 == 0, "e"), k % 29 == 0)
     return get("documents").select(u.alias("u")).groupBy("u.outcome", "u.type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- further writes, functions and lists -------------------------------------------------------------
+@query("SELECT id, CASE WHEN deleted_at IS NULL THEN 100 ELSE width END AS width, deleted_at IS NULL AS changed FROM media WHERE id % 2 = 0")
+def x13_guarded_write(get):
+    m = get("media").where("id % 2 = 0")
+    return filters.rewritten(m, F.col("deleted_at").isNull(), width=F.lit(100).cast("long")).select("id", "width", F.col("__changed").alias("changed"))
+
+
+@query("SELECT id, CASE id % 4 WHEN 0 THEN id * 4 WHEN 1 THEN NULL ELSE cover_media_id END AS cover_media_id, CASE id % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE cover_set_by_user END AS cover_set_by_user FROM trips")
+def x14_pin_and_reset_cover(get):
+    t = get("trips")
+    pins = t.where("id % 4 = 0").select("id", (F.col("id") * 4).alias("media_id"))
+    return merge.pinned_covers(t, pins, t.where("id % 4 = 1").select("id")).select("id", "cover_media_id", "cover_set_by_user")
+
+
+@query("SELECT id, CASE WHEN id % 4 = 1 THEN 'keep' ELSE user_decision END AS user_decision, CASE WHEN id % 4 <> 1 THEN 'not_asked' WHEN user_decision = 'keep' THEN 'already_applied' ELSE 'applied' END AS outcome FROM segments")
+def x15_segment_decision(get):
+    s = get("segments")
+    return merge.decided_once(s, s.where("id % 4 = 1").select("id", F.lit("keep").alias("decision"))).select("id", "user_decision", "outcome")
+
+
+@query(f"WITH {_SES}, sizes AS (SELECT trip_id, group_index, count(*) AS k FROM s GROUP BY trip_id, group_index) SELECT z.trip_id, z.group_index, k AS member_count, t.id IS NOT NULL AS trip_known FROM sizes z LEFT JOIN trips t ON t.id = z.trip_id")
+def x17_scene_rows(get):
+    groups = scenes.summaries(scenes.sessions(get("points"), gap=_GAP))
+    known = get("trips").select(F.col("id").alias("trip_id"), F.lit(True).alias("trip_known"))
+    return groups.join(known, "trip_id", "left").select("trip_id", "group_index", "member_count", F.coalesce("trip_known", F.lit(False)).alias("trip_known"))
+
+
+@query("SELECT id, CASE WHEN status IN ('failed', 'cancelled') THEN 'pending' ELSE status END AS status, CASE WHEN status IN ('failed', 'cancelled') THEN 0 ELSE retry_count END AS retry_count FROM jobs")
+def x19_reset_jobs(get):
+    jobs = get("jobs").withColumn("retry_count", F.col("retry_count").cast("int"))
+    return filters.rewritten(jobs, F.col("status").isin("failed", "cancelled"), retry_count=F.lit(0), status=F.lit("pending")).select("id", "status", "retry_count")
+
+
+@query("SELECT id FROM jobs WHERE status = 'running' ORDER BY started_at NULLS FIRST, id LIMIT 30")
+def o7_zombie_order(get):
+    return get("jobs").where("status = 'running'").orderBy(F.asc_nulls_first("started_at"), "id").limit(30).select("id")
+
+
+@query("SELECT media_id, string_agg(version_type, ',' ORDER BY version_type) AS types FROM versions GROUP BY media_id")
+def o8_versions_by_type(get):
+    return get("versions").groupBy("media_id").agg(F.array_join(F.array_sort(F.collect_list("version_type")), ",").alias("types"))
+
+
+@query("""WITH v AS (SELECT user_id AS id, max(ts) AS up, min(ts) AS cur FROM events GROUP BY user_id) SELECT id FROM v WHERE up <= TIMESTAMP '2030-01-01 00:00:00' - INTERVAL 600 SECOND AND up > cur""")
+def q10_idle_trips(get):
+    t = get("events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_upload_at"), F.min("ts").alias("last_curation_at"))
+    return scenes.idle_trips(t, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")).select("id")
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS forced FROM events")
+def q12_payload_flags(get):
+    k = F.col("event_id") % 3
+    payload = F.when(k == 0, '{"force": true}').when(k == 1, '{"force": "true"}').otherwise("{broken")
+    return get("events").select("event_id", T.forced(payload).alias("forced"))
+
+
+@query("SELECT page_id, concat('trips/t', CAST(page_id % 7 AS STRING), '/originals/', CAST(page_id AS STRING), '.jpg') AS path, 'image/jpeg' AS mime, NULL::VARCHAR AS climbing FROM pages")
+def s7_s15_paths(get):
+    p = get("pages")
+    path = T.original_path(F.concat(F.lit("t"), F.col("page_id") % 7), F.col("page_id").cast("string"), F.lit("jpg"))
+    return p.select("page_id", path.alias("path"), T.served_mime(path).alias("mime"), T.served_mime(F.concat(F.lit("trips/../"), path)).alias("climbing"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '2024-05-06 07:08:09' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS captured FROM events")
+def k13_captured_at(get):
+    k = F.col("event_id") % 3
+    meta = F.when(k == 0, '{"DateTimeOriginal":"2024-05-06T07:08:09"}').when(k == 1, '{"DateTimeOriginal":"never"}').otherwise("{broken")
+    return get("events").select("event_id", F.date_format(M.captured_at(meta, F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("captured"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'wav' WHEN 2 THEN 'm4a' END AS ext FROM documents")
+def k18_audio_extension(get):
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, "Song.MP3").when(k == 1, "dir/no.txt").otherwise("plain")
+    mime = F.when(k == 1, "audio/X-WAV").when(k == 2, "audio/mp4").otherwise("text/plain")
+    return get("documents").select("doc_id", T.audio_extension(name, mime).alias("ext"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN a > 255 OR a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) THEN true ELSE false END AS blocked
+FROM (SELECT o_orderkey, o_orderkey % 260 AS a, o_custkey % 256 AS b FROM orders)""")
+def k19_blocked_addresses(get):
+    ip = F.concat_ws(".", F.col("o_orderkey") % 260, F.col("o_custkey") % 256, F.lit(3), F.lit(4))
+    return get("orders").select(F.col("o_orderkey").alias("id"), T.blocked_ip(ip).alias("blocked"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 < 5 THEN 2 ELSE 1 END AS n, CAST(0 AS DOUBLE) AS first FROM orders")
+def k20_black_intervals(get):
+    k = F.col("o_custkey") % 10
+    log = F.concat(F.lit("[x] black_start:4 black_end:"), (4 + F.when(k < 5, 1).otherwise(0)).cast("string"), F.lit(" black_duration:1\n[x] black_start:0 black_end:1.5 black_duration:1.5"))
+    found = T.black_intervals(log)
+    return get("orders").select(F.col("o_orderkey").alias("id"), F.size(found).alias("n"), found[0]["start"].alias("first"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS number, CASE WHEN l_linenumber > 1 THEN round(l_quantity / (l_linenumber - 1), 9) END AS ratio FROM lineitem")
+def k21_number_parsers(get):
+    q, n = F.col("l_quantity").cast("string"), F.col("l_linenumber")
+    return get("lineitem").select(F.col("l_orderkey").alias("k"), n.alias("n"), numeric.leading_number(F.concat(q, F.lit(" fps"))).alias("number"), F.round(numeric.rational(F.concat(q, F.lit("/"), n - 1)), 9).alias("ratio"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'sharp' END AS blur_class, CASE WHEN doc_id % 4 = 0 THEN 'trip' END AS scope FROM documents")
+def k30_k31_answers(get):
+    k = F.col("doc_id")
+    answer = F.when(k % 3 == 0, '{"blurClass":"sharp","reason":"ok"}').when(k % 3 == 1, '{"blurClass":"odd","reason":"ok"}').otherwise('{"blurClass":"sharp","reason":""}')
+    payload = F.when(k % 4 == 0, '{"scope":"trip","tripId":"7"}').when(k % 4 == 1, '{"scope":"trip"}').when(k % 4 == 2, '{"scope":"group","tripId":"7"}').otherwise("{broken")
+    return get("documents").select("doc_id", M.blur_verdict(answer)["blurClass"].alias("blur_class"), T.selector_scope(payload)["scope"].alias("scope"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('afade=t=in:st=0:d=', CAST(o_orderkey % 3 AS STRING)) END AS fade, concat('atrim=start=0:end=', CAST(1 + o_orderkey % 9 AS STRING), ',asetpts=PTS-STARTPTS') AS trim FROM orders")
+def k28_filters(get):
+    k = F.col("o_orderkey")
+    return get("orders").select(k.alias("id"), T.fade_filter(k % 3, F.lit(0), F.lit(9)).alias("fade"), T.trim_filter(F.lit(0), 1 + k % 9, F.lit(None).cast("int")).alias("trim"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS k, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, k LIMIT 20")
+def o8_largest_keys(get):
+    return get("lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(20)
+
+
+@query("""WITH v AS (SELECT id, quality_score AS q FROM media JOIN analysis ON media_id = id WHERE type = 'image' AND deleted_at IS NULL) SELECT 'applied' AS outcome, count(*) FILTER (q IS NOT NULL) AS n FROM v UNION ALL SELECT 'missing', count(*) FILTER (q IS NULL) FROM v""")
+def a10_outcome_histogram(get):
+    both = get("media").where("type = 'image' and deleted_at is null").join(get("analysis").withColumnRenamed("media_id", "id"), "id")
+    return dedup.histogram(both.select(F.when(F.col("quality_score").isNull(), "missing").otherwise("applied").alias("outcome")), "outcome", ("applied", "missing"))
