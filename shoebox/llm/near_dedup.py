@@ -11,8 +11,9 @@ values; nodes that agree on a band share a bucket. Buckets are never expanded in
 
 1. Each node is compared with one leader, the smallest node of the bucket(s) that it shares most often.
 2. The links found are united (components). Buckets whose nodes are all in one component are done.
-3. What is left are pairs of different components. While these would be many, each bucket's next
-   leader is compared with the rest; in the end, every pair that is left is compared.
+3. What is left are pairs of different components. While these would be many, each node is compared
+   with about PARTNERS others, drawn anew in each round from one of its buckets, which soon unites
+   what belongs together; in the end, every pair that is left is compared.
 
 Pairs are only dropped where their sizes, or their distances from a shared leader (the triangle
 inequality of the Jaccard distance), prove them under the threshold. Every link is confirmed on full
@@ -42,9 +43,10 @@ BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
 #: From here on up are stand-ins for null ids.
 STAND_IN = 1 << 62
-#: Pairs per node beyond which leaders are compared before pairs are written out.
-PAIRS_PER_NODE = 8
-LEADER_ROUNDS = 4
+#: Pairs per bucket entry beyond which partners are drawn before all pairs that are left are written out.
+PAIRS_PER_NODE = 2
+PARTNER_ROUNDS = 2
+PARTNERS = 64
 _UNSET = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -120,10 +122,10 @@ def _node():
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, same) of distinct pairs: the similarity of their full sets."""
+    """Distinct pairs (a, b and other columns) with the similarity of their full sets."""
     one, two = (sets.select(F.col("id").alias(x), F.col("sh").alias(f"s{x}")) for x in "ab")
     same = F.size(F.array_intersect("sa", "sb")).cast("double")
-    return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb", same.alias("o")).select("a", "b", (F.col("o") / (F.size("sa") + F.size("sb") - F.col("o"))).alias("same"), F.col("o"), (F.size("sa") + F.size("sb")).alias("both"))
+    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, "sa", "sb", same.alias("o")).select(*pairs.columns, (F.col("o") / (F.size("sa") + F.size("sb") - F.col("o"))).alias("same"), F.col("o"), (F.size("sa") + F.size("sb")).alias("both"))
 
 
 def _near(similarity: float):
@@ -132,6 +134,11 @@ def _near(similarity: float):
     return F.col("o") * (10_000 + s) >= F.col("both") * s
 
 
+def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
+    """df with each label replaced by the component that it is in, if it is in one."""
+    return df.join(step.select(F.col("id").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, component_id) of every row of docs."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -148,7 +155,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     entries = written(buckets.join(shared, "bucket").select("bucket", "lead", "node", "n"), "entries")
 
     wanted = entries.select(F.col("node").alias("id")).distinct()
-    sets = source.join(wanted, "id", "left_semi").unionByName(source.where("id is null")).mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>")
+    sets = source.join(wanted.hint("merge"), "id", "left_semi").unionByName(source.where("id is null")).mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>")
     sets = sets.where("digest is not null").select(_node().alias("id"), "digest", "sh")
     sets = written((sets.dropDuplicates(["id", "digest"]) if again else sets).select("id", "sh"), "sets")
 
@@ -157,39 +164,44 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     links = tested.where("near").select("a", "b")
     if again:  # an id of several sets ties these together
         links = links.unionByName(named.join(repeated, "node", "left_semi").join(reps.withColumnRenamed("node", "rep"), "digest").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-    labels = components(links)
+    merged = [components(links)]
     pivot = tested.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("same", "a")).alias("x")).select("node", F.col("x.a").alias("pivot"), (1 - F.col("x.same")).alias("far"))
+    entries = entries.select("bucket", "node", "n", F.col("node").alias("label"))
+    tested = tested.select("a", "b")
 
-    for turn in range(LEADER_ROUNDS + 1):
-        named_entries = entries.select("bucket", "node", "n").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        open_ = named_entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "lo")
+    for turn in range(PARTNER_ROUNDS + 1):
+        named_entries = _relabelled(entries, merged[-1])
+        open_ = named_entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         entries = written(named_entries.join(open_, "bucket"), "entries")
         counts = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("g")).groupBy("bucket").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"))
         total = counts.agg(F.sum((F.col("g") * F.col("g") - F.col("gg")) / 2), F.sum("g")).first()
         if not total[0]:
             break
-        if turn < LEADER_ROUNDS and total[0] > PAIRS_PER_NODE * total[1] + 100_000:
-            lead = entries.where("label = lo").groupBy("bucket").agg(F.min("node").alias("a"))
-            pairs = entries.where("label <> lo").join(lead, "bucket").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            last = False
-        else:
-            own = entries.select("bucket", "node", "n", "label").join(pivot, "node", "left")
-            other = own.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pivot", "far")])
-            s = round(similarity * 10_000)
-            fits = (F.col("n") * s <= F.col("n2") * 10_000) & (F.col("n2") * s <= F.col("n") * 10_000)
-            apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-            pairs = own.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-            last = True
-        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        last = turn == PARTNER_ROUNDS or total[0] <= PAIRS_PER_NODE * total[1] + 10_000
+        met = ["bucket"]
+        own = entries
+        if not last:
+            one = own.groupBy("node", "n", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
+            parts = one.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+            own = one.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
+            met = ["bucket", "part"]
+        own = own.join(pivot, "node", "left")
+        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pivot", "far")])
+        s = round(similarity * 10_000)
+        fits = (F.col("n") * s <= F.col("n2") * 10_000) & (F.col("n2") * s <= F.col("n") * 10_000)
+        apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
+        pairs = own.join(other, met).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart).select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
+        fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         now = written(_verified(fresh, sets).withColumn("near", _near(similarity)), "tested")
-        links = links.unionByName(now.where("near").select("a", "b"))
-        tested = tested.unionByName(now)
-        if not now.where("near").isEmpty():
-            labels = components(links)
+        tested = tested.unionByName(now.select("a", "b"))
+        merged.append(components(now.where("near"), "la", "lb"))
         if last:
             break
 
-    lookup = reps.join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    lookup = reps.withColumn("label", F.col("node"))
+    for step in merged:
+        lookup = _relabelled(lookup, step)
+    lookup = lookup.select("digest", F.col("label").alias("component_id"))
     out = all_rows.select("id", "n", "digest").join(lookup, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", "n", F.when(component < STAND_IN, component).alias("component_id"))
