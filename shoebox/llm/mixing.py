@@ -21,7 +21,6 @@ The number of levels of all margins is checked against `max_levels`, since the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

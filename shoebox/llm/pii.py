@@ -233,37 +233,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _before(text: str, at: int, floor: int, space: bool) -> int:
+    """Where the run of spaces (or of others) that ends at `at` begins, not before floor."""
+    while at > floor and text[at - 1].isspace() == space:
+        at -= 1
+    return at
+
+
 def _windows(text: str) -> list[list[re.Match]]:
     """Words around those with a sign, two to the left and three to the right; near ones in one window."""
     out: list[list[re.Match]] = []
-    words: list[re.Match] = []
-    until, end = -1, -1
-    at = _SIGN.search(text)
-    while at:
-        begin = at.start()
-        left = begin
-        for _ in range(3):  # to the start of the word two words back
-            while left > end and left > 0 and not text[left - 1].isspace():
-                left -= 1
-            if _ < 2:
-                while left > end and left > 0 and text[left - 1].isspace():
-                    left -= 1
-        left = max(left, end, 0)
+    end = 0
+    sign = _SIGN.search(text)
+    while sign:
+        left = _before(text, sign.start(), end, False)
+        for _ in range(2):
+            left = _before(text, _before(text, left, end, True), end, False)
         own: list[re.Match] = []
-        after = -1
+        more = -1
         for m in _WORD.finditer(text, left):
             own.append(m)
             if _SIGN.search(m[0]):
-                after = 3
-            elif m.start() > begin:
-                after -= 1
-            if after == 0:
+                more = 3
+            elif m.start() > sign.start():
+                more -= 1
+            if more == 0:
                 break
-        if own:
-            out.append(own)
-            end = own[-1].end()
-        at = _SIGN.search(text, max(end, at.end()))
-    del words, until
+        out.append(own)
+        end = own[-1].end()
+        sign = _SIGN.search(text, end)
     return out
 
 
