@@ -76,8 +76,6 @@ def audited(log: DataFrame, results: DataFrame) -> DataFrame:
 
 def audio_in_use(jobs: DataFrame, plans: DataFrame) -> DataFrame:
     """(audio_id): background audio of plans that unfinished render jobs work on; malformed payloads and plans are passed over."""
-    from .filters import of_kind
-
     work = jobs.where((F.col("job_type") == "video_render") & F.col("status").isin("pending", "running", "retrying"))
     asked = work.select(F.get_json_object("payload", "$.planId").alias("id")).where("id is not null").distinct()
     used = plans.join(asked, "id", "left_semi").select(F.get_json_object("plan_json", "$.audioPolicy.backgroundAudioId").alias("audio_id"))

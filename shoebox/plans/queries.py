@@ -438,12 +438,12 @@ def o5_first_thumbnail(get):
     return ranking.first_thumbnail(get("media")).select("trip_id", "media_id")
 
 
-_CH = "ch(channel, job_type, concurrency) AS (VALUES ('image', 'image_hash', 900), ('image', 'image_thumbnail', 900), ('video', 'video_metadata', 3))"
+_CH = "ch(channel, job_type, concurrency) AS (VALUES ('image', 'image_hash', 9000), ('image', 'image_thumbnail', 9000), ('video', 'video_metadata', 3))"
 
 
 @query(f"WITH {_CH}, b AS (SELECT channel, count(*) AS busy FROM jobs JOIN ch USING (job_type) WHERE status = 'running' GROUP BY channel), r AS (SELECT ch.channel, j.id, j.job_type, concurrency - coalesce(busy, 0) AS free, row_number() OVER (PARTITION BY ch.channel ORDER BY created_at, j.id) AS turn FROM jobs j JOIN ch USING (job_type) LEFT JOIN b ON b.channel = ch.channel WHERE status = 'pending' OR (status = 'retrying' AND (next_run_at IS NULL OR next_run_at <= {NOW_SQL}))) SELECT channel, id, job_type, CAST(turn AS INT) AS turn FROM r WHERE turn <= free")
 def o6_q2_q3_claims(get):
-    channels = get.spark.createDataFrame([("image", "image_hash", 900), ("image", "image_thumbnail", 900), ("video", "video_metadata", 3)], "channel string, job_type string, concurrency int")
+    channels = get.spark.createDataFrame([("image", "image_hash", 9000), ("image", "image_thumbnail", 9000), ("video", "video_metadata", 3)], "channel string, job_type string, concurrency int")
     return J.claims(get("jobs"), channels, now())
 
 
