@@ -1,40 +1,19 @@
-"""Shared helpers: the shared work folder, written intermediate tables, text expressions."""
+"""Shared helpers: files of the shared work folder, text expressions."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import work_folder, written  # noqa: F401
+
 #: Java regular expressions for the words [^\x20\x09-\x0D]+ and the gaps between them.
 WORD = r"[^ \t-\r]+"
 GAP = r"[ \t-\r]+"
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder name under the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) is a local folder set instead.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shoebox-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/shoebox-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, whatever executor is lost."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI, else None."""
     if uri.startswith("file:"):

@@ -11,12 +11,14 @@ values; nodes that agree on a band share a bucket. Buckets are never expanded in
 
 1. Each node is compared with one leader, the smallest node of the bucket(s) that it shares most often.
 2. The links found are united (components). Buckets whose nodes are all in one component are done.
-3. What is left are pairs of different components. While these would be many, each node is compared
+3. In the buckets that are left, shingles that only one node has are counted. They are in no overlap, so
+   nodes with too many of them cannot have a link any more and leave.
+4. What is left are pairs of different components. While these would be many, each node is compared
    with about PARTNERS others, drawn anew in each round from one of its buckets, which soon unites
    what belongs together; in the end, every pair that is left is compared.
 
-Pairs are only dropped where their sizes, or their distances from a shared leader (the triangle
-inequality of the Jaccard distance), prove them under the threshold. Every link is confirmed on full
+Pairs are only dropped where their sizes, the shingles that others have too, or their distances from a
+shared leader (the triangle inequality of the Jaccard distance) prove them under the threshold. Every link is confirmed on full
 sets. A pair at similarity 0.8 shares no band with a chance of 3e-6.
 
 Defined cases: a text without words (null, empty) has an empty set and is linked with nothing; rows
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import components
+from ..operators.components import components
 from .text_hash import U, mix, pieces, shingle_sets
 
 BANDS, ROWS = 24, 4
@@ -134,6 +136,24 @@ def _near(similarity: float):
     return F.col("o") * (10_000 + s) >= F.col("both") * s
 
 
+def _linkable(entries: DataFrame, sets: DataFrame, several: DataFrame, similarity: float) -> DataFrame:
+    """Entries of open buckets that can still have a link: held becomes the number of shingles that another open node has too.
+
+    Shingles of one node only are in no overlap, so an overlap is at most `held`. An entry goes if that is too few for
+    the smallest size with which the bucket, or the threshold, would allow a link. Nodes of several sets stay.
+    """
+    s = round(similarity * 10_000)
+    nodes = entries.select(F.col("node").alias("id")).distinct()
+    each = sets.join(nodes, "id", "left_semi").select("id", F.explode("sh").alias("h"))
+    alone = each.groupBy("h").agg(F.min("id").alias("node"), F.max("id").alias("last")).where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone")).join(several, "node", "left_anti")
+    least = entries.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = entries.join(alone, "node", "left").join(least, "bucket").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0)))
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * s / 10_000))
+    rows = rows.where(F.col("held") * (10_000 + s) >= (F.col("n") + other) * s).select("bucket", "node", "n", "held", "label")
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return rows.join(open_, "bucket")
+
+
 def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
     """df with each label replaced by the component that it is in, if it is in one."""
     return df.join(step.select(F.col("id").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
@@ -166,13 +186,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         links = links.unionByName(named.join(repeated, "node", "left_semi").join(reps.withColumnRenamed("node", "rep"), "digest").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     merged = [components(links)]
     pivot = tested.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("same", "a")).alias("x")).select("node", F.col("x.a").alias("pivot"), (1 - F.col("x.same")).alias("far"))
-    entries = entries.select("bucket", "node", "n", F.col("node").alias("label"))
+    entries = entries.select("bucket", "node", "n", F.col("n").alias("held"), F.col("node").alias("label"))
     tested = tested.select("a", "b")
 
     for turn in range(PARTNER_ROUNDS + 1):
         named_entries = _relabelled(entries, merged[-1])
         open_ = named_entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        entries = written(named_entries.join(open_, "bucket"), "entries")
+        entries = named_entries.join(open_, "bucket")
+        if turn == 0:
+            entries = _linkable(written(entries, "entries"), sets, repeated, similarity)
+        entries = written(entries, "entries")
         counts = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("g")).groupBy("bucket").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"))
         total = counts.agg(F.sum((F.col("g") * F.col("g") - F.col("gg")) / 2), F.sum("g")).first()
         if not total[0]:
@@ -181,14 +204,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         met = ["bucket"]
         own = entries
         if not last:
-            one = own.groupBy("node", "n", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
+            one = own.groupBy("node", "n", "held", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
             parts = one.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
             own = one.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
             met = ["bucket", "part"]
         own = own.join(pivot, "node", "left")
-        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pivot", "far")])
+        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "held", "label", "pivot", "far")])
         s = round(similarity * 10_000)
-        fits = (F.col("n") * s <= F.col("n2") * 10_000) & (F.col("n2") * s <= F.col("n") * 10_000)
+        # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
+        fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
         apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
         pairs = own.join(other, met).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart).select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
         fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")

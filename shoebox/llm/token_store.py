@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,15 @@ MAGIC = b"SBXTOK01"
 FOOTER = "<BQQQQQq"  # bytes per id, documents, ids, bytes of boundaries, of document ids, null ids, smallest id
 END_ID = 2
 SHARD_BYTES = 16 << 20
-CACHE_WORDS = 300_000
+#: Pieces in each of the two generations of a worker's cache.
+CACHE_PIECES = 200_000
 #: Characters of text that are tokenized together.
 GROUP = 1 << 20
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|[\x00]")
+#: White space other than the space and the line break (and NUL, which marks pieces here).
+_ODD = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that always end a pre-token of letters; a run of them after a letter is a pre-token.
+_MARKS = ".,;:!?#$%&*|"
 
 
 class Encoder:
@@ -56,28 +61,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_break = line_break[0] if len(line_break) == 1 else None
+        self.break_ids = np.array(line_break, dtype=self.dtype).tobytes()
+        self.odd = False
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that can be encoded alone: one that begins with NUL stands as it is, one that begins with a line break too, all others follow a space."""
         if any(s in text for s in self.special):
+            self.odd = True
             return ["\0" + text]
-        if _ODD.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in _ODD):
+            self.odd = True
             parts = _CUT.split(text)
             return ["\0" + parts[0], *("\0 " + p for p in parts[1:])]
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]
         return parts
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces into the cache: from the older generation, as smaller pieces, or by the tokenizer.
+
+        A line break before a word stands alone, and so do marks after a word's last letter.
+        """
+        cache, made, need = self.cache, [], set()
+        known = pieces & self.older.keys()
+        cache.update(zip(known, map(self.older.__getitem__, known)))
+        for p in pieces - known:
+            own, head = p, ""
+            if p[0] == "\n":
+                own, head = "\0" + p[1:], "\0\n"
+            if own[-1] in _MARKS:
+                stem = own.rstrip(_MARKS)
+                if stem and stem[-1].isalpha():
+                    marks = "\0" + own[len(stem) :]
+                    need.add(marks)
+                    need.add(stem)
+                    made.append((p, head, stem, marks))
+                    continue
+            if head:
+                made.append((p, head, own, ""))
+            need.add(own)
+        need.difference_update(cache)
+        known = need & self.older.keys()
+        cache.update(zip(known, map(self.older.__getitem__, known)))
+        fresh = list(need - known)
+        for at in range(0, len(fresh), 4096):
+            self._encode_pieces(fresh[at : at + 4096])
+        cache[""], cache["\0\n"] = b"", self.break_ids
+        for p, head, stem, marks in made:
+            cache[p] = cache[head] + cache[stem] + cache[marks]
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Encode pieces, those without white space of their own as lines of one text: a line break is a pre-token and one id."""
+        plain, rest = pieces, []
+        if self.line_break is None:
+            plain, rest = [], pieces
+        elif self.odd:
+            plain, rest = [], []
+            for p in pieces:
+                text = p.removeprefix("\0")
+                (plain if text and not any(c.isspace() or c == "\0" for c in text) and not any(s in text for s in self.special) else rest).append(p)
+        if plain:
+            text = "\n".join([p[1:] if p[0] == "\0" else " " + p for p in plain])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.line_break).tolist()
+            if len(cuts) != len(plain) - 1:
+                raise ValueError("a line break is not a pre-token of this tokenizer")
+            w, data = self.dtype.itemsize, ids.tobytes()
+            self.cache.update(zip(plain, [data[a * w : b * w] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)])]))
+        if rest:
+            for p, got in zip(rest, self.tokenizer.encode_batch_fast([p[1:] if p[0] == "\0" else " " + p for p in rest], add_special_tokens=False), strict=True):
+                self.cache[p] = array(self.code, got.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        self.odd = False
         cut = [self._pieces(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*cut).difference(self.cache))
-        raw = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in new]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
+        if len(self.cache) > CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
+        # The empty text is the piece NUL alone.
+        self.cache["\0"] = b""
+        self._learn(set().union(*cut).difference(self.cache))
         return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from shoebox.llm import near_dedup
-from shoebox.llm.components import components
+from shoebox.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,7 +76,7 @@ def test_chains_and_hubs(spark, seed):
     assert got(out) == brute(rows)
 
 
-def test_leader_rounds_lose_nothing(spark, monkeypatch):
+def test_partner_rounds_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS_PER_NODE", -(10**9))
     test_chains_and_hubs.__wrapped__(spark, 3) if hasattr(test_chains_and_hubs, "__wrapped__") else test_chains_and_hubs(spark, 3)
 
