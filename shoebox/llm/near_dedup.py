@@ -15,7 +15,12 @@ values; nodes that agree on a band share a bucket. Buckets are never expanded in
    nodes with too many of them cannot have a link any more and leave.
 4. What is left are pairs of different components. While these would be many, each node is compared
    with about PARTNERS others, drawn anew in each round from one of its buckets, which soon unites
-   what belongs together; in the end, every pair that is left is compared.
+   what belongs together.
+5. In the end, every pair that is left is compared, met by a prefix join: the shingles of the nodes left are put in
+   order, rarest first, and two sets of that similarity share one of their first n - ceil(0.8 n) + 1. So variants
+   of one text, which have its frequent shingles in common, only meet where they share an edit. How many they
+   share there bounds what they share in all. A pair is emitted once, at the first shingle that both have there,
+   and only if it shares a bucket.
 
 Pairs are only dropped where their sizes, the shingles that others have too, or their distances from a
 shared leader (the triangle inequality of the Jaccard distance) prove them under the threshold. Every link is confirmed on full
@@ -49,6 +54,8 @@ STAND_IN = 1 << 62
 PAIRS_PER_NODE = 2
 PARTNER_ROUNDS = 2
 PARTNERS = 64
+#: Ids of candidates up to which they are broadcast to where the texts are; beyond, the texts are shuffled to them.
+BROADCAST_IDS = 4_000_000
 _UNSET = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,6 +161,22 @@ def _linkable(entries: DataFrame, sets: DataFrame, several: DataFrame, similarit
     return rows.join(open_, "bucket")
 
 
+def _rarest(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """One row per node of entries: its buckets, and as `first` those of its shingles, rarest first, of which a near set has one.
+
+    Nodes of several sets have one row per set.
+    """
+    s = round(similarity * 10_000)
+    nodes = entries.groupBy("node", "n", "held", "label").agg(F.collect_set("bucket").alias("buckets"))
+    own = sets.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.xxhash64("sh").alias("set"), F.size("sh").cast("long").alias("n"), "sh")
+    each = own.select("node", "set", "n", F.explode("sh").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    least = F.col("n") - F.ceil(F.col("n") * s / 10_000) + 1
+    ranked = each.join(often, "h").groupBy("node", "set", "n").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("all"))
+    first = ranked.select("node", "n", F.slice(F.col("all.h"), F.lit(1), least.cast("int")).alias("first"))
+    return nodes.join(first, ["node", "n"])
+
+
 def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
     """df with each label replaced by the component that it is in, if it is in one."""
     return df.join(step.select(F.col("id").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
@@ -174,8 +197,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
     entries = written(buckets.join(shared, "bucket").select("bucket", "lead", "node", "n"), "entries")
 
-    wanted = entries.select(F.col("node").alias("id")).distinct()
-    sets = source.join(wanted.hint("merge"), "id", "left_semi").unionByName(source.where("id is null")).mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>")
+    wanted = written(entries.select(F.col("node").alias("id")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("merge")
+    sets = source.join(wanted, "id", "left_semi").unionByName(source.where("id is null")).mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>")
     sets = sets.where("digest is not null").select(_node().alias("id"), "digest", "sh")
     sets = written((sets.dropDuplicates(["id", "digest"]) if again else sets).select("id", "sh"), "sets")
 
@@ -201,20 +225,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         if not total[0]:
             break
         last = turn == PARTNER_ROUNDS or total[0] <= PAIRS_PER_NODE * total[1] + 10_000
-        met = ["bucket"]
-        own = entries
-        if not last:
-            one = own.groupBy("node", "n", "held", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
+        s = round(similarity * 10_000)
+        if last:
+            own, met = written(_rarest(entries, sets, similarity), "rarest"), ["h"]
+            own = own.select("*", F.explode("first").alias("h"))
+            # The set whose first shingles end earlier in the order has no others in the other's; so what both hold is at most this.
+            most = F.size(F.array_intersect("first", "first2")) + F.greatest(F.col("n") - F.size("first"), F.col("n2") - F.size("first2"))
+            once = (most * (10_000 + s) >= (F.col("n") + F.col("n2")) * s) & (F.array_intersect("first", "first2")[0] == F.col("h")) & F.arrays_overlap("buckets", "buckets2")
+        else:
+            one = entries.groupBy("node", "n", "held", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
             parts = one.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
             own = one.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
-            met = ["bucket", "part"]
+            met, once = ["bucket", "part"], F.lit(True)
         own = own.join(pivot, "node", "left")
-        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "held", "label", "pivot", "far")])
-        s = round(similarity * 10_000)
+        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in own.columns if c not in (*met, "bucket", "part")])
         # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
         fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
         apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-        pairs = own.join(other, met).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart).select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
+        pairs = own.join(other, met).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart & once).select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
         fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         now = written(_verified(fresh, sets).withColumn("near", _near(similarity)), "tested")
         tested = tested.unionByName(now.select("a", "b"))
