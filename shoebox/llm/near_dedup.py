@@ -29,17 +29,20 @@ sets. A pair at similarity 0.8 shares no band with a chance of 3e-6.
 Defined cases: a text without words (null, empty) has an empty set and is linked with nothing; rows
 with the same id are one document; rows with a null id are grouped like others, and if a component
 has no other ids its component_id is null; ties go to the smallest id; an empty table gives an
-empty result; other columns are not read (`keep_one` passes them through).
+empty result; other columns are not read. `keep_one` passes them through and keeps one row of each
+component, whether ids are null or repeated: that with the smallest id (nulls last), then the smallest hash of
+the row; rows with an empty set are all kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -100,8 +103,8 @@ def _sketches(n: int, bands: int, rows: int):
                 keys = band_keys(super_minhash(sets, bands * rows), bands, rows).view(np.int64)
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.ravel()))],
-                    ["id", "n", "digest", "bands"],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.ravel())), *[c.slice(a, b - a) for c in batch.columns[2:]]],
+                    ["id", "n", "digest", "bands", *batch.schema.names[2:]],
                 )
 
     return run
@@ -184,8 +187,22 @@ def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, component_id) of every row of docs."""
+    out = _grouped(docs, id_col, text_col, n, similarity, bands, rows)
+    return out.select("id", "n", F.when(F.col("component") < STAND_IN, F.col("component")).alias("component_id"))
+
+
+def _row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed, and of which of them are null."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search(r"\b(map<|variant\b)", f.dataType.simpleString())]
+    return F.xxhash64(*cols, F.array(*[c.isNull() for c in cols]))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> DataFrame:
+    """(id, n, component, and key if it is given) of every row of docs; component may be a stand-in, and is the id where the set is empty."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    all_rows = written(source.mapInArrow(_sketches(n, bands, rows), "id long, n long, digest binary, bands array<bigint>"), "sketches")
+    keyed = source if key is None else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    more = keyed.columns[2:]
+    all_rows = written(keyed.mapInArrow(_sketches(n, bands, rows), ", ".join(["id long, n long, digest binary, bands array<bigint>", *(f"{c} long" for c in more)])), "sketches")
     named = all_rows.where("digest is not null").withColumn("node", _node())
     reps = written(named.groupBy("digest").agg(F.min("node").alias("node")), "reps")
     repeated = written(named.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node"), "repeated")
@@ -254,17 +271,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     for step in merged:
         lookup = _relabelled(lookup, step)
     lookup = lookup.select("digest", F.col("label").alias("component_id"))
-    out = all_rows.select("id", "n", "digest").join(lookup, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", "n", F.when(component < STAND_IN, component).alias("component_id"))
+    out = all_rows.select("id", "n", "digest", *more).join(lookup, "digest", "left")
+    return out.select("id", "n", F.coalesce("component_id", "id").alias("component"), *more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row of each group of near-duplicates (that with the smallest id), with its own columns."""
-    out = groups(docs, id_col, text_col, **settings)
-    keep = out.where(F.col("id") == F.col("component_id")).select("id").distinct()
-    rows = docs.select(F.struct("*").alias("doc")).withColumn("id", F.col("doc").getField(id_col).cast("long"))
-    return rows.join(keep, "id", "left_semi").select("doc.*")
+    """One row of each group of near-duplicates (that with the smallest id), and every row with an empty set, with their own columns."""
+    key = _row_key(docs)
+    out = _grouped(docs, id_col, text_col, **settings, key=key)
+    # Rows are told apart by id and key; those with both in common are equal, and k counts them.
+    each = out.where("n > 0").groupBy("component", "id", "key").agg(F.count(F.lit(1)).alias("k"))
+    best = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "k")).alias("x")).select("x.id", "x.key", (F.col("x.k") > 1).alias("again"))
+    empty = out.where("n = 0").select("id", "key", F.lit(False).alias("again")).distinct()
+    keep = written(best.unionByName(empty), "keep")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), key.alias("doc_key"))
+
+    def kept(of: DataFrame) -> DataFrame:
+        return rows.join(of, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    one = kept(keep.where("not again"))
+    repeated = keep.where("again")
+    if not repeated.isEmpty():
+        one = one.unionByName(kept(repeated).dropDuplicates(["doc_id", "doc_key"]))
+    return one.select("doc.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,17 @@ def test_keep_one_keeps_columns(docs, rows):
     assert {r["doc_id"] for r in out.collect()} == {d for d, _, c in brute([r[:2] for r in rows]) if d == c and d is not None}
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a, "x"), (None, b, "x"), (None, b + " more", "y"), (5, c, "x"), (5, c, "x"), (5, c, "z"), (None, c, "x"), (None, d, "q"), (None, d, "q"), (None, None, "x"), (None, None, "x"), (7, "", "x"), (7, "", "x"), (8, " ", "x")]
+    out = sorted((tuple(r) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=str)
+    texts = [(i, t) for i, t, _ in out]
+    assert texts.count((None, a)) == 1 and texts.count((None, b)) + texts.count((None, b + " more")) == 1
+    assert texts.count((5, c)) == 1 and texts.count((None, c)) == 0 and texts.count((None, d)) == 1
+    assert texts.count((None, None)) == 2 and texts.count((7, "")) == 2 and texts.count((8, " ")) == 1
+    assert len(out) == 9 and set(out) <= set(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chains_and_hubs(spark, seed):
     """Copies of copies drift apart, so that components are wider than the threshold."""
