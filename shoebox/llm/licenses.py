@@ -1,8 +1,10 @@
 """License scans by sentence-rule recognition (operator 2), in DataFrame functions only.
 
-A text is cut into sentences (line breaks, and gaps after . ! ? ; :). Sentences are normalised: lower
-case, runs of other characters than letters and digits become one space. A sentence that equals a
-known license sentence becomes its identifier; the identifiers of a text in order form its sequence.
+A text is cut into pieces (line breaks, and gaps after . ! ? ; :), from which list marks such as '(a)' are
+taken. Pieces are normalised: lower case, runs of other characters than letters and digits (also comment
+marks) become one space. A run of whole pieces that reads like a known license sentence becomes its identifier, the
+longest known one first, so sentences that are wrapped, or cut after 'v.', are found. The identifiers of a text in order
+form its sequence; pieces that speak of a license and are in no known sentence are '?' in it.
 Ordered rules (longer texts first) are then looked for in the sequence as contiguous runs; a rule that
 matches takes its identifiers away from the rules after it. Everything happens within the row: no
 shuffle, and a text of any length is scanned whole.
@@ -13,6 +15,7 @@ each by itself; an empty table gives an empty result; other columns are not read
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,15 +75,39 @@ RULES = (
     ("MIT", ("MIT_REF",)),
     ("Proprietary", ("ALL_RIGHTS",)),
 )
-#: Every known sentence holds one of these.
+#: Further wordings, as official notices have them, and their rules; the SQL does not have these.
+OFFICIAL_SENTENCES = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3_TERMS",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2_TERMS",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "APACHE_COPY",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "APACHE_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL2_COPY",
+}
+OFFICIAL_RULES = (
+    ("GPL-3.0-or-later", ("GPL_FREE", "GPL3_TERMS")),
+    ("GPL-2.0-or-later", ("GPL_FREE", "GPL2_TERMS")),
+)
+#: Pieces with one of these speak of a license; every sentence above holds one.
 KEYWORDS = "licen|permission|redistribut|warrant|free software|liable|option any|copy of the|rights reserved"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that may speak of a license."""
+def sentences(text: Column, known: dict[str, str]) -> Column:
+    """Normalised sentences of a text: known ones, and other pieces that may speak of a license."""
     cut = F.split(F.regexp_replace(text, r"[.!?;:][ \t-\r]+", "\n"), "[\\n-\\r]")
-    plain = F.transform(cut, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda x: x.rlike(KEYWORDS))
+    unmarked = F.transform(cut, lambda x: F.regexp_replace(F.lower(x), r"^[^a-z0-9]*\(?(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)", " "))
+    plain = F.array_remove(F.transform(unmarked, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))), "")
+    longest = sorted(known, key=lambda x: (-len(x), x))
+    piece = r"(?<=\n)(?:" + "|".join("[ \\n]".join(x.split()) for x in longest) + r"|[^\n]+)(?=\n)"
+    lines = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
+    found = F.transform(F.regexp_extract_all(lines, F.lit(piece), F.lit(0)), lambda x: F.translate(x, "\n", " "))
+    return F.filter(found, lambda x: x.rlike(KEYWORDS) | x.isin(*[k for k in known if not re.search(KEYWORDS, k)]))
+
+
+def may_hold(text: Column, known: dict[str, str]) -> Column:
+    """Whether a text can hold one of the known sentences or a keyword, wherever its lines are broken."""
+    others = {max(k.split(), key=len) for k in known if not re.search(KEYWORDS, k)}
+    return F.lower(text).rlike("|".join([KEYWORDS.replace(" ", "[^a-z0-9]+"), *sorted(others)]))
 
 
 def identified(sents: Column, known: dict[str, str]) -> Column:
@@ -101,12 +128,12 @@ def matched(ids: Column, rules: tuple) -> Column:
     return F.aggregate(listed, start, step)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
-    """Per document: n_license_sentences, sentence_ids, licenses (in rule order) and n_unknown (sentences that are not known)."""
-    known = known or SENTENCES
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: tuple = RULES + OFFICIAL_RULES) -> DataFrame:
+    """Per document: n_license_sentences, sentence_ids, licenses (in rule order) and n_unknown (pieces that are in no known one)."""
+    known = known or SENTENCES | OFFICIAL_SENTENCES
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
-    ids = F.when(F.lower(text).rlike(KEYWORDS), identified(sentences(text), known)).otherwise(none)
+    ids = F.when(may_hold(text, known), identified(sentences(text, known), known)).otherwise(none)
     rows = docs.select(F.col(id_col), ids.alias("ids"))
     found = F.when(F.size("ids") > 0, matched(F.col("ids"), rules)["found"]).otherwise(F.lit(""))
     return rows.select(id_col, F.size("ids").cast("long").alias("n_license_sentences"), F.array_join(F.filter("ids", lambda x: x != "?"), ",").alias("sentence_ids"), found.alias("licenses"), F.size(F.filter("ids", lambda x: x == "?")).cast("long").alias("n_unknown"))

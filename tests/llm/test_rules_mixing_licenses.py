@@ -102,3 +102,48 @@ def test_licenses(spark, docs, no_docs, rows):
     got = {r["doc_id"]: (r["licenses"], r["n_unknown"]) for r in licenses.scan(df).collect()}
     assert got == {k: t[1:] for k, t in texts.items()}
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(no_docs).count() == 0
+
+
+GPL3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MPL2 = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+APACHE2 = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_and_official_notices(spark):
+    import textwrap
+
+    mit = "\n\n".join(textwrap.fill(p, 72) for p in MIT.split("\n"))
+    bsd = [BSD2.format(*marks) for marks in (("1.", "2."), ("*", "*"), ("(a)", "(b)"), ("1)", "2)"))]
+    texts = [("MIT License\n\nCopyright (c) 2020 A. Author\n\n" + mit, "MIT"), (textwrap.indent(mit, " * "), "MIT"), (GPL3, "GPL-3.0-or-later"), (GPL3.replace("3", "2"), "GPL-2.0-or-later"), (MPL2, "MPL-2.0"), (APACHE2, "Apache-2.0"), *[(x, "BSD-2-Clause") for x in bsd], (ISC, "ISC"), ("All rights\n# reserved.", "Proprietary"), ("some heading\nReleased under the MIT License\nand a line", "MIT")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_unknown"]) for r in licenses.scan(df).collect()}
+    want = {k: (x, 0) for k, (_, x) in enumerate(texts)}
+    want[0] = ("MIT", 1)  # its title
+    assert got == want
+    own = licenses.scan(spark.createDataFrame([(1, "You may do\nanything. Else.")], "doc_id int, text string"), known={"you may do anything": "ANY"}, rules=(("Any", ("ANY",)),))
+    assert own.first()["licenses"] == "Any"
