@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash over item-sized windows (operator 9), in DataFrame functions only.
+"""Benchmark decontamination over item-sized windows (operator 9), in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words (a text of fewer words is
 one shingle). A document leaks an item if one of its windows of the item's size has a weighted Jaccard
@@ -9,12 +9,12 @@ similarity of at least 0.8 with the item; the weight of a shingle is how often i
    only windows over an anchor are looked at. This step loses nothing.
 2. Pairs of a document and an item stay if the whole document holds 0.8 of the item's shingles. This
    loses nothing either.
-3. Every window over an anchor gets a 64-bit SimHash. The 64 counters are added four to a long,
-   in lanes of 16 bits, so a fingerprint takes 16 sums of longs.
-4. Multi-index Hamming: fingerprints are cut into RADIUS + 1 blocks. Two within RADIUS agree on a block,
-   so an equi-join on (size, block, value) meets them all; the distance itself is then checked.
-   A window at similarity 0.8 exactly lies beyond the radius with a chance of about 2e-5.
-5. What is left is verified with the exact weighted similarity.
+3. Every window over an anchor of a pair that is left is verified with the exact weighted similarity, within the
+   pair's row. Where both sides repeat shingles, each is hashed with its occurrence number (numbered), so that the
+   weighted similarity is that of sets.
+
+With a `radius`, step 3 only verifies windows whose 64-bit SimHash is within it; the 64 counters are added four to a
+long, in lanes of 16 bits. That can lose windows, so the query and the pipeline set none.
 
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window; null
 ids are kept; repeated rows with equal id and text give one result; items without words match nothing;
@@ -31,7 +31,7 @@ from .common import let, table, written
 N = 5
 SIMILARITY = 0.8
 RADIUS = 21
-#: Lanes of 16 bits: the top lane stays positive up to this many shingles; larger windows skip step 4.
+#: Lanes of 16 bits: the top lane stays positive up to this many shingles; larger windows have no fingerprint.
 LANE_MAX = 16_000
 LANES = 0x0001000100010001
 #: Anchor rows up to which they are broadcast; beyond, Spark shuffles.
@@ -49,6 +49,19 @@ def shingles(text: Column, n: int = N) -> Column:
     return let(words, of)
 
 
+def numbered(arr: Column) -> Column:
+    """The hashes of an array, from the second time one stands there on hashed with that number; in any order."""
+
+    def of(s: Column) -> Column:
+        def each(h: Column, i: Column) -> Column:
+            k = i - F.array_position(s, h) + 1
+            return F.when(k == 0, h).otherwise(F.xxhash64(h, k))
+
+        return F.transform(s, each)
+
+    return let(arr, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(let(F.array_sort(a), of)))
+
+
 def _lanes(k: int):
     return lambda x: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))
 
@@ -74,25 +87,11 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int").alias("value")) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Sum of the smaller count of each shingle in two arrays."""
-
-    def of(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        both = F.array_intersect(a, b)
-        count = lambda arr, h: F.size(F.filter(arr, lambda y: y == h))
-        counted = F.aggregate(both, F.lit(0), lambda s, h: s + F.least(count(a, h), count(b, h)))
-        plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-        return F.when(plain, F.size(both)).otherwise(counted)
-
-    return let(F.struct(a.alias("a"), b.alias("b")), of)
-
-
 def prepared_items(items: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
-    """item, sh (its shingles), m (their number), fp, and miss (how many of them a match can lack)."""
-    rows = items.select(F.col(id_col).alias("item"), shingles(F.col(text_col), n).alias("sh")).where(F.size("sh") > 0).distinct()
-    rows = rows.withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
-    return written(rows.withColumn("fp", fingerprint(F.col("sh"))), "items")
+    """item, item_id, sh (its shingles), m (their number), set (sh with occurrence numbers), and miss (how many of them a match can lack)."""
+    rows = items.select(F.col(id_col).alias("item_id"), shingles(F.col(text_col), n).alias("sh")).where(F.size("sh") > 0).distinct()
+    rows = rows.withColumn("item", F.col("item_id")).withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
+    return written(rows.withColumn("set", numbered(F.col("sh"))), "items")
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
@@ -104,7 +103,7 @@ def anchors_of(items: DataFrame) -> DataFrame:
     return ranked.select("item", "m", F.explode(F.slice("all", F.lit(1), F.col("miss") + 1)).alias("a")).select(F.col("a.h").alias("h"), "item", "m")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """(doc_key, id, item, similarity, start): each document and item that it leaks, with the first of its best windows.
 
     `start` counts shingles from 0. doc_key is a hash of id and text, by which rows can be told apart.
@@ -120,7 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     found = rows.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").select("id", "doc_key", shingles(F.col("__text"), n).alias("sh")).dropDuplicates(["doc_key"])
     found = written(found, "found")
-    small = prepared.select("item", "m", F.col("sh").alias("item_sh"))
+    small = prepared.select("item", "item_id", "m", F.col("sh").alias("item_sh"), F.col("set").alias("item_set"))
     held = pairs.join(found, "doc_key").join(small, "item")
     both = F.array_intersect("sh", "item_sh")
     enough = let(both, lambda x: F.size(F.filter("item_sh", lambda y: F.array_contains(x, y)))) >= F.ceil(F.col("m") * similarity - 1e-9)
@@ -131,20 +130,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     places = F.filter(F.transform("sh", lambda x, i: F.when(F.array_contains("anchor", x), i)), lambda p: p.isNotNull())
     last = F.greatest(F.size("sh") - F.col("m"), F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = held.select("doc_key", "m", "sh", F.explode(starts).alias("start")).select("doc_key", "m", "start", F.slice("sh", F.col("start") + 1, F.col("m")).alias("window"))
-    windows = written(windows.dropDuplicates(["doc_key", "m", "start"]).withColumn("fp", fingerprint(F.col("window"))), "windows")
-
-    prints = windows.select("m", "fp").where("fp is not null").distinct()
-    left = prints.select("m", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("m", "fp", "b.block", "b.value")
-    right = prepared.where("fp is not null").select("m", "item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("m", "item", "item_fp", "b.block", "b.value")
-    near = left.join(right, ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("m", "fp", "item").distinct()
-    wide = windows.where("fp is null").join(prepared.where("fp is null").select("m", "item"), "m").select("doc_key", "start", "window", "item")
-    close = windows.join(near, ["m", "fp"]).select("doc_key", "start", "window", "item").unionByName(wide)
-
-    same = overlap(F.col("window"), F.col("item_sh")).cast("double")
-    scored = close.join(small, "item").withColumn("same", same).withColumn("similarity", F.col("same") / (F.size("window") + F.col("m") - F.col("same"))).where(F.col("similarity") >= similarity - 1e-12)
-    best = scored.groupBy("doc_key", "item").agg(F.max("similarity").alias("similarity"), F.max(F.struct("similarity", (-F.col("start")).alias("neg"))).alias("b"))
-    return best.join(found.select("doc_key", "id"), "doc_key").select("doc_key", "id", "item", "similarity", (-F.col("b.neg")).cast("long").alias("start"))
+    # Repeats only count twice where both sides have them.
+    plain = F.size(F.array_distinct("item_sh")) == F.size("item_sh")
+    held = held.select("doc_key", "id", "item", "item_id", "m", "sh", "item_set", plain.alias("plain"), starts.alias("starts"), fingerprint(F.col("item_set")).alias("item_fp") if radius is not None else F.lit(None).alias("item_fp"))
+
+    def of(start: Column) -> Column:
+        window = F.slice("sh", start + 1, F.col("m"))
+        same = F.when(F.col("plain"), F.size(F.array_intersect(window, F.col("item_set")))).otherwise(F.size(F.array_intersect(numbered(window), F.col("item_set")))).cast("double")
+        if radius is not None:
+            same = F.when(F.coalesce(F.bit_count(fingerprint(numbered(window)).bitwiseXOR(F.col("item_fp"))) <= radius, F.lit(True)), same).otherwise(F.lit(0.0))
+        return let(same, lambda o: F.struct((o / (F.least(F.size("sh"), F.col("m")) + F.col("m") - o)).alias("similarity"), (-start).alias("neg")))
+
+    scored = held.withColumn("b", F.array_max(F.transform("starts", of))).where(F.col("b.similarity") >= similarity - 1e-12)
+    best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct("b.similarity", "b.neg")).alias("b"), F.first("id").alias("id"))
+    return best.select("doc_key", "id", F.col("item_id").alias("item"), "b.similarity", (-F.col("b.neg")).cast("long").alias("start"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

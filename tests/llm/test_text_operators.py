@@ -243,6 +243,21 @@ def test_decontamination(spark, docs, no_docs):
     assert decontamination.decontaminate(df, it.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_runs(spark):
+    """Windows at about 0.8 whose difference is a run of equal words; both sides with runs as well."""
+    rows, items = [], []
+    for k, (m, run) in enumerate([(108, 8), (180, 16), (270, 26), (270, 22)]):
+        own = [f"k{k}w{i}" for i in range(m + 4)]
+        at = len(own) // 2
+        items += [(k, " ".join(own)), (10 + k, " ".join([*own[:-40], *["dash"] * 40]))]
+        for doc, base in ((k, own), (10 + k, own[:-40] + ["dash"] * 40)):
+            for less in range(-1, 2):
+                size = run - 4 + less
+                rows.append((doc * 10 + less + 1, " ".join([*base[: at - size], *["zero"] * size, *base[at:]])))
+    got = {(r["id"], r["item"]): round(r["similarity"], 6) for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_leaks(rows, items) and len(got) > 12
+
+
 def test_fingerprints_and_blocks(spark):
     rng = random.Random(8)
     arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(1, 60))] for _ in range(50)]
