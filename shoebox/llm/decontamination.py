@@ -17,8 +17,9 @@ With a `radius`, step 3 only verifies windows whose 64-bit SimHash is within it;
 long, in lanes of 16 bits. That can lose windows, so the query and the pipeline set none.
 
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window; null
-ids are kept; repeated rows with equal id and text give one result; items without words match nothing;
-empty tables give an empty result; other columns are not read.
+ids of documents and items are kept; repeated rows with equal id and text give one result; texts with one item_id are
+items of their own, of which a document's best is reported, and texts without an item_id are reported each; items
+without words match nothing; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,9 +89,9 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def prepared_items(items: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
-    """item, item_id, sh (its shingles), m (their number), set (sh with occurrence numbers), and miss (how many of them a match can lack)."""
+    """item (a key), item_id, sh (its shingles), m (their number), set (sh with occurrence numbers), and miss (how many of them a match can lack)."""
     rows = items.select(F.col(id_col).alias("item_id"), shingles(F.col(text_col), n).alias("sh")).where(F.size("sh") > 0).distinct()
-    rows = rows.withColumn("item", F.col("item_id")).withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
+    rows = rows.withColumn("item", F.xxhash64("item_id", "sh")).withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
     return written(rows.withColumn("set", numbered(F.col("sh"))), "items")
 
 
@@ -142,7 +143,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return let(same, lambda o: F.struct((o / (F.least(F.size("sh"), F.col("m")) + F.col("m") - o)).alias("similarity"), (-start).alias("neg")))
 
     scored = held.withColumn("b", F.array_max(F.transform("starts", of))).where(F.col("b.similarity") >= similarity - 1e-12)
-    best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct("b.similarity", "b.neg")).alias("b"), F.first("id").alias("id"))
+    one = F.when(F.col("item_id").isNull(), F.col("item"))
+    best = scored.groupBy("doc_key", F.col("item_id"), one.alias("one")).agg(F.max(F.struct("b.similarity", "b.neg")).alias("b"), F.first("id").alias("id"))
     return best.select("doc_key", "id", F.col("item_id").alias("item"), "b.similarity", (-F.col("b.neg")).cast("long").alias("start"))
 
 

@@ -258,6 +258,19 @@ def test_decontamination_of_long_runs(spark):
     assert got == plain_leaks(rows, items) and len(got) > 12
 
 
+def test_decontamination_of_large_items_and_odd_ids(spark):
+    words = [f"w{i}" for i in range(17_004)]
+    large = [(1, " ".join(words))]
+    out = decontamination.decontaminate(spark.createDataFrame([(5, " ".join(words[:15_004]))], "doc_id long, text string"), spark.createDataFrame(large, "item_id long, text string")).collect()
+    assert [(r["id"], r["item"], round(r["similarity"], 6), r["start"]) for r in out] == [(5, 1, round(15 / 17, 6), 0)]
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    items = spark.createDataFrame([(None, a), (None, b), (3, c), (3, d)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a + " " + b), (2, c), (3, d), (4, c + " " + d), (None, b), (5, "x y z")], "doc_id long, text string")
+    got = sorted(((r["id"], r["item"], r["start"]) for r in decontamination.decontaminate(docs, items).collect()), key=str)
+    assert got == sorted([(1, None, 0), (1, None, 20), (2, 3, 0), (3, 3, 0), (4, 3, 0), (None, None, 0)], key=str)
+    assert [r["doc_id"] for r in decontamination.clean(docs, items).collect()] == [5]
+
+
 def test_fingerprints_and_blocks(spark):
     rng = random.Random(8)
     arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(1, 60))] for _ in range(50)]
