@@ -7,7 +7,8 @@ canonical are one class, found as distributed connected components, and a block
 passed on to all its aliases. An explicit allow has precedence: a member that an allow rule
 fits stays allowed. Everything else is allowed.
 
-A node of the graph is host + path + query; scheme and fragment do not part pages. Rules meet URLs by
+A node of the graph is host + path + query; scheme and fragment do not part pages. Targets are resolved against
+the page's URL (dot segments, '?' targets, an empty path as '/'), with &amp; decoded. Rules meet URLs by
 an equi-join on host suffixes (one row per label of the host), so neither side is multiplied.
 
 Defined cases: a null URL, or one without '://', has empty host and path, fits no rule, and is no node:
@@ -44,15 +45,31 @@ def node(url: Column) -> Column:
     return F.when(host(url) != "", key)
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with the segments . and .. of its path removed."""
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+
+    parts = F.split(path(url), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    plain = F.concat(F.lit("x://"), host(url), F.array_join(kept, "/"), F.regexp_extract(url, _PARTS, 3))
+    return F.when(path(url).rlike(r"/\.\.?(/|$)"), plain).otherwise(url)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): nodes that a page's canonical link or meta refresh ties together."""
     html = F.col(html_col)
     canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)""", 1)
+    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)""", 1)
     may = pages.where(F.lower(html).rlike("canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
+    may = may.withColumn("to", F.regexp_replace("to", "(?i)&amp;|&#0*38;|&#x0*26;", "&"))
     scheme = F.regexp_extract("url", r"^([^:/?#]*)://", 1)
-    full = F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("url")), "to")).otherwise(F.concat(scheme, F.lit("://"), host(F.col("url")), F.regexp_extract(path(F.col("url")), "^(.*/)?", 1), "to"))
-    return may.select(node(F.col("url")).alias("a"), node(full).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    own = F.when(path(F.col("url")) == "", "/").otherwise(path(F.col("url")))
+    near = F.when(F.col("to").startswith("?"), F.concat(own, "to")).when(F.col("to").startswith("#"), F.concat(own, F.regexp_extract("url", _PARTS, 3))).otherwise(F.concat(F.regexp_extract(own, "^(.*/)?", 1), "to"))
+    full = F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("url")), "to")).otherwise(F.concat(scheme, F.lit("://"), host(F.col("url")), near))
+    return may.select(node(F.col("url")).alias("a"), node(without_dots(full)).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

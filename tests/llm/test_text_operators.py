@@ -50,6 +50,17 @@ def test_redirect_classes(spark):
     assert got == {1: ("block", "rule"), 2: ("block", "redirect"), 3: ("block", "redirect"), 4: ("allow", "rule"), 5: ("allow", "default"), 6: ("allow", "default"), 7: ("allow", "default"), 8: ("block", "redirect")}
 
 
+def test_targets_are_resolved(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="{}">'
+    pages = [
+        ("http://a/1", refresh.format("0; url='http://b/x'"), "b/x"), ("http://a/2", canonical.format("http://b/y?p=1&amp;q=2&#38;r=3"), "b/y?p=1&q=2&r=3"), ("http://h", canonical.format("a.html"), "h/a.html"),
+        ("http://h/d/e/f", canonical.format("../g"), "h/d/g"), ("http://h/d/e", canonical.format("./g?x=../y"), "h/d/g?x=../y"), ("http://h/d/i?z", canonical.format("?q=1"), "h/d/i?q=1"), ("http://h/k", canonical.format("http://b/m/../../n/.."), "b/"),
+        ("http://h/l?z", canonical.format("#top"), None), ("http://a/3", "<meta http-equiv=refresh content='5;URL=/b?x&amp;y'>", "a/b?x&y"), ("http://h/o", canonical.format("//b/p/.hid/..x"), "b/p/.hid/..x"),
+    ]
+    got = url_filters.link_edges(spark.createDataFrame([p[:2] for p in pages], "url string, html string")).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(u[7:] if "/" in u[7:] else u[7:] + "/", b) for u, _, b in pages if b}
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.1"
     out = quality_classifier.op3_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
