@@ -10,9 +10,8 @@ offset costs a few bits and `EliasFano.select` finds it without a table of 64-bi
 under names of their own attempt; only the names that Spark returns enter the manifest, so lost or
 repeated tasks leave no trace in it. Only the manifest, one row per shard, reaches the driver.
 
-Tokenizing: a space between two characters that are not white space always begins a pre-token of
-byte-level BPE, so a text can be cut there. The pieces repeat, and are encoded once per worker (a
-bounded cache). Texts are encoded whole, whatever their length.
+Tokenizing is done by repeated pieces (piece_encoder). Every text is encoded whole, whatever its length; a long one goes
+through memory in parts of a few megabytes.
 
 Defined cases: null and empty texts have the end id only; null ids come first; documents with equal
 ids are ordered by their text; an empty table gives an empty store; other columns are not read.
@@ -21,11 +20,8 @@ ids are ordered by their text; an empty table gives an empty store; other column
 from __future__ import annotations
 
 import json
-import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,152 +32,63 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, table, work_folder
 from .elias_fano import EliasFano
+from .piece_encoder import GROUP, Encoder, encoder_of
 
 MAGIC = b"SBXTOK01"
 FOOTER = "<BQQQQQq"  # bytes per id, documents, ids, bytes of boundaries, of document ids, null ids, smallest id
 END_ID = 2
 SHARD_BYTES = 16 << 20
-#: Pieces in each of the two generations of a worker's cache.
-CACHE_PIECES = 200_000
-#: Characters of text that are tokenized together.
-GROUP = 1 << 20
-#: White space other than the space and the line break (and NUL, which marks pieces here).
-_ODD = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Marks that always end a pre-token of letters; a run of them after a letter is a pre-token.
-_MARKS = ".,;:!?#$%&*|"
-
-
-class Encoder:
-    """Byte-level BPE of whole texts as bytes of little-endian ids, by cached pieces."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_break = line_break[0] if len(line_break) == 1 else None
-        self.break_ids = np.array(line_break, dtype=self.dtype).tobytes()
-        self.odd = False
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that can be encoded alone: one that begins with NUL stands as it is, one that begins with a line break too, all others follow a space."""
-        if any(s in text for s in self.special):
-            self.odd = True
-            return ["\0" + text]
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in _ODD):
-            self.odd = True
-            parts = _CUT.split(text)
-            return ["\0" + parts[0], *("\0 " + p for p in parts[1:])]
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces into the cache: from the older generation, as smaller pieces, or by the tokenizer.
-
-        A line break before a word stands alone, and so do marks after a word's last letter.
-        """
-        cache, made, need = self.cache, [], set()
-        known = pieces & self.older.keys()
-        cache.update(zip(known, map(self.older.__getitem__, known)))
-        for p in pieces - known:
-            own, head = p, ""
-            if p[0] == "\n":
-                own, head = "\0" + p[1:], "\0\n"
-            if own[-1] in _MARKS:
-                stem = own.rstrip(_MARKS)
-                if stem and stem[-1].isalpha():
-                    marks = "\0" + own[len(stem) :]
-                    need.add(marks)
-                    need.add(stem)
-                    made.append((p, head, stem, marks))
-                    continue
-            if head:
-                made.append((p, head, own, ""))
-            need.add(own)
-        need.difference_update(cache)
-        known = need & self.older.keys()
-        cache.update(zip(known, map(self.older.__getitem__, known)))
-        fresh = list(need - known)
-        for at in range(0, len(fresh), 4096):
-            self._encode_pieces(fresh[at : at + 4096])
-        cache[""], cache["\0\n"] = b"", self.break_ids
-        for p, head, stem, marks in made:
-            cache[p] = cache[head] + cache[stem] + cache[marks]
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Encode pieces, those without white space of their own as lines of one text: a line break is a pre-token and one id."""
-        plain, rest = pieces, []
-        if self.line_break is None:
-            plain, rest = [], pieces
-        elif self.odd:
-            plain, rest = [], []
-            for p in pieces:
-                text = p.removeprefix("\0")
-                (plain if text and not any(c.isspace() or c == "\0" for c in text) and not any(s in text for s in self.special) else rest).append(p)
-        if plain:
-            text = "\n".join([p[1:] if p[0] == "\0" else " " + p for p in plain])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.line_break).tolist()
-            if len(cuts) != len(plain) - 1:
-                raise ValueError("a line break is not a pre-token of this tokenizer")
-            w, data = self.dtype.itemsize, ids.tobytes()
-            self.cache.update(zip(plain, [data[a * w : b * w] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)])]))
-        if rest:
-            for p, got in zip(rest, self.tokenizer.encode_batch_fast([p[1:] if p[0] == "\0" else " " + p for p in rest], add_special_tokens=False), strict=True):
-                self.cache[p] = array(self.code, got.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.odd = False
-        cut = [self._pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.older, self.cache = self.cache, {}
-        # The empty text is the piece NUL alone.
-        self.cache["\0"] = b""
-        self._learn(set().union(*cut).difference(self.cache))
-        return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
+
+
+def _parts(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[list, bool, np.ndarray, np.ndarray]]:
+    """(ids of the rows that begin, whether the last of them ends, bytes, offsets of the rows) in parts of about GROUP bytes."""
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = t.as_py() or ""
-            ids.append(i)
-            texts.append(text)
-            size += len(text)
-            if size >= GROUP:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        ids = batch.column(0).to_pylist()
+        texts = batch.column(1).cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, side="right")) - 1)
+            to, begin, end = min(to, len(ids)), int(offsets[at]), int(offsets[min(to, len(ids))])
+            if to == at + 1:  # a row of any length, in parts
+                begun = ids[at:to]
+                while True:
+                    own = data[begin:end]
+                    n = encoder.part(own)
+                    yield begun, n == len(own), own[:n], np.array([0, n])
+                    begin, begun = begin + n, []
+                    if n == len(own):
+                        break
+            else:
+                yield ids[at:to], True, data[begin:end], offsets[at : to + 1] - begin
+            at = to
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = filesystem(folder)
-        encoder = Encoder(tokenizer)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        encoder = encoder_of(tokenizer)
         width = encoder.dtype.itemsize
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         doc_ids: list[int | None] = []
-        sizes: list[int] = []
+        sizes: list[int] = []  # ids of each document
+        open_ = 0  # ids of the document that goes on
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{name}") as out:
             out.write(MAGIC)
-            for ids, texts in _grouped(batches):
-                coded = encoder.encode(texts)
-                out.write(b"".join(x for c in coded for x in (c, end)))
-                doc_ids += ids
-                sizes += [len(c) // width + 1 for c in coded]
+            for begun, whole, data, offsets in _parts(batches, encoder):
+                ids, counts = encoder.encode(data, offsets)
+                doc_ids += begun
+                counts[0] += open_
+                if whole:
+                    out.write(np.insert(ids, np.cumsum(counts) - open_, end_id).tobytes())
+                    sizes += (counts + 1).tolist()
+                    open_ = 0
+                else:
+                    out.write(ids.tobytes())
+                    open_ = int(counts[0])
             nulls = sum(i is None for i in doc_ids)
             own = np.array(doc_ids[nulls:], dtype=np.int64)
             least = int(own[0]) if len(own) else 0

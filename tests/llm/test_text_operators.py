@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,11 +177,49 @@ def test_token_store(spark, docs, no_docs, rows):
     assert token_store.stored(no_docs).count() == 0
 
 
-def test_tokens_of_odd_texts():
-    encoder = token_store.Encoder(token_store.byte_bpe_path())
-    texts = ["", " ", "a  b", "x\n\ny", " lead", "trail ", "tab\tx y", "it's 'll x", "a b\u2003c\xa0d", "<|endoftext|> hi <|endoftext|>", "n\x00ul a b", "a\x1cb c \x85 d", "é 日本 語\n x", "\nstart", "end\n", "a \nb", "a\n b", "a\r\nb c"]
-    for text, coded in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(coded, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+ODD_TEXTS = ["", " ", "a  b", "x\n\ny", " lead", "trail ", "tab\tx y", "it's 'll x", "a b\u2003c\xa0d", "<|endoftext|> hi <|endoftext|>", "n\x00ul a b", "a\x1cb c \x85 d", "é 日本 語\n x", "\nstart", "end\n", "a \nb", "a\n b", "a\r\nb c", "×, é, д, ÷; ß!!! x’, e\u0301, 1, it's, a\u3000 b", "one two three", "a\nb\nc, d", "日\u3000 本 \u2003x \xa0y\xa0 z"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_of_odd_texts(name, monkeypatch):
+    import public_tokenizers
+
+    from shoebox.llm import piece_encoder
+
+    encoder = piece_encoder.Encoder(public_tokenizers.path(name))
+    assert encoder.by_pieces == (name == "byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = ODD_TEXTS + ["".join(rng.choices("ab ,.é×\n\t\xa0\u2003'1s漢", k=rng.randrange(40))) for _ in range(400)]
+    for most in (piece_encoder.CACHE_PIECES, 50):
+        monkeypatch.setattr(piece_encoder, "CACHE_PIECES", most)
+        for own in (texts, texts[22:]):
+            data = np.frombuffer("".join(own).encode(), np.uint8)
+            ids, counts = encoder.encode(data, np.cumsum([0, *(len(t.encode()) for t in own)]))
+            assert len(ids) == counts.sum()
+            for text, got in zip(own, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_are_tokenized_in_parts(spark, monkeypatch):
+    from shoebox.llm import piece_encoder
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab ,.é\n", k=300_000)), "x" * 20_000, "one two", None, " " * 5_000 + "end"]
+    encoder = piece_encoder.Encoder(token_store.byte_bpe_path())
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    at, parts = 0, []
+    while at < len(data):
+        n = encoder.part(data[at:], 10_000)
+        parts.append(encoder.encode(data[at : at + n], np.array([0, n]))[0])
+        at += n
+    whole = Tokenizer.from_file(token_store.byte_bpe_path()).encode(texts[0], add_special_tokens=False).ids
+    assert len(parts) > 20 and np.concatenate(parts).tolist() == whole
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(5), pa.int64()), "text": pa.array(texts)})
+    monkeypatch.setattr(token_store, "GROUP", 10_000)
+    monkeypatch.setattr(piece_encoder.Encoder.part, "__defaults__", (10_000,))
+    got = list(token_store._parts(iter([batch]), encoder))
+    assert sum(len(x[0]) for x in got) == 5 and b"".join(x[2].tobytes() for x in got).decode() == "".join(t or "" for t in texts)
 
 
 def test_warc_round_trip(spark):
