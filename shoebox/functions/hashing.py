@@ -26,11 +26,28 @@ def text_simhash(text: Column) -> Column:
     """64-bit fingerprint of the distinct lower-cased tokens, as 16 hex digits: a stand-in for an image hash."""
     tokens = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
     hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("bigint"))
-    out = F.transform(F.array(hashes), _majority)[0]
-    return F.lpad(F.lower(F.hex(out)), 16, "0")
-
-
-def _majority(hashes: Column) -> Column:
-    """Each bit that more hashes have than lack, counted in eight lanes of 8 bits at a time where they fit, else bit by bit."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("bigint")) == 1)) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    return F.lpad(F.lower(F.hex(F.transform(F.array(hashes), majority)[0])), 16, "0")
+
+
+#: Four lanes of 16 bits in a long; sums of up to LANE_MAX ones leave the top lane positive.
+LANES = 0x0001000100010001
+LANE_MAX = 16_000
+
+
+def majority(hashes: Column) -> Column:
+    """The bits that more than half of the longs have: lane k of 16 sums counts bits k, k + 16, k + 32 and k + 48 at once.
+
+    Arrays beyond LANE_MAX are counted bit by bit.
+    """
+    zero = F.lit(0).cast("bigint")
+    need = F.shiftright(F.size(hashes), 1).cast("bigint") + 1
+    up = (F.lit(16384).cast("bigint") - need) * F.lit(LANES)  # lifts a lane's bit 14 where its count is enough
+    out = zero
+    for k in range(16):
+        total = F.aggregate(hashes, zero, lambda a, h, k=k: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)))
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(total + up, 14).bitwiseAND(F.lit(LANES)), k))
+    many = zero
+    for b in range(64):
+        count = F.size(F.filter(hashes, lambda h, b=b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("bigint")) == 1))
+        many = many.bitwiseOR(F.when(count >= need, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(zero))
+    return F.when(F.size(hashes) <= LANE_MAX, out).otherwise(many)

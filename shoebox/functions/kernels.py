@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 _N = 32
 _BASIS = np.cos(np.pi / _N * (np.arange(_N) + 0.5)[None] * np.arange(8)[:, None])
@@ -61,22 +62,27 @@ def _pixels(data: bytes, size: int) -> np.ndarray | None:
     return out if len(out) == size and size else None
 
 
-@F.pandas_udf("string")
+def _doubles(*names: str) -> StructType:
+    """The type as an object: to parse a text for it, importing this module would need a session."""
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+@F.pandas_udf(StringType())
 def phash_udf(gray: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda d: None if (p := _pixels(d, 1024)) is None else phash(p), gray), dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dhash_udf(gray: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda d: None if (p := _pixels(d, 72)) is None else dhash(p), gray), dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sharpness_udf(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda d, w, h: None if (p := _pixels(d, int(w) * int(h))) is None else laplacian_variance(p, int(w), int(h)), gray, width, height), dtype=float)
 
 
-@F.pandas_udf("mean double, dark double, bright double")
+@F.pandas_udf(_doubles("mean", "dark", "bright"))
 def brightness_udf(gray: pd.Series) -> pd.DataFrame:
     rows = _each(lambda d: brightness(np.frombuffer(d, np.uint8)) if len(d) else None, gray)
     return pd.DataFrame([r or (None,) * 3 for r in rows], columns=["mean", "dark", "bright"], dtype=float)
@@ -85,7 +91,7 @@ def brightness_udf(gray: pd.Series) -> pd.DataFrame:
 COLOUR = ("r", "g", "b", "saturation", "saturation_std", "low_saturation", "high_saturation", "luminance", "luminance_std")
 
 
-@F.pandas_udf(", ".join(f"{c} double" for c in COLOUR))
+@F.pandas_udf(_doubles(*COLOUR))
 def colour_udf(rgb: pd.Series) -> pd.DataFrame:
     rows = _each(lambda d: colour(np.frombuffer(d, np.uint8)) if len(d) and len(d) % 3 == 0 else None, rgb)
     return pd.DataFrame([r or (None,) * len(COLOUR) for r in rows], columns=list(COLOUR), dtype=float)

@@ -6,32 +6,31 @@ j + 1, so the levels are worked off one after another for all elements of many d
 a document stops as soon as its slots are all filled (the early stop). Slots are dealt by
 permutation, hence correlated, which lowers the variance of the estimate.
 
-Groups: documents with equal sets become one node. A node's signature is cut into BANDS bands of ROWS
-values; nodes that agree on a band share a bucket. Buckets are never expanded into all pairs at once:
+Groups: each distinct set becomes one node with a number of its own, whatever ids its documents have. A node's signature is
+cut into BANDS bands of ROWS values; nodes that agree on a band share a bucket. Buckets are never expanded into all pairs:
 
-1. Each node is compared with one leader, the smallest node of the bucket(s) that it shares most often.
+1. Each node is compared with one leader. A bucket's leader is the node that shares buckets with most others; a node takes
+   the leader of most of its buckets.
 2. The links found are united (components). Buckets whose nodes are all in one component are done.
 3. In the buckets that are left, shingles that only one node has are counted. They are in no overlap, so
    nodes with too many of them cannot have a link any more and leave.
-4. What is left are pairs of different components. While these would be many, each node is compared
-   with about PARTNERS others, drawn anew in each round from one of its buckets, which soon unites
-   what belongs together.
-5. In the end, every pair that is left is compared, met by a prefix join: the shingles of the nodes left are put in
-   order, rarest first, and two sets of that similarity share one of their first n - ceil(0.8 n) + 1. So variants
-   of one text, which have its frequent shingles in common, only meet where they share an edit. How many they
-   share there bounds what they share in all. A pair is emitted once, at the first shingle that both have there,
-   and only if it shares a bucket.
-
-Pairs are only dropped where their sizes, the shingles that others have too, or their distances from a
-shared leader (the triangle inequality of the Jaccard distance) prove them under the threshold. Every link is confirmed on full
-sets. A pair at similarity 0.8 shares no band with a chance of 3e-6.
+4. The nodes left that share a bucket meet by a prefix join: their shingles are put in order, rarest first, and two sets of that similarity
+   share one of their first n - ceil(0.8 n) + 1. So variants of one text, which have its frequent shingles in common,
+   only meet where they share an edit. Nodes of the component that is the most frequent at a shingle do not meet each
+   other there. How many of their first shingles two nodes share bounds what they share in all.
+5. Every pair that is left is compared, and the links found are united.
+
+Pairs are only dropped where their sizes, the shingles that others have too, their first shingles, or their distances from a
+shared leader (the triangle inequality of the Jaccard distance) prove them under the threshold. Every link is confirmed on
+full sets, which meet by pair, so that no node's set is sent to one task for all its pairs. A pair at similarity 0.8
+shares no band with a chance of 3e-6.
 
 Defined cases: a text without words (null, empty) has an empty set and is linked with nothing; rows
-with the same id are one document; rows with a null id are grouped like others, and if a component
-has no other ids its component_id is null; ties go to the smallest id; an empty table gives an
-empty result; other columns are not read. `keep_one` passes them through and keeps one row of each
-component, whether ids are null or repeated: that with the smallest id (nulls last), then the smallest hash of
-the row; rows with an empty set are all kept.
+with the same id are one document (all its texts are linked); rows with a null id are grouped like others, and if a component
+has no other ids its component_id is null; any 64-bit id is allowed; an empty table gives an
+empty result; other columns are not read. Texts of any length are hashed in pieces. `keep_one` passes other columns
+through and keeps one row of each component, whether ids are null or repeated: that with the smallest id (nulls last), then
+the smallest hash of the row; rows with an empty set are all kept.
 """
 
 from __future__ import annotations
@@ -51,12 +50,6 @@ from .text_hash import U, mix, pieces, shingle_sets
 
 BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
-#: From here on up are stand-ins for null ids.
-STAND_IN = 1 << 62
-#: Pairs per bucket entry beyond which partners are drawn before all pairs that are left are written out.
-PAIRS_PER_NODE = 2
-PARTNER_ROUNDS = 2
-PARTNERS = 64
 #: Ids of candidates up to which they are broadcast to where the texts are; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _UNSET = U(0xFFFFFFFFFFFFFFFF)
@@ -127,57 +120,92 @@ def _sets(n: int):
     return run
 
 
-def _node():
-    """The id, or for rows without one a number from STAND_IN up that stands for their set."""
-    stand_in = F.xxhash64("digest").bitwiseOR(F.lit(STAND_IN)).bitwiseAND(F.lit((1 << 63) - 1))
-    return F.coalesce("id", F.when(F.col("digest").isNotNull(), stand_in))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b and other columns) with the similarity of their full sets."""
-    one, two = (sets.select(F.col("id").alias(x), F.col("sh").alias(f"s{x}")) for x in "ab")
-    same = F.size(F.array_intersect("sa", "sb")).cast("double")
-    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, "sa", "sb", same.alias("o")).select(*pairs.columns, (F.col("o") / (F.size("sa") + F.size("sb") - F.col("o"))).alias("same"), F.col("o"), (F.size("sa") + F.size("sb")).alias("both"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b and other columns) with the similarity of their full sets (same), and whether it is enough (near)."""
+    s = round(similarity * 10_000)
+    pairs = written(pairs, "pairs")
+    one, two = (pairs.select("a", "b", F.col(x).alias("node")).join(sets, "node").select("a", "b", F.col("sh").alias(f"s{x}")) for x in "ab")
+    both = F.size("sa") + F.size("sb")
+    met = one.join(two, ["a", "b"]).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"), both.cast("long").alias("both"))
+    out = met.select("a", "b", (F.col("o") / (F.col("both") - F.col("o"))).alias("same"), (F.col("o") * (10_000 + s) >= F.col("both") * s).alias("near"))
+    return written(out if pairs.columns == ["a", "b"] else pairs.join(out, ["a", "b"]), "tested")
 
 
-def _near(similarity: float):
-    """o / (both - o) >= similarity in whole numbers of ten-thousandths."""
-    s = round(similarity * 10_000)
-    return F.col("o") * (10_000 + s) >= F.col("both") * s
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold nodes of several components."""
+    open_ = written(entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "open")
+    return entries.join(open_, "bucket")
 
 
-def _linkable(entries: DataFrame, sets: DataFrame, several: DataFrame, similarity: float) -> DataFrame:
-    """Entries of open buckets that can still have a link: held becomes the number of shingles that another open node has too.
+def _linkable(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Nodes (node, n, label, held) of open buckets that can still have a link; held is the number of shingles that another open node has too.
 
     Shingles of one node only are in no overlap, so an overlap is at most `held`. An entry goes if that is too few for
-    the smallest size with which the bucket, or the threshold, would allow a link. Nodes of several sets stay.
+    the smallest size with which the bucket, or the threshold, would allow a link.
     """
     s = round(similarity * 10_000)
-    nodes = entries.select(F.col("node").alias("id")).distinct()
-    each = sets.join(nodes, "id", "left_semi").select("id", F.explode("sh").alias("h"))
-    alone = each.groupBy("h").agg(F.min("id").alias("node"), F.max("id").alias("last")).where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone")).join(several, "node", "left_anti")
-    least = entries.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = entries.join(alone, "node", "left").join(least, "bucket").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0)))
+    nodes = entries.select("node").distinct()
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("sh").alias("h"))
+    alone = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    least = written(entries.groupBy("bucket").agg(F.min("n").alias("least")), "least")
+    rows = entries.join(written(alone, "alone"), "node", "left").join(least, "bucket").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0)))
     other = F.greatest(F.col("least"), F.ceil(F.col("n") * s / 10_000))
-    rows = rows.where(F.col("held") * (10_000 + s) >= (F.col("n") + other) * s).select("bucket", "node", "n", "held", "label")
-    open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(open_, "bucket")
+    rows = written(rows.where(F.col("held") * (10_000 + s) >= (F.col("n") + other) * s).select("bucket", "node", "n", "held", "label"), "entries")
+    return written(_open(rows).select("node", "n", "held", "label").distinct(), "linkable")
+
+
+def _first_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, h, k): those k of a node's shingles, rarest among the nodes first, of which a near set has one."""
+    s = round(similarity * 10_000)
+    own = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("sh").alias("n"), F.explode("sh").alias("h"))
+    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ranked = own.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    least = (F.col("n") - F.ceil(F.col("n") * s / 10_000) + 1).cast("int")
+    return ranked.select("node", least.cast("long").alias("k"), F.explode(F.slice(F.col("all.h"), F.lit(1), least)).alias("h"))
+
+
+#: Of four lanes of 15 bits in a long: the highest bit of each, and the others.
+_HIGHEST = sum(1 << 15 * i + 14 for i in range(4))
+_OTHERS = (1 << 60) - 1 - _HIGHEST
+
 
+def _lanes(bands: Column, count: int) -> list[Column]:
+    """The lowest 15 bits of the bands of a node, four to a long."""
+    low = [F.get(bands, i).bitwiseAND(F.lit(0x7FFF)) for i in range(count)]
+    return [sum((F.shiftleft(x, 15 * i) for i, x in enumerate(low[at + 1 : at + 4], 1)), low[at]).alias(f"w{at // 4}") for at in range(0, count, 4)]
 
-def _rarest(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """One row per node of entries: its buckets, and as `first` those of its shingles, rarest first, of which a near set has one.
 
-    Nodes of several sets have one row per set.
+def _share_a_band(count: int) -> Column:
+    """Whether w0, w1 ... and w02, w12 ... have an equal lane: true if a band is equal, and for one pair in 32,768 / count besides.
+
+    A lane is zero if its highest bit stays clear when all other bits of it are added to ones.
     """
+    out = F.lit(False)
+    for at in range(0, count, 4):
+        unused = sum(1 << 15 * i for i in range(count - at, 4))
+        x = F.col(f"w{at // 4}").bitwiseXOR(F.col(f"w{at // 4}2")).bitwiseOR(F.lit(unused).cast("long"))
+        out = out | ((x.bitwiseAND(F.lit(_OTHERS)) + F.lit(_OTHERS)).bitwiseOR(x).bitwiseAND(F.lit(_HIGHEST)) != F.lit(_HIGHEST))
+    return out
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, pivot: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """(a, b, la, lb): pairs of nodes of different components that share a bucket and can be near, met by their first shingles."""
     s = round(similarity * 10_000)
-    nodes = entries.groupBy("node", "n", "held", "label").agg(F.collect_set("bucket").alias("buckets"))
-    own = sets.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.xxhash64("sh").alias("set"), F.size("sh").cast("long").alias("n"), "sh")
-    each = own.select("node", "set", "n", F.explode("sh").alias("h"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    least = F.col("n") - F.ceil(F.col("n") * s / 10_000) + 1
-    ranked = each.join(often, "h").groupBy("node", "set", "n").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("all"))
-    first = ranked.select("node", "n", F.slice(F.col("all.h"), F.lit(1), least.cast("int")).alias("first"))
-    return nodes.join(first, ["node", "n"])
+    rows = written(_first_shingles(nodes, sets, similarity).join(nodes, "node").join(pivot, "node", "left"), "first")
+    main = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", "c").alias("main"))
+    rest = rows.join(written(main, "main"), "h").where("label <> main")
+    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "h"])
+    differ = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
+    fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
+    apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
+    met = rest.join(other, "h").where(differ & fits & _share_a_band(bands) & ~apart)
+    first = F.col("node") < F.col("node2")
+    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for c, name in (("node", "{}"), ("label", "l{}")) for x, y, name in ((c, f"{c}2", name.format("a")), (f"{c}2", c, name.format("b")))]
+    # The set whose first shingles end earlier in the order has no others in the other's; so what both hold is at most `most`.
+    rest_of = F.greatest(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")).alias("more")
+    pairs = met.select(*sides, rest_of, (F.col("n") + F.col("n2")).alias("both")).groupBy("a", "b", "la", "lb", "more", "both").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where((F.col("shared") + F.col("more")) * (10_000 + s) >= F.col("both") * s).select("a", "b", "la", "lb")
 
 
 def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
@@ -187,8 +215,9 @@ def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, component_id) of every row of docs."""
-    out = _grouped(docs, id_col, text_col, n, similarity, bands, rows)
-    return out.select("id", "n", F.when(F.col("component") < STAND_IN, F.col("component")).alias("component_id"))
+    out, names = _grouped(docs, id_col, text_col, n, similarity, bands, rows)
+    out = out.join(names, "component", "left")
+    return out.select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _row_key(df: DataFrame) -> Column:
@@ -197,88 +226,70 @@ def _row_key(df: DataFrame) -> Column:
     return F.xxhash64(*cols, F.array(*[c.isNull() for c in cols]))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> DataFrame:
-    """(id, n, component, and key if it is given) of every row of docs; component may be a stand-in, and is the id where the set is empty."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 4, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, n, component, and key if it is given) of every row, (component, component_id) of every component).
+
+    component is a number, null where the set is empty; component_id is its smallest id.
+    """
+    s = round(similarity * 10_000)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = source if key is None else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     more = keyed.columns[2:]
     all_rows = written(keyed.mapInArrow(_sketches(n, bands, rows), ", ".join(["id long, n long, digest binary, bands array<bigint>", *(f"{c} long" for c in more)])), "sketches")
-    named = all_rows.where("digest is not null").withColumn("node", _node())
-    reps = written(named.groupBy("digest").agg(F.min("node").alias("node")), "reps")
-    repeated = written(named.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node"), "repeated")
-    again = not repeated.isEmpty()
-    nodes = named.join(reps, ["digest", "node"], "left_semi")
-    if again:
-        nodes = nodes.dropDuplicates(["digest", "node"])
+    named = all_rows.where("digest is not null")
+    nodes = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
-    entries = written(buckets.join(shared, "bucket").select("bucket", "lead", "node", "n"), "entries")
-
-    wanted = written(entries.select(F.col("node").alias("id")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("merge")
-    sets = source.join(wanted, "id", "left_semi").unionByName(source.where("id is null")).mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>")
-    sets = sets.where("digest is not null").select(_node().alias("id"), "digest", "sh")
-    sets = written((sets.dropDuplicates(["id", "digest"]) if again else sets).select("id", "sh"), "sets")
-
-    first = entries.where("node > lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", (-F.col("lead")).alias("neg"))).alias("x")).select((-F.col("x.neg")).alias("a"), F.col("node").alias("b"))
-    tested = written(_verified(first, sets).withColumn("near", _near(similarity)), "tested")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
+    entries = written(buckets.join(written(shared, "shared"), "bucket").select("bucket", "size", "node", "n"), "entries")
+    # The text that others are variants of agrees with most of them, so it leads.
+    weight = written(entries.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+    lead = entries.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("x")).select("bucket", "x.weight", (-F.col("x.neg")).alias("lead"))
+    lead = written(lead, "lead")
+
+    wanted = written(nodes.join(weight, "node", "left_semi").select("node", "digest", "id", "rows"), "wanted")
+    some = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df.hint("merge")
+    texts = source.join(some(wanted.select("id").where("id is not null").distinct()), "id", "left_semi").unionByName(source.where("id is null"))
+    sets = texts.mapInArrow(_sets(n), "id long, digest binary, sh array<bigint>").where("digest is not null")
+    sets = sets.join(some(wanted.withColumnRenamed("id", "own")), "digest").where(F.col("id").eqNullSafe(F.col("own"))).select("node", "rows", "sh")
+    # Of equal rows, and of equal texts without an id, one is enough.
+    sets = written(sets.where("rows = 1").unionByName(sets.where("rows > 1").dropDuplicates(["node"])).select("node", "sh"), "sets")
+
+    led = entries.join(lead, "bucket").join(weight.withColumnRenamed("weight", "own"), "node").where("node <> lead")
+    # Leaders of smaller weight than the node itself are left out, so that no pair comes twice.
+    led = led.where("weight > own or weight = own and lead < node").groupBy("node", "n", "lead", "weight").agg(F.count(F.lit(1)).alias("k"))
+    best = led.groupBy("node", "n").agg(F.max_by("lead", F.struct("k", "weight", -F.col("lead"))).alias("a"))
+    first = best.select("a", F.col("node").alias("b"), "n").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a")
+    tested = _verified(first.where(F.least("n", "m") * 10_000 >= F.greatest("n", "m") * s).select("a", "b"), sets, similarity)
     links = tested.where("near").select("a", "b")
-    if again:  # an id of several sets ties these together
-        links = links.unionByName(named.join(repeated, "node", "left_semi").join(reps.withColumnRenamed("node", "rep"), "digest").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    # The texts of an id that has several are linked.
+    several = named.where("id is not null").groupBy("id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("id", "first")
+    several = written(several, "several")
+    if not several.isEmpty():
+        of = lambda c, x: nodes.select(F.col("digest").alias(c), F.col("node").alias(x))
+        links = links.unionByName(named.join(several, "id").select("first", "digest").distinct().where("first <> digest").join(of("first", "a"), "first").join(of("digest", "b"), "digest").select("a", "b"))
     merged = [components(links)]
-    pivot = tested.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("same", "a")).alias("x")).select("node", F.col("x.a").alias("pivot"), (1 - F.col("x.same")).alias("far"))
-    entries = entries.select("bucket", "node", "n", F.col("n").alias("held"), F.col("node").alias("label"))
-    tested = tested.select("a", "b")
-
-    for turn in range(PARTNER_ROUNDS + 1):
-        named_entries = _relabelled(entries, merged[-1])
-        open_ = named_entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        entries = named_entries.join(open_, "bucket")
-        if turn == 0:
-            entries = _linkable(written(entries, "entries"), sets, repeated, similarity)
-        entries = written(entries, "entries")
-        counts = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("g")).groupBy("bucket").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"))
-        total = counts.agg(F.sum((F.col("g") * F.col("g") - F.col("gg")) / 2), F.sum("g")).first()
-        if not total[0]:
-            break
-        last = turn == PARTNER_ROUNDS or total[0] <= PAIRS_PER_NODE * total[1] + 10_000
-        s = round(similarity * 10_000)
-        if last:
-            own, met = written(_rarest(entries, sets, similarity), "rarest"), ["h"]
-            own = own.select("*", F.explode("first").alias("h"))
-            # The set whose first shingles end earlier in the order has no others in the other's; so what both hold is at most this.
-            most = F.size(F.array_intersect("first", "first2")) + F.greatest(F.col("n") - F.size("first"), F.col("n2") - F.size("first2"))
-            once = (most * (10_000 + s) >= (F.col("n") + F.col("n2")) * s) & (F.array_intersect("first", "first2")[0] == F.col("h")) & F.arrays_overlap("buckets", "buckets2")
-        else:
-            one = entries.groupBy("node", "n", "held", "label").agg(F.min_by("bucket", F.xxhash64("bucket", F.lit(turn))).alias("bucket"))
-            parts = one.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-            own = one.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int")).drop("parts")
-            met, once = ["bucket", "part"], F.lit(True)
-        own = own.join(pivot, "node", "left")
-        other = own.select(*met, *[F.col(c).alias(f"{c}2") for c in own.columns if c not in (*met, "bucket", "part")])
-        # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
-        fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
-        apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-        pairs = own.join(other, met).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits & ~apart & once).select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
-        fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        now = written(_verified(fresh, sets).withColumn("near", _near(similarity)), "tested")
-        tested = tested.unionByName(now.select("a", "b"))
-        merged.append(components(now.where("near"), "la", "lb"))
-        if last:
-            break
+    pivot = tested.select(F.col("b").alias("node"), F.col("a").alias("pivot"), (1 - F.col("same")).alias("far"))
+
+    left = written(_open(_relabelled(entries.select("bucket", "node", "n", F.col("node").alias("label")), merged[0])), "entries")
+    if not left.isEmpty():
+        open_ = _linkable(left, sets, similarity)
+        open_ = open_.join(nodes.select("node", *_lanes(F.col("bands"), bands)), "node")
+        fresh = _prefix_pairs(open_, sets, pivot, similarity, bands).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        merged.append(components(_verified(fresh, sets, similarity).where("near"), "la", "lb"))
 
-    lookup = reps.withColumn("label", F.col("node"))
+    lookup = nodes.select("digest", "id", F.col("node").alias("label"))
     for step in merged:
         lookup = _relabelled(lookup, step)
-    lookup = lookup.select("digest", F.col("label").alias("component_id"))
-    out = all_rows.select("id", "n", "digest", *more).join(lookup, "digest", "left")
-    return out.select("id", "n", F.coalesce("component_id", "id").alias("component"), *more)
+    lookup = written(lookup.select("digest", "id", F.col("label").alias("component")), "components")
+    names = lookup.groupBy("component").agg(F.min("id").alias("component_id"))
+    return all_rows.select("id", "n", "digest", *more).join(lookup.drop("id"), "digest", "left").select("id", "n", "component", *more), names
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row of each group of near-duplicates (that with the smallest id), and every row with an empty set, with their own columns."""
     key = _row_key(docs)
-    out = _grouped(docs, id_col, text_col, **settings, key=key)
+    out, _ = _grouped(docs, id_col, text_col, **settings, key=key)
     # Rows are told apart by id and key; those with both in common are equal, and k counts them.
     each = out.where("n > 0").groupBy("component", "id", "key").agg(F.count(F.lit(1)).alias("k"))
     best = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "k")).alias("x")).select("x.id", "x.key", (F.col("x.k") > 1).alias("again"))

@@ -86,11 +86,7 @@ def rule_verdicts(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Da
 
 def blocked_nodes(ruled: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes of redirect classes of which a rule blocks a member. ruled: node, verdict."""
-    members = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    ids = written(members.select("node", F.xxhash64("node").alias("id")), "nodes")
-    of = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
-    numbered = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    classes = ids.join(components(numbered), "id").select("node", "component")
+    classes = components(edges).withColumnRenamed("id", "node")
     bad = ruled.where("verdict = 'block'").select("node").distinct().join(classes, "node").select("component").distinct()
     return classes.join(bad, "component", "left_semi").select("node")
 
@@ -122,17 +118,33 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+
+def _tag(name: str, key: str, value: str, target: str) -> str:
+    """SQL: the target in the first tag of html that has the key."""
+    return f"""regexp_extract(list_filter(regexp_extract_all(html, '(?is)<{name}\\b[^>]*'), lambda x: regexp_matches(x, '(?is)\\b{key}\\s*=\\s*["'']?{value}\\b') AND regexp_matches(x, '(?is){target}'))[1], '(?is).*{target}', 1)"""
+
+
 ORACLE = f"""
 WITH RECURSIVE rules(v, h, p) AS (VALUES {_VALUES}),
 u AS (SELECT row_number() OVER () AS rid, page_id, url, html, position('://' IN coalesce(url, '')) AS pos FROM pages),
 s AS (SELECT *, CASE WHEN pos > 0 THEN url[pos + 3:] ELSE '' END AS rest FROM u),
-t AS (SELECT rid, page_id, url, html, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\??[^#]*)', 1) AS query FROM s),
-n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM t),
+t AS (SELECT rid, page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\??[^#]*)', 1) AS query FROM s),
+n AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS own, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM t),
 f AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid),
-e0 AS (SELECT node AS a, regexp_replace(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?[a-z]+://([^"''\\s>#]+)', 1), '^([^/?]*)$', '\\1/') AS b FROM n WHERE node IS NOT NULL),
-e AS (SELECT a, b FROM e0 WHERE b <> '' UNION SELECT b, a FROM e0 WHERE b <> ''),
+k AS (SELECT node, host, own, query, {_tag("link", "rel", "canonical", """\\bhref\\s*=\\s*["'']?([^"''\\s>]+)""")} AS raw FROM n WHERE node IS NOT NULL
+      UNION ALL SELECT node, host, own, query, {_tag("meta", "http-equiv", "refresh", """\\bcontent\\s*=\\s*["'']?[^"''>]*?url\\s*=\\s*["'']?([^"''\\s>]+)""")} FROM n WHERE node IS NOT NULL),
+k1 AS (SELECT node, host, own, query, regexp_replace(raw, '(?i)&amp;|&#0*38;|&#x0*26;', '&', 'g') AS l FROM k WHERE raw <> ''),
+k2 AS (SELECT node AS a, regexp_replace(CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(l, '^.*?://', '') WHEN starts_with(l, '//') THEN l[3:] WHEN starts_with(l, '/') THEN host || l
+        WHEN starts_with(l, '?') THEN host || own || l WHEN starts_with(l, '#') THEN host || own || query ELSE host || regexp_extract(own, '^(.*/)?') || l END, '#.*$', '') AS rest FROM k1),
+k3 AS (SELECT a, translate(regexp_extract(rest, '^[^/?]*'), '{_UPPER}', '{_LOWER}') AS h, regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS p, regexp_extract(rest, '^[^?]*(.*)$', 1) AS q FROM k2),
+k4 AS (SELECT a, h || CASE WHEN p = '' THEN '/' WHEN regexp_matches(p, '/\\.\\.?(/|$)') THEN
+        list_reduce(string_split(p, '/'), lambda x, y: CASE y WHEN '.' THEN x WHEN '..' THEN regexp_replace(x, '/[^/]*$', '') ELSE x || '/' || y END) || CASE WHEN regexp_matches(p, '/\\.\\.?$') THEN '/' ELSE '' END ELSE p END || q AS b FROM k3 WHERE h <> ''),
+e AS (SELECT a, b FROM k4 WHERE a <> b UNION SELECT b, a FROM k4 WHERE a <> b),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-bad AS (SELECT DISTINCT r.b AS node FROM r JOIN n ON n.node = r.a JOIN f USING (rid) WHERE f.v = 'block')
+seen AS (SELECT n.node, f.v FROM n JOIN f USING (rid) UNION ALL SELECT a, v FROM (SELECT DISTINCT a, regexp_extract(a, '^[^/]*') AS host, regexp_extract(a, '^[^/]*([^?]*)', 1) AS path FROM e)
+         JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY a ORDER BY length(h || p) DESC) = 1),
+bad AS (SELECT DISTINCT r.b AS node FROM r JOIN seen ON seen.node = r.a WHERE seen.v = 'block')
 SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.v, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN f.v IS NOT NULL THEN 'rule' WHEN bad.node IS NOT NULL THEN 'redirect' ELSE 'default' END AS decided_by
 FROM n LEFT JOIN f USING (rid) LEFT JOIN bad USING (node)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +28,51 @@ def exact_counts(media: DataFrame) -> DataFrame:
     return by.groupBy("trip_id").agg(F.sum("n").alias("scanned"), F.count(F.lit(1)).alias("distinct_hashes"), F.count_if(F.col("n") >= 2).alias("cohorts"), F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("members"))
 
 
-def similar_nodes(media: DataFrame) -> DataFrame:
-    """(trip_id, bits, node, n): distinct hashes of active images in a trip, with the smallest id and the number of images."""
-    rows = media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")).where("bits is not null")
-    return rows.groupBy("trip_id", "bits").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+#: Distinct hashes in the largest trip up to which short bands are the cheaper index.
+BANDS_UP_TO = 4_000
 
 
-def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """(trip_id, a, b, distance): distinct hashes of a trip within the threshold.
 
-    The 64 bits are cut into threshold + 1 bands; hashes within the threshold agree on a band, so an
-    equi-join on (trip, band, value) finds all of them. The pair counts only in its first common band.
+    The 64 bits are cut into blocks. Hashes within the threshold differ in at most floor(threshold / blocks) bits of one
+    of them, so an equi-join of (trip, block, value) with all values that near finds each pair, whatever the number
+    of blocks. threshold + 1 blocks need one row each, but a block of few bits is shared by many hashes of a large
+    trip; three blocks need hundreds of rows for a hash, which meet a few of a million. By default the largest trip
+    decides. A pair counts only in the first block where it is that near.
     """
-    k = threshold + 1
-    cuts = [round(64 * i / k) for i in range(k + 1)]
-    part = lambda c, i: F.shiftrightunsigned(F.col(c), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 63 else -1))
-    bands = nodes.select("trip_id", "bits", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part("bits", i).alias("value")) for i in range(k)])).alias("x")).select("trip_id", "bits", "node", "x.band", "x.value")
-    other = bands.select("trip_id", "band", "value", F.col("bits").alias("bits2"), F.col("node").alias("node2"))
-    first = F.coalesce(*[F.when(part("bits", i) == part("bits2", i), F.lit(i)) for i in range(k)])
-    distance = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
-    return bands.join(other, ["trip_id", "band", "value"]).where((F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("band"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
+    if blocks is None:
+        largest = nodes.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        blocks = threshold + 1 if largest <= BANDS_UP_TO else min(3, threshold + 1)
+    radius = threshold // blocks
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [(1 << (hi - lo)) - 1 if hi - lo < 63 else -1 for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    part = lambda c, i: F.shiftrightunsigned(F.col(c), cuts[i]).bitwiseAND(F.lit(masks[i]))
+    flips = [[sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(hi - lo), r)] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    own = nodes.select("trip_id", "bits", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part("bits", i).alias("value")) for i in range(blocks)])).alias("x")).select("trip_id", "bits", "node", "x.block", "x.value")
+    other = own.select("trip_id", "block", "value", F.col("bits").alias("bits2"), F.col("node").alias("node2"))
+    if radius:
+        probes = nodes.sparkSession.createDataFrame([(i, x) for i, of in enumerate(flips) for x in of], "block int, flip long")
+        own = own.join(F.broadcast(probes), "block").select("trip_id", "bits", "node", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    differ = F.col("bits").bitwiseXOR(F.col("bits2"))
+    first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, cuts[i]).bitwiseAND(F.lit(masks[i]))) <= radius, F.lit(i)) for i in range(blocks)])
+    distance = F.bit_count(differ)
+    return own.join(other, ["trip_id", "block", "value"]).where((F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
+
+
+def image_hashes(media: DataFrame) -> DataFrame:
+    """(trip_id, id, bits) of active images, written so that a derived hash is computed once."""
+    return written(media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")).where("bits is not null"), "hashes")
+
+
+def _nodes(hashes: DataFrame) -> DataFrame:
+    return written(hashes.groupBy("trip_id", "bits").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
 
 
 def image_pairs(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(trip_id, a, b, distance): all pairs of images within the threshold, equal hashes included (the expanded form)."""
-    rows = media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")).where("bits is not null")
-    nodes = similar_nodes(media)
+    rows = image_hashes(media)
+    nodes = _nodes(rows)
     near = near_hashes(nodes, threshold)
     bits = nodes.select("trip_id", "node", "bits")
     links = near.join(bits.select("trip_id", F.col("node").alias("a"), F.col("bits").alias("x")), ["trip_id", "a"]).join(bits.select("trip_id", F.col("node").alias("b"), F.col("bits").alias("y")), ["trip_id", "b"]).select("trip_id", "x", "y", "distance")
@@ -62,20 +83,33 @@ def image_pairs(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def similar_cohorts(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(trip_id, component, id, bits): members of the components (two or more images) of similar images."""
-    rows = written(media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")).where("bits is not null"), "hashes")
-    nodes = written(similar_nodes(media), "nodes")
+    rows = image_hashes(media)
+    nodes = _nodes(rows)
     found = components(near_hashes(nodes, threshold)).withColumnRenamed("id", "node")
     named = rows.join(nodes.select("trip_id", "bits", "node", "n"), ["trip_id", "bits"]).join(found, "node", "left")
     return named.where("component is not null or n > 1").select("trip_id", F.coalesce("component", "node").alias("component"), "id", "bits")
 
 
 def cohort_scores(members: DataFrame) -> DataFrame:
-    """(trip_id, component, n, max_distance, confidence): the largest distance of any two members, over distinct hashes."""
-    size = members.groupBy("trip_id", "component").agg(F.count(F.lit(1)).alias("n"))
-    one = members.select("trip_id", "component", "bits").distinct()
-    two = one.withColumnRenamed("bits", "bits2")
-    far = one.join(two, ["trip_id", "component"]).where("bits <= bits2").groupBy("trip_id", "component").agg(F.max(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))).alias("max_distance"))
-    return size.join(far, ["trip_id", "component"]).withColumn("confidence", clamp01(1 - F.col("max_distance") / 64))
+    """(trip_id, component, n, max_distance, confidence): the largest distance of any two members, over distinct hashes.
+
+    A pair can only be farther apart than the farthest from `end` (itself the farthest from `head`) if its distances from
+    `head` sum to more; only such pairs meet, by their distances from `head`.
+    """
+    keys = ["trip_id", "component"]
+    size = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    one = members.select(*keys, "bits").distinct()
+    one = one.join(one.groupBy(*keys).agg(F.min("bits").alias("head")), keys).withColumn("d", apart("bits", "head"))
+    ends = one.groupBy(*keys).agg(F.max_by("bits", F.struct("d", "bits")).alias("end"), F.max("d").alias("most"))
+    seen = one.join(ends, keys).withColumn("e", apart("bits", "end"))
+    least = seen.groupBy(*keys).agg(F.max("e").alias("least"))
+    open_ = seen.join(least, keys).where("d + most > least")
+    other = open_.select(*keys, F.col("d").alias("level"), F.col("bits").alias("bits2"))
+    levels = F.explode(F.sequence(F.greatest(F.col("least") - F.col("d") + 1, F.lit(0)), F.col("most")))
+    far = open_.where("least - d + 1 <= most").select(*keys, "bits", levels.alias("level")).join(other, [*keys, "level"]).where("bits < bits2").groupBy(*keys).agg(F.max(apart("bits", "bits2")).alias("far"))
+    out = size.join(least, keys).join(far, keys, "left")
+    return out.select(*keys, "n", F.greatest("least", "far").alias("max_distance")).withColumn("confidence", clamp01(1 - F.col("max_distance") / 64))
 
 
 def item_similarity(members: DataFrame) -> DataFrame:

@@ -87,9 +87,54 @@ def test_chains_and_hubs(spark, seed):
     assert got(out) == brute(rows)
 
 
-def test_partner_rounds_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_NODE", -(10**9))
-    test_chains_and_hubs.__wrapped__(spark, 3) if hasattr(test_chains_and_hubs, "__wrapped__") else test_chains_and_hubs(spark, 3)
+def test_shuffled_texts_and_any_ids(spark, monkeypatch):
+    """Where the ids wanted are too many to be broadcast; ids of all 64 bits, null and repeated ones."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    rng = random.Random(6)
+    rows, words = [], [f"w{i}" for i in range(200)]
+    ids = [None, None, -(1 << 63), (1 << 63) - 1, (1 << 62) + 5, (1 << 62) + 6, 7, 7, -3, 0]
+    for k in range(12):
+        text = rng.choices(words, k=60)
+        for _ in range(5):
+            own = list(text)
+            own[rng.randrange(60)] = "other"
+            rows.append((rng.choice(ids) if rng.random() < 0.7 else (1 << 62) + rng.randrange(1 << 62), " ".join(own)))
+        rows += rows[-1:] * (k % 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.groups(df)) == brute(rows)
+    alone = spark.createDataFrame([((1 << 62) + 5, "a b c d e f"), (None, "g h i j k l"), (1, "m n o p q r")], "doc_id long, text string")
+    assert near_dedup.keep_one(alone).count() == 3 and near_dedup.groups(alone).where("component_id is null").count() == 1
+
+
+def test_nodes_that_share_a_band():
+    """The lanes find every equal band; near variants of one family meet across components."""
+    rng = np.random.default_rng(0)
+    hit = 0
+    for bands in (24, 6):
+        for _ in range(300):
+            x, y = (rng.integers(0, 1 << 15, bands).tolist() for _ in "xy")
+            if rng.random() < 0.5:
+                k = rng.integers(bands)
+                y[k] = x[k]
+            pack = lambda v: [sum(b << 15 * i for i, b in enumerate(v[at : at + 4])) for at in range(0, bands, 4)]
+            zero = False
+            for at, (p, q) in enumerate(zip(pack(x), pack(y), strict=True)):
+                d = (p ^ q) | sum(1 << 15 * i for i in range(bands - 4 * at, 4))
+                zero |= (((d & near_dedup._OTHERS) + near_dedup._OTHERS) | d) & near_dedup._HIGHEST != near_dedup._HIGHEST
+            assert zero == any(p == q for p, q in zip(x, y, strict=True))
+            hit += zero
+    assert hit > 200
+
+
+@pytest.mark.parametrize("bands", [24, 6])
+def test_variants_of_one_text(spark, bands):
+    """Texts that take each paragraph from a few versions: many pairs just under and over the threshold."""
+    rng = random.Random(9)
+    versions = [[[f"{p}.{v}.{i}" for i in range(12)] for v in range(3)] for p in range(10)]
+    rows = [(i, " ".join(w for p in versions for w in (p[0] if rng.random() < 0.8 else rng.choice(p)))) for i in range(120)]
+    want = brute(rows)
+    out = got(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), bands=bands))
+    assert out == want if bands == 24 else {d for d, _, _ in out} == {d for d, _, _ in want}
 
 
 def test_signature_estimates(rng=np.random.default_rng(5)):
