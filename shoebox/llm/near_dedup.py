@@ -16,8 +16,9 @@ cut into BANDS bands of ROWS values; nodes that agree on a band share a bucket.
    nodes with too many of them cannot have a link any more and leave.
 4. The nodes left that share a bucket meet by a prefix join: their shingles are put in order, rarest first, and two sets of that similarity
    share one of their first n - ceil(0.8 n) + 1. So variants of one text, which have its frequent shingles in common,
-   only meet where they share an edit. Nodes of the component that is the most frequent at a shingle do not meet each
-   other there. How many of their first shingles two nodes share bounds what they share in all.
+   only meet where they share an edit, and a pair only meets at the first shingle that both have. Nodes of the component
+   that is the most frequent at a shingle do not meet each other there. How many of their first shingles two nodes share
+   bounds what they share in all.
 5. Every pair that is left is compared, and the links found are united.
 
 Pairs are only dropped where their sizes, the shingles that others have too, their first shingles, or their distances from a
@@ -155,13 +156,18 @@ def _linkable(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
 
 def _first_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, h, k): those k of a node's shingles, rarest among the nodes first, of which a near set has one."""
+    """(node, first, k, h, at): the first k of a node's shingles, rarest among the nodes first, of which a near set has one.
+
+    `first` are those of them that other nodes have too, and each is a row with its place in the order.
+    """
     s = round(similarity * 10_000)
     own = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("sh").alias("n"), F.explode("sh").alias("h"))
     often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
     ranked = own.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
     least = (F.col("n") - F.ceil(F.col("n") * s / 10_000) + 1).cast("int")
-    return ranked.select("node", least.cast("long").alias("k"), F.explode(F.slice(F.col("all.h"), F.lit(1), least)).alias("h"))
+    ranked = ranked.select("node", least.cast("long").alias("k"), F.filter(F.slice("all", F.lit(1), least), lambda x: x["often"] > 1)["h"].alias("first"))
+    # Those that no other node has come before them.
+    return ranked.select("node", "first", "k", F.posexplode("first").alias("at", "h")).withColumn("at", F.col("at") + F.col("k") - F.size("first"))
 
 
 #: Of four lanes of 15 bits in a long: the highest bit of each, and the others.
@@ -199,13 +205,14 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, pivot: DataFrame, similarit
     # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
     fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
     apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-    met = rest.join(other, "h").where(differ & fits & _share_a_band(bands) & ~apart)
-    first = F.col("node") < F.col("node2")
-    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for c, name in (("node", "{}"), ("label", "l{}")) for x, y, name in ((c, f"{c}2", name.format("a")), (f"{c}2", c, name.format("b")))]
-    # The set whose first shingles end earlier in the order has no others in the other's; so what both hold is at most `most`.
-    rest_of = F.greatest(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")).alias("more")
-    pairs = met.select(*sides, rest_of, (F.col("n") + F.col("n2")).alias("both")).groupBy("a", "b", "la", "lb", "more", "both").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where((F.col("shared") + F.col("more")) * (10_000 + s) >= F.col("both") * s).select("a", "b", "la", "lb")
+    # The shingle is the first that both have, so what both hold begins there; the set whose first shingles end earlier
+    # in the order has no others of the other's.
+    both, begins = F.col("n") + F.col("n2"), F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    common = F.array_intersect("first", "first2")
+    most = F.size(common) + F.greatest(F.col("n") - F.col("k"), F.col("n2") - F.col("k2"))
+    once = (begins * (10_000 + s) >= both * s) & (common[0] == F.col("h")) & (most * (10_000 + s) >= both * s)
+    met = rest.join(other, "h").where(differ & fits & _share_a_band(bands) & ~apart & once)
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
 
 
 def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
@@ -275,7 +282,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 4, similarity
     if not left.isEmpty():
         open_ = _linkable(left, sets, similarity)
         open_ = open_.join(nodes.select("node", *_lanes(F.col("bands"), bands)), "node")
-        fresh = _prefix_pairs(open_, sets, pivot, similarity, bands).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = _prefix_pairs(open_, sets, pivot, similarity, bands)
+        seen = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        fresh = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
         merged.append(components(_verified(fresh, sets, similarity).where("near"), "la", "lb"))
 
     lookup = nodes.select("digest", "id", F.col("node").alias("label"))
