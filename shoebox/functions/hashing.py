@@ -34,6 +34,14 @@ LANES = 0x0001000100010001
 LANE_MAX = 16_000
 
 
+def _lane_sum(k: int):
+    return lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))
+
+
+def _has(bit: int):
+    return lambda h: F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
 def majority(hashes: Column) -> Column:
     """The bits that more than half of the longs have: lane k of 16 sums counts bits k, k + 16, k + 32 and k + 48 at once.
 
@@ -44,10 +52,10 @@ def majority(hashes: Column) -> Column:
     up = (F.lit(16384).cast("bigint") - need) * F.lit(LANES)  # lifts a lane's bit 14 where its count is enough
     out = zero
     for k in range(16):
-        total = F.aggregate(hashes, zero, lambda a, h, k=k: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)))
+        total = F.aggregate(hashes, zero, _lane_sum(k))
         out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(total + up, 14).bitwiseAND(F.lit(LANES)), k))
     many = zero
     for b in range(64):
-        count = F.size(F.filter(hashes, lambda h, b=b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("bigint")) == 1))
+        count = F.size(F.filter(hashes, _has(b)))
         many = many.bitwiseOR(F.when(count >= need, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(zero))
     return F.when(F.size(hashes) <= LANE_MAX, out).otherwise(many)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,65 +50,57 @@ EPSILON = 0.01
 _SCORES = ("quality", "sharpness", "exposure", "color")
 
 
-def _compare(a: dict, b: dict) -> int:
-    """Scores downward with ties within EPSILON and nulls last, then size, file size, age, id."""
-    for name in _SCORES:
-        x, y = a[name], b[name]
-        if (x is None) != (y is None):
-            return 1 if x is None else -1
-        if x is not None and abs(y - x) > EPSILON:
-            return 1 if y > x else -1
-    for name in ("resolution", "file_size"):
-        if (a[name] or 0) != (b[name] or 0):
-            return 1 if (b[name] or 0) > (a[name] or 0) else -1
-    for name in ("created_at", "media_id"):
-        x, y = a[name], b[name]
-        if x != y:
-            return 1 if x is None else -1 if y is None or x < y else 1
-    return 0
-
-
-def _say(x: float | None) -> str:
-    if x is None:
-        return "n/a"
-    v = int(x * 1000 + 0.5) / 1000 if x >= 0 else -int(-x * 1000 + 0.5) / 1000
-    return str(int(v)) if v == int(v) else repr(v)
-
-
-def _reason(row: dict, best: dict, members: int) -> str:
-    """Why a member is kept or removed: the axis on which it lost."""
-    q, w = row["quality"], best["quality"]
-    if row is best:
-        return f"recommended: quality {_say(q)}, best of {members}" if q is not None else f"recommended: no quality yet, first of {members} by tie-breakers"
-    if q is None:
-        return f"no quality yet; winner has {_say(w)}" if w is not None else "no quality for either; lost on tie-breakers"
-    if abs(q - w) > EPSILON:
-        return f"quality {_say(q)} < winner {_say(w)}"
+def _tied(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """rows with a class for their score: 1 for the best of their group and all within EPSILON of it, 2 for the next best and all within EPSILON of that ...; scores that are null come last.
+
+    A group's distinct scores are gathered, not its rows. Scores are rounded to four places where they are made, so there
+    are 10,001 at most, however large the group.
+    """
+    scores = rows.where(F.col(score).isNotNull()).select(*keys, score).distinct()
+    down = F.sort_array(F.collect_list(score), asc=False)
+    none = F.array().cast("array<double>")
+    best = F.aggregate("all", none, lambda kept, v: F.when((F.size(kept) == 0) | (F.element_at(kept, -1) - v > EPSILON), F.concat(kept, F.array(v))).otherwise(kept))
+    heads = scores.groupBy(*keys).agg(down.alias("all")).select(*keys, best.alias("heads"))
+    place = F.size(F.filter("heads", lambda h: h >= F.col(score)))
+    return rows.join(heads, keys, "left").withColumn(f"{score}_class", F.when(F.col(score).isNull(), F.lit(1 << 30)).otherwise(place)).drop("heads")
+
+
+def _say(x: Column) -> Column:
+    """A score to three places, without zeros at the end."""
+    return F.coalesce(F.regexp_replace(F.format_string("%.3f", F.floor(x * 1000 + 0.5) / 1000), r"\.?0+$", ""), F.lit("n/a"))
+
+
+def _reason() -> Column:
+    """Why a member is kept or removed: the axis on which it lost. w_... are the winner's."""
+    q, w, say = F.col("quality"), F.col("w_quality"), _say
+    best = F.when(q.isNotNull(), F.concat(F.lit("recommended: quality "), say(q), F.lit(", best of "), F.col("members"))).otherwise(F.concat(F.lit("recommended: no quality yet, first of "), F.col("members"), F.lit(" by tie-breakers")))
+    out = F.when(F.col("rank") == 0, best).when(q.isNull() & w.isNotNull(), F.concat(F.lit("no quality yet; winner has "), say(w))).when(q.isNull(), "no quality for either; lost on tie-breakers")
+    out = out.when(F.abs(q - w) > EPSILON, F.concat(F.lit("quality "), say(q), F.lit(" < winner "), say(w)))
+    tied = lambda name, x, y: F.concat(F.lit("tied on quality "), say(q), F.lit(f"; lost on {name} "), x, F.lit(" < winner "), y)
     for name in _SCORES[1:]:
-        x, y = row[name], best[name]
-        if y is not None and (x is None or y - x > EPSILON):
-            return f"tied on quality {_say(q)}; lost on {name} {_say(x)} < winner {_say(y)}"
+        x, y = F.col(name), F.col(f"w_{name}")
+        out = out.when(y.isNotNull() & (x.isNull() | (y - x > EPSILON)), tied(name, say(x), say(y)))
     for name in ("resolution", "file_size"):
-        if (best[name] or 0) > (row[name] or 0):
-            return f"tied on quality {_say(q)}; lost on {name} {row[name] or 0} < winner {best[name] or 0}"
-    return f"tied on quality {_say(q)}; lost on age or id"
-
-
-def _ranked(rows: pd.DataFrame) -> pd.DataFrame:
-    members = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in rows.to_dict("records")]
-    members.sort(key=lambda r: (r["similarity"] is None, -(r["similarity"] or 0), r["media_id"]))
-    members.sort(key=cmp_to_key(_compare))
-    out = [(r["group_id"], r["media_id"], i, "keep" if i == 0 else "remove", _reason(r, members[0], len(members))) for i, r in enumerate(members)]
-    return pd.DataFrame(out, columns=["group_id", "media_id", "rank", "recommendation", "reason"]).astype({"rank": "int32"})
+        x, y = (F.coalesce(F.col(c), F.lit(0)) for c in (name, f"w_{name}"))
+        out = out.when(y > x, tied(name, x.cast("string"), y.cast("string")))
+    return out.otherwise(F.concat(F.lit("tied on quality "), say(q), F.lit("; lost on age or id")))
 
 
 def ranked_duplicates(members: DataFrame) -> DataFrame:
     """(group_id, media_id, rank, recommendation, reason) of the members of duplicate groups.
 
-    The comparison ties scores within EPSILON, so it is no order that a sort key could express; each group (a
-    few copies of one picture) is sorted in an Arrow group task. Columns: group_id, media_id, similarity, quality,
-    sharpness, exposure, color, resolution, file_size, created_at.
+    Scores downward, with those within EPSILON tied and nulls last, then size, file size, age and id. A chain of scores each
+    within EPSILON of the next is no tie of all: a class ends EPSILON below its best, so whoever leads by more stays ahead.
+    Columns: group_id, media_id, quality, sharpness, exposure, color, resolution, file_size, created_at.
     """
-    cols = ["group_id", "media_id", "similarity", *_SCORES, "resolution", "file_size", "created_at"]
-    group, media = dict(members.dtypes)["group_id"], dict(members.dtypes)["media_id"]
-    return members.select(*cols).groupBy("group_id").applyInPandas(_ranked, f"group_id {group}, media_id {media}, rank int, recommendation string, reason string")
+    rows, keys = members.select("group_id", "media_id", *_SCORES, "resolution", "file_size", "created_at"), ["group_id"]
+    for score in _SCORES:
+        rows = _tied(rows, keys, score)
+        keys = [*keys, f"{score}_class"]
+    size = [F.coalesce(F.col(c), F.lit(0)).desc() for c in ("resolution", "file_size")]
+    order = Window.partitionBy("group_id").orderBy(*keys[1:], *size, F.asc_nulls_last("created_at"), "media_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    winner = [F.first(c).over(whole).alias(f"w_{c}") for c in (*_SCORES, "resolution", "file_size")]
+    counted = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
+    rows = rows.select("*", (F.row_number().over(order) - 1).alias("rank"), *winner).join(counted, "group_id")
+    return rows.select("group_id", "media_id", "rank", F.when(F.col("rank") == 0, "keep").otherwise("remove").alias("recommendation"), _reason().alias("reason"))

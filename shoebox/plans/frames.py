@@ -28,11 +28,11 @@ FRAMES = {
         CASE min(concat(l_returnflag, l_linestatus)) WHEN 'AF' THEN 'success' WHEN 'AO' THEN 'pending' WHEN 'NF' THEN 'running' WHEN 'NO' THEN 'retrying' WHEN 'RF' THEN 'failed' ELSE 'cancelled' END AS status,
         l_linenumber % 5 AS retry_count, min(l_shipdate) AS created_at, CASE WHEN l_orderkey % 3 > 0 THEN max(l_shipdate) END AS next_run_at,
         CASE WHEN l_orderkey % 4 > 0 THEN max(l_shipdate) END AS started_at FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "versions": """SELECT l_orderkey AS media_id, CASE l_linenumber WHEN 1 THEN 'enhanced' WHEN 2 THEN 'ai_refined' WHEN 3 THEN 'metadata' WHEN 4 THEN 'proxy' ELSE 'preview' END AS version_type,
+    "versions": """SELECT l_orderkey AS media_id, CASE l_linenumber WHEN 1 THEN 'enhanced' WHEN 2 THEN 'ai_refined' WHEN 3 THEN 'metadata' WHEN 4 THEN 'proxy' WHEN 5 THEN 'preview' ELSE concat('view_', CAST(l_linenumber AS STRING)) END AS version_type,
         min(concat('v/', CAST(l_partkey AS STRING))) AS file_path, min(CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'ready' END) AS status, max(CAST(l_quantity AS BIGINT)) % 7 AS file_size,
-        CASE WHEN l_orderkey % 8 = 0 THEN min(l_shipdate) END AS deleted_at FROM {lineitem} WHERE l_linenumber <= 5 GROUP BY l_orderkey, l_linenumber""",
+        CASE WHEN l_orderkey % 8 = 0 THEN min(l_shipdate) END AS deleted_at FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "trips": """SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 4 END AS cover_media_id, c_custkey % 7 = 0 AS cover_set_by_user,
-        CASE WHEN c_custkey % 10 = 0 THEN c_custkey END AS deleted_at FROM {customer} WHERE c_custkey < 50""",
+        CASE WHEN c_custkey % 10 = 0 THEN c_custkey END AS deleted_at FROM {customer}""",
     "points": """SELECT event_id AS id, user_id % 200 AS trip_id, ts AS captured_at, ts AS created_at, CASE WHEN event_id % 6 <> 0 THEN value END AS quality,
         CASE event_type WHEN 'view' THEN 'sharp' WHEN 'click' THEN 'maybe_blurry' WHEN 'purchase' THEN 'blurry' END AS ai_blur_class, event_id % 4 = 0 AS is_blurry, event_id % 9 = 0 AS is_duplicate FROM {events}""",
     "hashes": """SELECT doc_id AS id, lang AS trip_id, 'image' AS type, text, source, n_chars FROM {documents}""",

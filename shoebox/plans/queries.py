@@ -263,11 +263,11 @@ def j13_fresh_cohorts(get):
     return dedup.fresh_cohorts(members, get("hashes").where("id % 10 = 3").select("id")).select("trip_id", "component", "id")
 
 
-@query("""SELECT DISTINCT concat('a', CAST(p.o_orderkey % 9 AS STRING)) AS audio_id FROM orders p JOIN orders j ON j.o_custkey % 40 = p.o_orderkey WHERE j.o_orderstatus <> 'F' AND j.o_orderkey % 3 > 0 AND p.o_orderkey < 40""")
+@query("""SELECT DISTINCT concat('a', CAST(p.o_orderkey % 9 AS STRING)) AS audio_id FROM orders p JOIN orders j ON j.o_custkey = p.o_orderkey WHERE j.o_orderstatus <> 'F' AND j.o_orderkey % 3 > 0""")
 def j14_audio_in_use(get):
     o = get("orders")
-    plans = o.where("o_orderkey < 40").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit('{"audioPolicy":{"backgroundAudioId":"a'), F.col("o_orderkey") % 9, F.lit('"}}')).alias("plan_json"))
-    jobs = o.select(F.lit("video_render").alias("job_type"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("pending").alias("status"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit('{"planId":"'), F.col("o_custkey") % 40, F.lit('"}'))).otherwise(F.lit("{broken")).alias("payload"))
+    plans = o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit('{"audioPolicy":{"backgroundAudioId":"a'), F.col("o_orderkey") % 9, F.lit('"}}')).alias("plan_json"))
+    jobs = o.select(F.lit("video_render").alias("job_type"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("pending").alias("status"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit('{"planId":"'), F.col("o_custkey"), F.lit('"}'))).otherwise(F.lit("{broken")).alias("payload"))
     return models.audio_in_use(jobs, plans)
 
 
@@ -348,10 +348,28 @@ def a19_scene_summaries(get):
     return out.select("trip_id", "group_index", "member_count", "representative", (F.col("start") == F.col("end")).alias("instant"))
 
 
-@query("""WITH s AS (SELECT group_id, media_id, similarity_score FROM members) SELECT count(*) AS n, count(DISTINCT group_id) AS n_groups FROM s WHERE group_id < 100""")
+def _classes() -> str:
+    """The classes of ranking in SQL: heads[k] are the scores that begin one, by group and the classes before."""
+    out = """s0 AS (SELECT m.group_id, m.media_id, a.quality_score AS q1, a.sharpness_score AS q2, a.exposure_score AS q3, a.color_score AS q4, coalesce(x.width * x.height, 0) AS res, coalesce(x.file_size, 0) AS fs, CAST(x.created_at AS VARCHAR) AS age
+        FROM members m LEFT JOIN analysis a USING (media_id) LEFT JOIN media x ON x.id = m.media_id)"""
+    keys = "group_id"
+    for k in range(1, 5):
+        out += f""", d{k} AS (SELECT {keys}, max(q{k}) AS h FROM s{k - 1} WHERE q{k} IS NOT NULL GROUP BY {keys}
+          UNION ALL SELECT {", ".join("d." + c for c in keys.split(", "))}, (SELECT max(s.q{k}) FROM s{k - 1} s WHERE {" AND ".join(f"s.{c} = d.{c}" for c in keys.split(", "))} AND d.h - s.q{k} > 0.01) AS h FROM d{k} d WHERE d.h IS NOT NULL),
+        s{k} AS (SELECT s.*, CASE WHEN q{k} IS NULL THEN 1073741824 ELSE (SELECT count(*) FROM d{k} d WHERE {" AND ".join(f"d.{c} = s.{c}" for c in keys.split(", "))} AND d.h >= s.q{k}) END AS c{k} FROM s{k - 1} s)"""
+        keys += f", c{k}"
+    return out
+
+
+_RANKED = f"""WITH RECURSIVE {_classes()},
+r AS (SELECT *, row_number() OVER o - 1 AS rank, first_value(q1) OVER o AS w1, first_value(q2) OVER o AS w2, first_value(q3) OVER o AS w3, first_value(q4) OVER o AS w4, first_value(res) OVER o AS wres, first_value(fs) OVER o AS wfs, count(*) OVER (PARTITION BY group_id) AS n
+      FROM s4 WINDOW o AS (PARTITION BY group_id ORDER BY c1, c2, c3, c4, res DESC, fs DESC, age NULLS LAST, media_id))"""
+
+
+@query(f"{_RANKED} SELECT count(*) AS n, count(*) FILTER (rank = 0) AS n_groups FROM r")
 def w3_counts_of_ranked(get):
     ranked = ranking.ranked_duplicates(_members(get))
-    return ranked.where("group_id < 100").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 0).alias("n_groups"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 0).alias("n_groups"))
 
 
 def _members(get):
@@ -360,7 +378,18 @@ def _members(get):
     return get("members").select("group_id", "media_id", F.col("similarity_score").alias("similarity")).join(a, "media_id", "left").join(m, "media_id", "left")
 
 
-@query()
+def _said(x: str) -> str:
+    return f"coalesce(regexp_replace(printf('%.3f', floor({x} * 1000 + 0.5) / 1000), '\\.?0+$', ''), 'n/a')"
+
+
+_LOST = " ".join(f"WHEN w{k} IS NOT NULL AND (q{k} IS NULL OR w{k} - q{k} > 0.01) THEN 'tied on quality ' || {_said('q1')} || '; lost on {name} ' || {_said(f'q{k}')} || ' < winner ' || {_said(f'w{k}')}" for k, name in ((2, "sharpness"), (3, "exposure"), (4, "color")))
+_LOST += " ".join(f" WHEN w{c} > {c} THEN 'tied on quality ' || {_said('q1')} || '; lost on {name} ' || {c} || ' < winner ' || w{c}" for c, name in (("res", "resolution"), ("fs", "file_size")))
+
+
+@query(f"""{_RANKED} SELECT group_id, media_id, CAST(rank AS INT) AS rank, CASE WHEN rank = 0 THEN 'keep' ELSE 'remove' END AS recommendation,
+CASE WHEN rank = 0 AND q1 IS NOT NULL THEN 'recommended: quality ' || {_said("q1")} || ', best of ' || n WHEN rank = 0 THEN 'recommended: no quality yet, first of ' || n || ' by tie-breakers'
+  WHEN q1 IS NULL AND w1 IS NOT NULL THEN 'no quality yet; winner has ' || {_said("w1")} WHEN q1 IS NULL THEN 'no quality for either; lost on tie-breakers'
+  WHEN abs(q1 - w1) > 0.01 THEN 'quality ' || {_said("q1")} || ' < winner ' || {_said("w1")} {_LOST} ELSE 'tied on quality ' || {_said("q1")} || '; lost on age or id' END AS reason FROM r""")
 def w3_w4_ranked_duplicates(get):
     return ranking.ranked_duplicates(_members(get))
 
@@ -648,7 +677,13 @@ def q8_chain(get):
 _EVENT = "CASE event_id % 6 WHEN 0 THEN 'start' WHEN 1 THEN 'start' WHEN 2 THEN 'succeed' WHEN 3 THEN 'retry_later' WHEN 4 THEN 'fail' ELSE 'retry' END"
 
 
-@query()
+_MOVE = "CASE WHEN e.ev = 'start' AND s.st IN ('pending', 'retrying') THEN 'running' WHEN e.ev = 'succeed' AND s.st = 'running' THEN 'success' WHEN e.ev = 'fail' AND s.st = 'running' THEN 'failed' WHEN e.ev = 'retry_later' AND s.st = 'running' THEN 'retrying' WHEN e.ev = 'retry' AND s.st IN ('failed', 'success', 'cancelled', 'retrying') THEN 'retrying' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS job_id, list({{ev: {_EVENT}, st: '', r: 0, a: 0, i: 0}} ORDER BY ts, event_id) AS es FROM events GROUP BY user_id),
+f AS (SELECT job_id, list_reduce(list_prepend({{ev: '', st: 'pending', r: 0, a: 0, i: 0}}, es), lambda s, e: {{ev: '', st: coalesce({_MOVE}, s.st),
+  r: CASE WHEN {_MOVE} IS NULL THEN s.r WHEN e.ev = 'retry' THEN 0 WHEN e.ev = 'retry_later' THEN s.r + 1 ELSE s.r END, a: s.a + CASE WHEN {_MOVE} IS NULL THEN 0 ELSE 1 END, i: s.i + CASE WHEN {_MOVE} IS NULL THEN 1 ELSE 0 END}}) AS s FROM e)
+SELECT job_id, s.st AS status, s.r AS retry_count, s.a AS applied, s.i AS ignored FROM f""")
 def q4_fold(get):
     e = get("events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.expr(_EVENT).alias("event"))
     return J.fold(e)
@@ -690,9 +725,9 @@ def s8_s9_k14_k15_uploads(get):
 
 
 # --- further writes, functions and lists -------------------------------------------------------------
-@query("SELECT id, CASE WHEN deleted_at IS NULL THEN 100 ELSE width END AS width, deleted_at IS NULL AS changed FROM media WHERE id % 2 = 0")
+@query("SELECT id, CASE WHEN deleted_at IS NULL THEN 100 ELSE width END AS width, deleted_at IS NULL AS changed FROM media")
 def x13_guarded_write(get):
-    m = get("media").where("id % 2 = 0")
+    m = get("media")
     return filters.rewritten(m, F.col("deleted_at").isNull(), width=F.lit(100).cast("long")).select("id", "width", F.col("__changed").alias("changed"))
 
 
