@@ -9,12 +9,16 @@ similarity of at least 0.8 with the item; the weight of a shingle is how often i
    only windows over an anchor are looked at. This step loses nothing.
 2. Pairs of a document and an item stay if the whole document holds 0.8 of the item's shingles. This
    loses nothing either.
-3. Every window over an anchor of a pair that is left is verified with the exact weighted similarity, within the
-   pair's row. Where both sides repeat shingles, each is hashed with its occurrence number (numbered), so that the
-   weighted similarity is that of sets.
+3. Each window over an anchor of a pair that is left gets a 64-bit SimHash (64 counters, four to a long in lanes of 16
+   bits), as the item has. Fingerprints are cut into BLOCKS blocks; those within RADIUS of one another are within
+   floor(RADIUS / BLOCKS) in one of the blocks, so looking up the blocks first misses none within the radius.
+4. The windows found are verified with the exact weighted similarity, within the pair's row. Where both sides repeat
+   shingles, each is hashed with its occurrence number (numbered), so that the weighted similarity is that of sets.
 
-With a `radius`, step 3 only verifies windows whose 64-bit SimHash is within it; the 64 counters are added four to a
-long, in lanes of 16 bits. That can lose windows, so the query and the pipeline set none.
+At similarity 0.8 a bit of the fingerprints differs with a chance of 0.151, independently; more than RADIUS of 64 do with a
+chance of 7e-11, and less at higher similarities: that is what step 3 can lose. A radius that wide lets 45 % of
+unrelated windows pass, and blocks cannot select better; so it is steps 1 and 2, not the blocks, that keep documents
+and items from meeting one another. With radius=None every window of step 2 is verified.
 
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window; null
 ids of documents and items are kept; repeated rows with equal id and text give one result; texts with one item_id are
@@ -28,13 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table, written
+from ..functions.hashing import majority
 
 N = 5
 SIMILARITY = 0.8
-RADIUS = 21
-#: Lanes of 16 bits: the top lane stays positive up to this many shingles; larger windows have no fingerprint.
-LANE_MAX = 16_000
-LANES = 0x0001000100010001
+RADIUS, BLOCKS = 31, 4
 #: Anchor rows up to which they are broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -63,35 +65,34 @@ def numbered(arr: Column) -> Column:
     return let(arr, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(let(F.array_sort(a), of)))
 
 
-def _lanes(k: int):
-    return lambda x: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))
+def fingerprint(window: Column) -> Column:
+    """64-bit SimHash of an array of hashes, each counted as often as it stands there."""
+    return let(window, majority)
 
 
-def fingerprint(window: Column) -> Column:
-    """64-bit SimHash of an array of hashes, each counted as often as it stands there; null where lanes would overflow."""
+def within(a: Column, b: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+    """Whether two fingerprints are within the radius: near in a block, then counted in full."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
 
-    def of(w: Column) -> Column:
-        half = F.floor(F.size(w) / 2).cast("long") + 1
-        out = F.lit(0).cast("long")
-        for k in range(16):
-            total = F.aggregate(F.transform(w, _lanes(k)), F.lit(0).cast("long"), lambda a, x: a + x)
-            most = F.shiftrightunsigned((total + (F.lit(16384).cast("long") - half) * F.lit(LANES)).bitwiseAND(F.lit(16384 * LANES)), 14)
-            out = out.bitwiseOR(F.shiftleft(most, k))
-        return F.when(F.size(w) <= LANE_MAX, out)
+    def of(x: Column) -> Column:
+        near = F.lit(False)
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            near = near | (F.bit_count(F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1))) <= radius // blocks)
+        return near & (F.bit_count(x) <= radius)
 
-    return let(window, of)
+    return let(a.bitwiseXOR(b), of)
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """radius + 1 structs (block, value) that cut up the 64 bits."""
-    cuts = [round(64 * b / (radius + 1)) for b in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int").alias("value")) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def _key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for an id and a text."""
+    own = F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), F.lit("\u0001"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(own))
 
 
 def prepared_items(items: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
     """item (a key), item_id, sh (its shingles), m (their number), set (sh with occurrence numbers), and miss (how many of them a match can lack)."""
     rows = items.select(F.col(id_col).alias("item_id"), shingles(F.col(text_col), n).alias("sh")).where(F.size("sh") > 0).distinct()
-    rows = rows.withColumn("item", F.xxhash64("item_id", "sh")).withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
+    rows = rows.withColumn("item", F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit("")), F.lit("\u0001"), F.array_join(F.col("sh").cast("array<string>"), ","))))).withColumn("m", F.size("sh")).withColumn("miss", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int"))
     return written(rows.withColumn("set", numbered(F.col("sh"))), "items")
 
 
@@ -104,16 +105,16 @@ def anchors_of(items: DataFrame) -> DataFrame:
     return ranked.select("item", "m", F.explode(F.slice("all", F.lit(1), F.col("miss") + 1)).alias("a")).select(F.col("a.h").alias("h"), "item", "m")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """(doc_key, id, item, similarity, start): each document and item that it leaks, with the first of its best windows.
 
-    `start` counts shingles from 0. doc_key is a hash of id and text, by which rows can be told apart.
+    `start` counts shingles from 0. doc_key is a 128-bit digest of id and text, by which rows can be told apart.
     """
     prepared = prepared_items(items, item_col, item_text_col, n, similarity)
     anchors = written(anchors_of(prepared), "anchors")
     if anchors.count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = _key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("doc_key"), F.col(text_col).alias("__text"))
     seen = rows.select("doc_key", F.explode(F.array_distinct(shingles(F.col("__text"), n))).alias("h"))
     pairs = written(seen.join(anchors, "h").groupBy("doc_key", "item").agg(F.count(F.lit(1)).alias("n_anchors")).select("doc_key", "item"), "pairs")
@@ -139,7 +140,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         window = F.slice("sh", start + 1, F.col("m"))
         same = F.when(F.col("plain"), F.size(F.array_intersect(window, F.col("item_set")))).otherwise(F.size(F.array_intersect(numbered(window), F.col("item_set")))).cast("double")
         if radius is not None:
-            same = F.when(F.coalesce(F.bit_count(fingerprint(numbered(window)).bitwiseXOR(F.col("item_fp"))) <= radius, F.lit(True)), same).otherwise(F.lit(0.0))
+            same = F.when(within(fingerprint(numbered(window)), F.col("item_fp"), radius), same).otherwise(F.lit(0.0))
         return let(same, lambda o: F.struct((o / (F.least(F.size("sh"), F.col("m")) + F.col("m") - o)).alias("similarity"), (-start).alias("neg")))
 
     scored = held.withColumn("b", F.array_max(F.transform("starts", of))).where(F.col("b.similarity") >= similarity - 1e-12)
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that leak no item, with their own columns whatever those are called."""
     leaks = decontaminate(docs, items, id_col, text_col, **settings).select("doc_key").distinct()
-    rows = docs.select(F.struct("*").alias("doc")).withColumn("doc_key", F.xxhash64(F.col("doc").getField(id_col), F.col("doc").getField(text_col)))
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("doc_key", _key(F.col("doc").getField(id_col), F.col("doc").getField(text_col)))
     return rows.join(leaks, "doc_key", "left_anti").select("doc.*")
 
 
