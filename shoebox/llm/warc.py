@@ -1,18 +1,19 @@
 """WARC archives through a chunked record table (operator 8).
 
-Records are rows of chunks, (record, chunk, data): a payload of any size is written, read, hashed and
-compressed chunk by chunk, so no task ever holds more of it than a chunk. Chunk rows carry the running
-digest (SHA-256 of the payload up to and including that chunk) and the running length; those of the
-last chunk are the payload's own.
+Records are rows of chunks, (record, chunk, data), made by a task that streams each payload once for its digest and once
+for its chunks, as views of the Arrow batch that Spark hands it: besides that batch a task holds a few megabytes of chunks,
+however large a payload is. Chunk rows carry the running digest (SHA-256 of the payload up to and including that chunk)
+and the running length; those of the last chunk are the payload's own.
+
+Of records with equal payloads of at least 100 bytes, the one with the smallest id is a response and the
+others are revisits, which have no payload but refer to it. Ids and digests are shuffled to decide this, payloads are not: the
+digests that occur twice or more are broadcast to the chunk rows, up to BROADCAST_DIGESTS of them; beyond, chunk
+rows are shuffled to them once.
 
 `archive` writes the chunks of each Spark partition into WARC files (one gzip member per record, a new
-file after `archive_bytes`), without a shuffle; only the names that Spark returns count, so
+file after `archive_bytes`), and holds each chunk against its running digest; only the names that Spark returns count, so
 files of lost tasks are never read. `read_chunks` streams the files back into chunk rows.
 
-Of records with equal payloads of at least 100 bytes, the one with the smallest id is a response and the
-others are revisits, which have no payload but refer to it. Only the digests that occur twice or
-more enter the join that decides this.
-
 Defined cases: null payloads are empty; records without an id are written, and are revisits if an equal
 payload has an id, else responses; rows that repeat the smallest id are all responses; an empty
 table gives no files and no rows; other columns are not read.
@@ -25,37 +26,80 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, table, work_folder
+from .common import filesystem, table, work_folder, written
 
 LEAST = 100
 CHUNK = 64 << 10
 ARCHIVE_BYTES = 256 << 20
+#: Repeated digests up to which they are broadcast.
+BROADCAST_DIGESTS = 500_000
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
-def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """(id, url, payload, bytes, digest, kind, refers_to) of every row."""
-    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    again = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null").select("digest", "first")
-    out = rows.join(again, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
-    return out.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
+CHUNKS = pa.schema([("record", pa.int64()), ("id", pa.int64()), ("url", pa.string()), ("bytes", pa.int64()), ("digest", pa.string()), ("chunk", pa.int32()), ("last", pa.int32()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary())])
+
 
+def _chunker(chunk_bytes: int, with_data: bool):
+    """Chunk rows of (record, id, url, payload) rows; without data only the last chunk of each record."""
 
-def chunked(records: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Chunk rows of classified records; revisits have one empty chunk."""
-    data = F.when(F.col("kind") == "response", F.col("payload")).otherwise(F.lit(b""))
-    last = F.greatest(F.floor((F.octet_length(data) - 1) / chunk_bytes), F.lit(0)).cast("int")
-    rows = records.select("id", "url", "bytes", "digest", "kind", "refers_to", data.alias("data"), last.alias("last"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return rows.select("id", "url", "bytes", "digest", "kind", "refers_to", "chunk", "last", F.expr(f"substring(data, chunk * {chunk_bytes} + 1, {chunk_bytes})").alias("data"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = batch.column(3).cast(pa.large_binary())
+            offsets = np.frombuffer(payloads.buffers()[1], np.int64)[payloads.offset : payloads.offset + len(payloads) + 1].tolist()
+            whole, rows, size = memoryview(payloads.buffers()[2] or b""), [], 0
+            for k, (record, page, url) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                own = whole[offsets[k] : offsets[k + 1]]
+                pieces = [own[at : at + chunk_bytes] for at in range(0, max(len(own), 1), chunk_bytes)]
+                running, so_far = hashlib.sha256(), []
+                for piece in pieces:
+                    running.update(piece)
+                    if with_data:
+                        so_far.append(running.hexdigest())
+                digest, last, done = running.hexdigest(), len(pieces) - 1, 0
+                for i, piece in enumerate(pieces) if with_data else [(last, b"")]:
+                    done += len(piece)
+                    rows.append((record, page, url, len(own), digest, i, last, done if with_data else len(own), so_far[i] if with_data else digest, bytes(piece) if with_data else None))
+                    size += 300 + len(piece)
+                    if size >= 4 << 20:
+                        yield _rows(rows, CHUNKS)
+                        rows, size = [], 0
+            if rows:
+                yield _rows(rows, CHUNKS)
+
+    return run
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def chunked(pages: DataFrame, chunk_bytes: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", with_data: bool = True) -> DataFrame:
+    """Chunk rows of every record, those of one together and in order; with_data=False gives only the last of each, without data."""
+    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    return rows.mapInArrow(_chunker(chunk_bytes, with_data), "record long, id long, url string, bytes long, digest string, chunk int, last int, bytes_so_far long, digest_so_far string, data binary")
+
+
+def classified(pages: DataFrame, chunk_bytes: int = CHUNK, least: int = LEAST, **columns: str) -> DataFrame:
+    """Chunk rows with kind and refers_to; revisits have one empty chunk."""
+    ends = chunked(pages, chunk_bytes, with_data=False, **columns).where(F.col("bytes") >= least)
+    again = written(ends.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null").select("digest", "first"), "again")
+    rows = chunked(pages, chunk_bytes, **columns)
+    if again.count() <= BROADCAST_DIGESTS:
+        out = rows.join(F.broadcast(again), "digest", "left")
+    else:
+        out = rows.join(again.hint("merge"), "digest", "left").sortWithinPartitions("digest", "record", "chunk")
+    revisit = F.col("first").isNotNull() & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
+    out = out.withColumn("revisit", revisit).where("not revisit or chunk = 0")
+    of = lambda c, empty: F.when(F.col("revisit"), F.lit(empty)).otherwise(F.col(c)).alias(c)
+    nothing = hashlib.sha256().hexdigest()
+    return out.select("id", "url", "bytes", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("kind"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "chunk", of("last", 0), of("bytes_so_far", 0), of("digest_so_far", nothing), of("data", b""))
 
 
 def _record_id(page: int | None) -> str:
@@ -102,10 +146,10 @@ def _writer(folder: str, archive_bytes: int):
                     packer, digest = zlib.compressobj(4, zlib.DEFLATED, 31), hashlib.sha256()
                     size += out.write(packer.compress(_head(row))) or 0
                 digest.update(row["data"])
+                if digest.hexdigest() != row["digest_so_far"]:
+                    raise ValueError(f"chunk {row['chunk']} of {row['id']} differs from its digest")
                 packed = packer.compress(row["data"])
                 if row["chunk"] == row["last"]:
-                    if row["kind"] == "response" and digest.hexdigest() != row["digest"]:
-                        raise ValueError(f"payload of {row['id']} differs from its digest")
                     packed += packer.compress(b"\r\n\r\n") + packer.flush()
                     records += 1
                 out.write(packed)
@@ -118,7 +162,7 @@ def _writer(folder: str, archive_bytes: int):
 
 def archive(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> list[dict]:
     """Write chunk rows (those of a record together and in order) as WARC files; returns a row per file."""
-    made = chunks.select("id", "url", "bytes", "digest", "kind", "refers_to", "chunk", "last", "data").mapInArrow(_writer(folder, archive_bytes), "name string, records long, bytes long").collect()
+    made = chunks.select("id", "url", "bytes", "digest", "kind", "refers_to", "chunk", "last", "digest_so_far", "data").mapInArrow(_writer(folder, archive_bytes), "name string, records long, bytes long").collect()
     return sorted((r.asDict() for r in made), key=lambda r: r["name"])
 
 
@@ -193,10 +237,10 @@ def _reader(folder: str, chunk_bytes: int, with_data: bool):
                         rows.append(row)
                         size += 300 + len(row[-1] or b"")
                         if size >= 4 << 20:
-                            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS.names, r, strict=True)) for r in rows], FIELDS)
+                            yield _rows(rows, FIELDS)
                             rows, size = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(FIELDS.names, r, strict=True)) for r in rows], FIELDS)
+                        yield _rows(rows, FIELDS)
 
     return run
 
@@ -210,7 +254,7 @@ def read_chunks(spark: SparkSession, folder: str, files: list[dict], chunk_bytes
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_folder(spark)}/warc"
-    files = archive(chunked(classified(table(spark, sf_dir, "pages"))), folder)
+    files = archive(classified(table(spark, sf_dir, "pages")), folder)
     last = read_chunks(spark, folder, files, with_data=False).where("is_last")
     revisit = F.col("kind") == "revisit"
     return last.select(F.col("id").alias("page_id"), F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"), F.when(revisit, F.col("declared_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
