@@ -7,16 +7,18 @@ tilts, r = exp(sum of the multipliers of the document's levels). `balance` solve
 steps: Spark sums the tilted tokens and their Hessian over pre-aggregated cells, the driver solves a
 system with one row per level. `thresholds` rounds the rates into whole copies.
 
-Rounding: a document gets floor(r) copies, and one more where its hash bin is under a threshold.
+Rounding: a document gets floor(r) copies, and one more where its hash bin (of id and text) is under a threshold.
 Documents fall into classes by size (powers of two). From the largest class to the smallest,
 each takes the fraction of its tokens that the target still lacks, and passes what it could not
-meet on to the next, so the error that remains is about that of the smallest documents. Only sums by
-(source, class, bin) leave the tasks: at most 41 x BINS rows per source, whatever the input.
+meet on to the next; in the end single bins are added or taken away as long as that brings the source nearer to its target.
+Only sums by (source, class, bin) leave the tasks: at most 41 x BINS rows per source, whatever the input.
 
 Defined cases: null and empty texts have size 0 and take 0; null sources are one source, last in
-order; null ids are kept; equal rows get equal copies; an empty table gives an empty mix. Other
-columns pass through `mixed` unread (names that begin with __mix are reserved).
-The number of levels of all margins is checked against `max_levels`, since the driver holds them.
+order; null ids are kept; rows of one id but different texts are rounded apart; rows equal in id and text are rounded together
+unless a bin of PART_ROWS or more of them outweighs PART_SHARE of its source, which is then split by row number (reruns over the
+same files agree); an empty table gives an empty mix. Other columns pass through `mixed` unread (names that
+begin with __mix are reserved). The number of levels of all margins is checked against `max_levels`, since the driver
+holds them; margins that cannot be met raise an error.
 """
 
 from __future__ import annotations
@@ -32,14 +34,18 @@ from .common import n_words, table, written
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BINS = 1024
+#: Rows and share of a source from which on a bin of equal rows is split.
+PART_ROWS, PART_SHARE = 32, 0.002
+#: Bins of a source that are added or taken away at most to come nearer to its target.
+FLIPS = 16
 
 
 def _class(size: Column) -> Column:
     return F.length(F.bin(size)).cast("int")
 
 
-def _bin(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(BINS)).cast("int")
+def _bin(doc_id: Column, text: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text, F.lit("mix")), F.lit(BINS)).cast("int")
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -94,29 +100,44 @@ def balance(cells: DataFrame, targets: dict[str, dict], tokens: str = "tokens",
         diagonal = len(margins) == 1
         step = (goal - now) / now if diagonal else np.linalg.lstsq(hess, goal - now, rcond=None)[0]
         lam = lam + np.clip(step, -2.0, 2.0)
+    else:
+        raise ValueError(f"the targets of the margins cannot be met together, or not within {max_steps} steps")
     return {m: {level: float(lam[where[m, level]]) if (m, level) in where else 0.0 for level in targets[m]} for m in margins}
 
 
 def _fit_thresholds(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one source: by class, the hash bin below which documents get one more copy."""
-    goal = float(rows.goal.iloc[0])
-    out, carry = [], 0.0
+    """For one source: by class, the hash bin below which documents get one more copy, the bin of which a part does, and bins for which it is the other way."""
+    goal, whole = float(rows.goal.iloc[0]), float(rows.tokens.sum())
+    out, carry, free = [], 0.0, []
     for cls, part in sorted(rows.groupby("cls"), key=lambda x: -x[0]):
         part = part.sort_values("bin")
-        cum = np.concatenate([[0.0], np.cumsum(part.tokens.to_numpy(float))])
-        edges = np.concatenate([[0], part.bin.to_numpy() + 1])
+        tokens, bins = part.tokens.to_numpy(float), part.bin.to_numpy()
+        cum = np.concatenate([[0.0], np.cumsum(tokens)])
         want = goal * cum[-1] + carry
-        k = int(np.argmin(np.abs(cum - want)))
-        carry = want - cum[k]
-        out.append((cls, int(edges[k])))
-    return pd.DataFrame({"source": [rows.source.iloc[0]] * len(out), "cls": [x[0] for x in out], "below": [x[1] for x in out]}).astype({"cls": "int32", "below": "int32"})
+        k, edge, share = int(np.argmin(np.abs(cum - want))), -1, 0.0
+        at = int(np.searchsorted(cum, want, side="right")) - 1
+        if 0 <= at < len(bins) and tokens[at] > PART_SHARE * whole and part["rows"].iloc[at] >= PART_ROWS:
+            k, edge, share = at, int(bins[at]), (want - cum[at]) / tokens[at]
+        carry = want - cum[k] - (share * tokens[at] if edge >= 0 else 0.0)
+        free += [(float(t) if i >= k else -float(t), len(out), int(b)) for i, (t, b) in enumerate(zip(tokens, bins, strict=True)) if t and b != edge]
+        out.append([cls, int(bins[k - 1]) + 1 if k else 0, edge, share, []])
+    changes = np.array([x[0] for x in free])
+    for _ in range(FLIPS if goal else 0):
+        if not len(changes) or abs(carry - changes[best := int(np.argmin(np.abs(carry - changes)))]) >= abs(carry):
+            break
+        carry -= changes[best]
+        out[free[best][1]][4].append(free[best][2])
+        changes[best] = np.inf
+    made = pd.DataFrame(out, columns=["cls", "below", "edge", "share", "flips"]).astype({"cls": "int32", "below": "int32", "edge": "int32"})
+    made.insert(0, "source", [rows.source.iloc[0]] * len(out))
+    return made
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, max_levels: int = 100_000) -> DataFrame:
-    """By source and size class: source_size, target, whole copies and the bin below which there is one more."""
+    """By source and size class: source_size, target, whole copies and the bins in which there is one more."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _bin(F.col(id_col)).alias("bin"))
-    cells = written(sized.groupBy("source", _class(F.col("size")).alias("cls"), "bin").agg(F.sum("size").alias("tokens")), "cells")
+    sized = docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _bin(F.col(id_col), F.col(text_col)).alias("bin"))
+    cells = written(sized.groupBy("source", _class(F.col("size")).alias("cls"), "bin").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("rows")), "cells")
     by_source = cells.groupBy("source").agg(F.sum("tokens").cast("long").alias("tokens"))
     rows = by_source.limit(max_levels + 1).collect()
     if len(rows) > max_levels:
@@ -131,19 +152,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         rate = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
         made.append((r[0], size, float(goal), int(rate), float(rate - int(rate))))
     rates = spark.createDataFrame(made, "source string, source_size long, target double, copies int, goal double")
-    spread = cells.join(rates.select(F.col("source").alias("s"), "goal"), F.col("source").eqNullSafe(F.col("s"))).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source", "cls", "bin", "tokens", "goal")
-    below = spread.groupBy("key").applyInPandas(lambda pdf: _fit_thresholds(pdf), "source string, cls int, below int")
-    made = below.withColumnRenamed("source", "s").join(rates, F.col("s").eqNullSafe(F.col("source"))).select("source", "cls", "source_size", "target", "copies", "below")
+    spread = cells.join(rates.select(F.col("source").alias("s"), "goal"), F.col("source").eqNullSafe(F.col("s"))).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source", "cls", "bin", "tokens", "rows", "goal")
+    below = spread.groupBy("key").applyInPandas(lambda pdf: _fit_thresholds(pdf), "source string, cls int, below int, edge int, share double, flips array<int>")
+    made = below.withColumnRenamed("source", "s").join(rates, F.col("s").eqNullSafe(F.col("source"))).select("source", "cls", "source_size", "target", "copies", "below", "edge", "share", "flips")
     return written(made, "plan")
 
 
 def mixed(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
-    own = docs.withColumn("__mix_size", n_words(F.col(text_col))).withColumn("__mix_bin", _bin(F.col(id_col)))
-    keys = made.select(F.col("source").alias("__mix_source"), F.col("cls").alias("__mix_cls"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("copies").alias("__mix_whole"), F.col("below").alias("__mix_below"))
-    out = own.join(keys, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")) & (_class(F.col("__mix_size")) == F.col("__mix_cls")), "left")
-    more = (F.col("__mix_bin") < F.col("__mix_below")).cast("int")
-    return out.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_whole") + more).otherwise(F.lit(0))).drop("__mix_source", "__mix_cls", "__mix_whole", "__mix_below", "__mix_bin")
+    own = docs.withColumn("__mix_size", n_words(F.col(text_col))).withColumn("__mix_bin", _bin(F.col(id_col), F.col(text_col)))
+    own = own.withColumn("__mix_row", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("mix")), F.lit(1 << 20)) / (1 << 20))
+    names = {"source": "source", "cls": "cls", "source_size": "source_size", "target": "target", "copies": "whole", "below": "below", "edge": "edge", "share": "share", "flips": "flips"}
+    out = own.join(made.select(*[F.col(c).alias(f"__mix_{name}") for c, name in names.items()]), F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")) & (_class(F.col("__mix_size")) == F.col("__mix_cls")), "left")
+    under = (F.col("__mix_bin") < F.col("__mix_below")) != F.array_contains("__mix_flips", F.col("__mix_bin"))
+    more = (under | ((F.col("__mix_bin") == F.col("__mix_edge")) & (F.col("__mix_row") < F.col("__mix_share")))).cast("int")
+    out = out.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_whole") + more).otherwise(F.lit(0)))
+    return out.drop("__mix_bin", "__mix_row", *[f"__mix_{name}" for name in names.values() if name not in ("source_size", "target")])
 
 
 def mix(docs: DataFrame, **columns: str) -> DataFrame:
