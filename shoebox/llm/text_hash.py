@@ -39,7 +39,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0][0]) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, 2 * PIECE + 1)
         _powers[0] = tuple(np.cumprod(np.concatenate([[U(1)], np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
     return _powers[0]
 
@@ -57,20 +57,57 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in order, and for each row where its words begin (one more entry at the end)."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of at most 2 * PIECE bytes; words end at edges too."""
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
+    edge[edges] = True
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     up, down = _power_tables(len(data) + 1)
     total = np.concatenate([[U(0)], np.cumsum(_VALUE[data] * up[: len(data)], dtype=np.uint64)])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, summed a piece at a time."""
+    total = 0
+    for at in range(0, len(data), PIECE):
+        own = data[at : at + PIECE]
+        total += int((_VALUE[own] * _power_tables(PIECE + 1)[0][: len(own)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([(total + len(data)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in order, and for each row where its words begin (one more entry at the end).
+
+    Long data is worked on a piece at a time, cut at white space or where rows end, so only the hashes grow with it.
+    """
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = min(at + 2 * PIECE, len(data))
+        if end < len(data):
+            ends = np.flatnonzero(_SPACE[data[at:end]])
+            row = int(offsets[np.searchsorted(offsets, end, side="right") - 1])
+            last = max(at + int(ends[-1]) + 1 if len(ends) else at, row)
+            if last > at:
+                end = last
+            else:  # a word that goes on: to where it ends
+                row = int(offsets[np.searchsorted(offsets, at, side="right")])
+                while end < row and not (ends := np.flatnonzero(_SPACE[data[end : end + PIECE]])).size:
+                    end += PIECE
+                end = min(end + int(ends[0]) if end < row else row, row)
+                hashes.append(_long_word(data[at:end]))
+                starts.append(np.array([at]))
+                at = end
+                continue
+        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, side="right")] - at
+        own, first = _words(data[at:end], edges)
+        hashes.append(own)
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:

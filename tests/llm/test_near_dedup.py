@@ -137,6 +137,22 @@ def test_variants_of_one_text(spark, bands):
     assert out == want if bands == 24 else {d for d, _, _ in out} == {d for d, _, _ in want}
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    """Piece by piece the hashes are those of the whole, for words longer than pieces and rows that end anywhere."""
+    from shoebox.llm import text_hash
+
+    rng = random.Random(1)
+    texts = ["x" * 5000, "", " ", "".join(rng.choices("ab \n", k=3000)), "y" * 130 + " z", "w" * 64, "a b", "q" * 999, "é" * 200 + " Ab"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = text_hash.word_hashes(data, offsets)
+    for piece in (1, 7, 64, 500):
+        monkeypatch.setattr(text_hash, "PIECE", piece)
+        got = text_hash.word_hashes(data, offsets)
+        assert got[1].tolist() == want[1].tolist() and got[0].tolist() == want[0].tolist()
+    assert len(want[0]) == sum(len(WORD.findall(t)) for t in texts)
+
+
 def test_signature_estimates(rng=np.random.default_rng(5)):
     """Unbiased, and of lower variance than independent minima."""
     errors = []

@@ -1,5 +1,6 @@
 """Operators 2, 6 and 10 against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -147,3 +148,48 @@ def test_wrapped_and_official_notices(spark):
     assert got == want
     own = licenses.scan(spark.createDataFrame([(1, "You may do\nanything. Else.")], "doc_id int, text string"), known={"you may do anything": "ANY"}, rules=(("Any", ("ANY",)),))
     assert own.first()["licenses"] == "Any"
+
+
+def plain_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by source (sorted, null last) in whole steps: who is above the cap is set to it, and the others share the rest anew."""
+    from fractions import Fraction
+
+    names, fixed = sorted(sizes, key=lambda s: (s is None, s or "")), {}
+    weight = {s: Fraction(weights[i % len(weights)]) for i, s in enumerate(names)}
+    while True:
+        rest = [s for s in names if s not in fixed and sizes[s]]
+        left = sum(sizes.values()) - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = [s for s in rest if share[s] > cap * sizes[s]]
+        if not over:
+            return {s: float(fixed.get(s, share.get(s, 0))) for s in names}
+        fixed |= {s: Fraction(cap * sizes[s]) for s in over}
+
+
+def test_mix_meets_targets_of_its_own_reckoning(spark):
+    """Null ids, repeated ids and repeated rows of all sizes; sources of a few documents and of thousands."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    rows = [(i, text(rng.randrange(1, 60)), "big") for i in range(3000)] + [(None, text(20), None) for _ in range(400)] + [(7, text(rng.randrange(5, 40)), "one id") for _ in range(500)]
+    rows += [(9, "a b c d e f g h", "equal rows")] * 4000 + [(100 + i, text(50), "few") for i in range(6)] + [(200, text(70), "single"), (201, None, "empty"), (202, " ", "empty")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = plain_targets(sizes)
+    out = mixing.mixed(df, mixing.plan(df)).toPandas()
+    for s, own in out.groupby(out.source.map(lambda s: s if isinstance(s, str) else "null")):
+        key = None if s == "null" else s
+        taken, goal = (own.__mix_copies * own.__mix_size).sum(), want[key]
+        assert abs(own.__mix_target.iloc[0] - goal) < 1e-6 if own.__mix_size.sum() else True
+        slack = {"few": 25, "single": 35, "equal rows": 0.05 * goal}.get(s, 0.002 * goal + 1)
+        assert abs(taken - goal) <= slack, (s, taken, goal)
+        assert own.__mix_copies.max() <= 3
+    assert out.__mix_size.sum() == sum(sizes.values()) and len(out) == len(rows)
+
+
+def test_margins_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", 10.0), ("b", "y", 10.0)], "s string, l string, tokens double")
+    with pytest.raises(ValueError):
+        mixing.balance(cells, {"s": {"a": 5.0, "b": 15.0}, "l": {"x": 15.0, "y": 5.0}}, max_steps=8)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -198,6 +199,65 @@ def test_token_store(spark, docs, no_docs, rows):
     assert token_store.stored(no_docs).count() == 0
 
 
+def made_sentences(seed, n):
+    """Sentences of other words and numbers than the labelled table, with the spans that the field should add."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randrange(2, 9)))
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    code = lambda letters, k: "a1" + "".join(rng.choices(letters, k=k))
+    card = lambda sep: sep.join(re.findall("....", rng.choice(("4539148803436467", "6011000990139424", "5105105105105100"))))
+    made = {
+        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
+        "email": [lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()}.{word()}(at){word()}(dot)org", lambda: f"{word()} (at) {word()}.net"],
+        "card": [lambda: card("/"), lambda: card(".")],
+        "ip": [lambda: f"{rng.randrange(256)}[.]{rng.randrange(256)}[.]{rng.randrange(256)}[.]{rng.randrange(256)}", lambda: " . ".join(str(rng.randrange(256)) for _ in range(4))],
+        "secret": [lambda: code("0123456789abcdef", 38), lambda: code("0123456789ABCDEFGHJKLMNP", 18)],
+    }
+    plain = ["in {y} we", "about {n} people", "page {n} of {n}", "on {y}-0{x}-1{x} they", "(see {n})", "version {x}.{x}.{x} of", "the sha {h} fixed"]
+    out = []
+    for _ in range(n):
+        parts, spans = [word() for _ in range(rng.randrange(3, 8))], []
+        for _ in range(rng.randrange(1, 3)):
+            if rng.random() < 0.5:
+                parts.append(rng.choice(plain).format(y=rng.randrange(1900, 2030), n=rng.randrange(1000), x=rng.randrange(1, 9), h=code("0123456789abcdef", 38)))
+            else:
+                kind = rng.choice(sorted(made))
+                value = rng.choice(made[kind])()
+                if kind == "secret":
+                    parts.append(rng.choice(["token = ", "api_key: ", "secret = ", "my password: "]))
+                    value, parts[-1] = f'"{value}"' if rng.random() < 0.7 else value, parts[-1].strip()
+                spans.append((kind, value.strip('"')))
+                parts.append(value + rng.choice(["", "", ",", ".", "!!", "###"]))
+            parts += [word() for _ in range(rng.randrange(3, 6))]
+        out.append((" ".join(parts), spans))
+    return out
+
+
+def test_field_on_held_out_sentences(capsys):
+    field = pii.train(pii.labelled_rows())
+    rows = made_sentences(11, 1500)
+    base = [pii.base_spans(t) for t, _ in rows]
+    more = pii.added_spans([t for t, _ in rows], base, field)
+    hit = found = want = 0
+    for (text, spans), own in zip(rows, more):
+        got = Counter((pii.ALL_KINDS[k], text[s:e]) for k, s, e in own)
+        hit, found, want = hit + sum((got & Counter(spans)).values()), found + got.total(), want + len(spans)
+    with capsys.disabled():
+        print(f" recall {hit / want:.3f}, precision {hit / found:.3f} of {want} spans", end="")
+    assert hit / want >= 0.9 and hit / found >= 0.9
+
+
+def test_long_runs_of_digits_and_signs():
+    field = pii.train(pii.labelled_rows(), steps=20)
+    start = time.process_time()
+    texts = ["1.2.3." + "5" * 1_000_000, "7" * 1_000_000, "1 2 " * 100_000, "@" * 300_000, "1.2.3.4." * 50_000, "+1 " + " " * 300_000 + "x"]
+    base = [pii.base_spans(t) for t in texts]
+    assert [len(b) for b in base] == [0, 0, 0, 0, 50_000, 0]
+    pii.added_spans(texts, base, field)
+    assert time.process_time() - start < 60
+    assert pii.base_spans("1.2.3.4 0001.002.03.4 256.1.1.1.2 1.2.3.4.5.6.7.8") == [(1, 0, 7), (1, 8, 21), (1, 34, 41), (1, 42, 49)]
+
+
 ODD_TEXTS = ["", " ", "a  b", "x\n\ny", " lead", "trail ", "tab\tx y", "it's 'll x", "a b\u2003c\xa0d", "<|endoftext|> hi <|endoftext|>", "n\x00ul a b", "a\x1cb c \x85 d", "é 日本 語\n x", "\nstart", "end\n", "a \nb", "a\n b", "a\r\nb c", "×, é, д, ÷; ß!!! x’, e\u0301, 1, it's, a\u3000 b", "one two three", "a\nb\nc, d", "日\u3000 本 \u2003x \xa0y\xa0 z"]
 
 
@@ -243,13 +303,17 @@ def test_long_texts_are_tokenized_in_parts(spark, monkeypatch):
     assert sum(len(x[0]) for x in got) == 5 and b"".join(x[2].tobytes() for x in got).decode() == "".join(t or "" for t in texts)
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("bound", [warc.BROADCAST_DIGESTS, 0])
+def test_warc_round_trip(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
     rng = random.Random(2)
     long = "".join(rng.choices("abcdefghij <>&é漢\r\n", k=400_000))
     pages = [(1, "http://a/1", "x" * 100), (2, "http://a/2", "x" * 100), (2, "http://a/2", "x" * 100), (3, None, "x" * 99), (4, "http://a/\r\nx: y", "x" * 99), (5, "u", None), (6, "u", ""), (7, "v", long), (8, "v", long), (None, "w", long), (None, "w", "z" * 200), (9, "q", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1" * 9)]
     df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, digest string, bytes int").repartition(3)
     folder = f"{work_folder(spark)}/warc"
-    files = warc.archive(warc.chunked(warc.classified(df), 1000), folder, archive_bytes=50_000)
+    files = warc.archive(warc.classified(df, 1000), folder, archive_bytes=50_000)
+    for r in warc.chunked(df, 1000).where("chunk < last").collect():
+        assert r["digest_so_far"] == hashlib.sha256(long.encode()[: r["bytes_so_far"]]).hexdigest() and r["bytes_so_far"] == 1000 * (r["chunk"] + 1)
     got = warc.read_chunks(spark, folder, files, chunk_bytes=777).collect()
     whole = {}
     for r in sorted(got, key=lambda r: r["chunk"]):
@@ -263,7 +327,7 @@ def test_warc_round_trip(spark):
         assert kind == "revisit" or digest == last["digest_so_far"]
     kinds = Counter((r["id"], r["kind"], r["refers_to"]) for r in got if r["is_last"])
     assert kinds == Counter([(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (8, "revisit", 7), (None, "revisit", 7), (None, "response", None), (9, "response", None)])
-    assert warc.archive(warc.chunked(warc.classified(df.limit(0))), f"{folder}0") == []
+    assert warc.archive(warc.classified(df.limit(0)), f"{folder}0") == []
     assert warc.read_chunks(spark, f"{folder}0", []).count() == 0
 
 
@@ -329,6 +393,13 @@ def test_decontamination_of_long_runs(spark):
     assert got == plain_leaks(rows, items) and len(got) > 12
 
 
+def test_decontamination_with_anchors_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    rows, items = [(1, " ".join(f"a{i}" for i in range(40))), (2, "x y z"), (1, "q " * 30)], [(5, " ".join(f"a{i}" for i in range(5, 35))), (6, "q " * 12)]
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["id"], r["item"], round(r["similarity"], 6)) for r in got) == [(1, 5, 1.0), (1, 6, 1.0)]
+
+
 def test_decontamination_of_large_items_and_odd_ids(spark):
     words = [f"w{i}" for i in range(17_004)]
     large = [(1, " ".join(words))]
@@ -349,5 +420,22 @@ def test_fingerprints_and_blocks(spark):
     for a, fp in zip(arrays, got):
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in a) > len(a))
         assert fp & (1 << 64) - 1 == want
-    cuts = spark.range(1).select(decontamination.blocks(F.lit(-1))).first()[0]
-    assert len(cuts) == decontamination.RADIUS + 1 and sum(c["value"].bit_length() for c in cuts) == 64
+    pairs = [(x, x ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(25, 38)))) for x in (rng.getrandbits(62) for _ in range(300))]
+    for radius, blocks in ((decontamination.RADIUS, decontamination.BLOCKS), (30, 1), (5, 3)):
+        got = spark.createDataFrame(pairs, "a long, b long").select(decontamination.within(F.col("a"), F.col("b"), radius, blocks)).collect()
+        assert [r[0] for r in got] == [(a ^ b).bit_count() <= radius for a, b in pairs]
+
+
+def test_radius_loses_nothing_at_the_threshold(spark):
+    """Windows at exactly 0.8, in number: all within the radius; bits differ as reckoned."""
+    from math import acos, comb, pi
+
+    p = acos(8 / 9) / pi
+    assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(decontamination.RADIUS + 1, 65)) < 1e-10
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        own = [rng.getrandbits(64) - (1 << 63) for _ in range(50)]
+        rows.append((own[:45], own[5:]))  # 40 of 50
+    far = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(F.bit_count(decontamination.fingerprint(F.col("a")).bitwiseXOR(decontamination.fingerprint(F.col("b"))))).toPandas().iloc[:, 0]
+    assert abs(far.mean() - 64 * p) < 0.7 and far.max() <= decontamination.RADIUS
