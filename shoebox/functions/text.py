@@ -14,6 +14,8 @@ AUDIO_MIMES = {
     "audio/mpeg": "mp3", "audio/mp3": "mp3", "audio/mp4": "m4a", "audio/m4a": "m4a", "audio/x-m4a": "m4a", "audio/aac": "aac", "audio/wav": "wav",
     "audio/x-wav": "wav", "audio/wave": "wav", "audio/flac": "flac", "audio/x-flac": "flac", "audio/ogg": "ogg", "audio/opus": "opus", "application/ogg": "ogg",
 }
+#: The media type of each extension.
+AUDIO_MIME_OF = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "aac": "audio/aac", "wav": "audio/wav", "flac": "audio/flac", "ogg": "audio/ogg", "opus": "audio/opus"}
 #: Media types of served files.
 MIMES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "heic": "image/heic", "mp4": "video/mp4", "mov": "video/quicktime", "m4v": "video/x-m4v", "mkv": "video/x-matroska", "avi": "video/x-msvideo", "mp3": "audio/mpeg", "json": "application/json"}
 

@@ -15,8 +15,18 @@ from .components import components
 THRESHOLD = 8
 
 
+def exact_members(media: DataFrame) -> DataFrame:
+    """(trip_id, file_hash, id, n): a row for each member of the cohorts of equal hashes; whatever their size, no row holds more than one."""
+    rows = media.where("deleted_at is null and file_hash is not null").select("trip_id", "file_hash", "id")
+    sizes = rows.groupBy("trip_id", "file_hash").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return rows.join(sizes, ["trip_id", "file_hash"]).select("trip_id", "file_hash", "id", "n")
+
+
 def exact_cohorts(media: DataFrame) -> DataFrame:
-    """(trip_id, file_hash, members, n): active media of a trip with equal hashes, two or more, by (created_at, id)."""
+    """(trip_id, file_hash, members, n): active media of a trip with equal hashes, two or more, by (created_at, id).
+
+    For cohorts whose ids fit in a row; exact_members is the form for cohorts of any size.
+    """
     rows = media.where("deleted_at is null and file_hash is not null")
     by = rows.groupBy("trip_id", "file_hash").agg(F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("m"), F.count(F.lit(1)).alias("n"))
     return by.where("n >= 2").select("trip_id", "file_hash", F.transform("m", lambda x: x["id"]).alias("members"), "n")

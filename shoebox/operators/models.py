@@ -74,6 +74,39 @@ def audited(log: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("response_summary", F.when(F.col("__hit"), F.when(F.col("__s") == "success", F.col("__r"))).otherwise(F.col("response_summary"))).withColumn("error_message", F.when(F.col("__hit"), F.when(F.col("__s") == "failed", F.col("__e"))).otherwise(F.col("error_message"))).withColumn("status", F.when(F.col("__hit"), F.col("__s")).otherwise(F.col("status"))).select(*log.columns)
 
 
+def refined_images(jobs: DataFrame, log: DataFrame, media: DataFrame, call: Callable[[DataFrame], DataFrame], available: bool = True) -> DataFrame:
+    """(job_id, audit_id, media_id, problem, error_message, output, file_path): what becomes of jobs that refine an image.
+
+    jobs: id, media_id. log: id, job_id, status. call: (media_id, path) -> status, output, error_message for the media that are asked
+    for. The first problem that applies is told: no pending audit row, no active medium, not an image, no original, an empty original, no
+    provider, the provider's failure, an empty output. Without a problem there is a file path for the new version.
+    """
+    audit = log.where("status = 'pending'").groupBy(F.col("job_id")).agg(F.min("id").alias("audit_id"))
+    m = media.where("deleted_at is null").select(F.col("id").alias("media_id"), "type", "original_path", "file_size", F.lit(True).alias("__known"))
+    rows = jobs.select(F.col("id").alias("job_id"), "media_id").join(audit, "job_id", "left").join(m, "media_id", "left")
+    early = F.when(F.col("audit_id").isNull(), "no_pending_audit").when(F.col("__known").isNull(), "media_missing").when(F.col("type") != "image", "not_an_image").when(F.col("original_path").isNull(), "no_original").when(F.coalesce("file_size", F.lit(0)) == 0, "empty_original")
+    rows = rows.withColumn("early", early if available else F.coalesce(early, F.lit("provider_unavailable")))
+    asked = rows.where("early is null").select("media_id", F.col("original_path").alias("path")).distinct()
+    made = call(asked).select("media_id", F.col("status").alias("__status"), "output", F.col("error_message").alias("__error"))
+    out = rows.join(made, "media_id", "left")
+    late = F.when(F.col("__status").isNull() | (F.col("__status") != "success"), "provider_failed").when(F.coalesce(F.octet_length("output"), F.lit(0)) == 0, "empty_output")
+    out = out.withColumn("problem", F.coalesce("early", late))
+    path = F.when(F.col("problem").isNull(), F.concat(F.lit("derived/"), F.col("media_id").cast("string"), F.lit("/ai_refined")))
+    return out.select("job_id", "audit_id", "media_id", "problem", F.when(F.col("problem") == "provider_failed", F.col("__error")).alias("error_message"), F.when(F.col("problem").isNull(), F.col("output")).alias("output"), path.alias("file_path"))
+
+
+def refined_versions(results: DataFrame) -> DataFrame:
+    """(media_id, version_type, file_path, status) of the images that were refined, to be merged by the first two; one for each medium."""
+    done = results.where("problem is null").groupBy("media_id").agg(F.min("file_path").alias("file_path"))
+    return done.select("media_id", F.lit("ai_refined").alias("version_type"), "file_path", F.lit("ready").alias("status"))
+
+
+def audit_results(results: DataFrame) -> DataFrame:
+    """(id, status, response_summary, error_message) for `audited`, of the jobs that had a pending row."""
+    failed = F.col("problem").isNotNull()
+    return results.where("audit_id is not null").select(F.col("audit_id").alias("id"), F.when(failed, "failed").otherwise("success").alias("status"), F.col("file_path").alias("response_summary"), F.when(failed, F.coalesce("error_message", "problem")).alias("error_message"))
+
+
 def audio_in_use(jobs: DataFrame, plans: DataFrame) -> DataFrame:
     """(audio_id): background audio of plans that unfinished render jobs work on; malformed payloads and plans are passed over."""
     work = jobs.where((F.col("job_type") == "video_render") & F.col("status").isin("pending", "running", "retrying"))

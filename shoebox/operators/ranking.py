@@ -67,7 +67,7 @@ def _tied(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
 
 def _say(x: Column) -> Column:
     """A score to three places, without zeros at the end."""
-    return F.coalesce(F.regexp_replace(F.format_string("%.3f", F.floor(x * 1000 + 0.5) / 1000), r"\.?0+$", ""), F.lit("n/a"))
+    return F.when(x.isNull(), "n/a").otherwise(F.regexp_replace(F.format_string("%.3f", F.floor(x * 1000 + 0.5) / 1000), r"\.?0+$", ""))
 
 
 def _reason() -> Column:

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.media import pick_score
+from ..functions.media import mock_embedding, pick_score
 
 GAP_SECONDS = 900
+#: How a grouping was made; the second is added where an embedding provider is at hand.
+VERSION, WITH_EMBEDDINGS = "code-time-1.0", "+scene_embedding-pending"
 TOP_K = 5
 
 
+@dataclass(frozen=True)
+class EmbeddingProvider:
+    """Embeddings for scenes: `embed` gives (id, embedding) of rows. Grouping by time never asks for them."""
+
+    available: Callable[[], bool]
+    embed: Callable[[DataFrame], DataFrame]
+
+
+def mock_embeddings(dim: int = 16) -> EmbeddingProvider:
+    return EmbeddingProvider(lambda: True, lambda rows: rows.select("id", mock_embedding(F.col("id").cast("string"), dim).alias("embedding")))
+
+
+def versioned(rows: DataFrame, provider: EmbeddingProvider | None = None) -> DataFrame:
+    """rows with algorithm_version: of grouping by time, marked if embeddings could have been had."""
+    return rows.withColumn("algorithm_version", F.lit(VERSION + (WITH_EMBEDDINGS if provider is not None and provider.available() else "")))
+
+
 def sessions(rows: DataFrame, key: str = "trip_id", time: str = "captured_at", tie: str = "id", gap: float = GAP_SECONDS) -> DataFrame:
     """rows with group_index from 0: a new group begins where the time since the row before is over the gap."""
     order = Window.partitionBy(key).orderBy(F.col(time), F.col(tie))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,16 @@ from .ranking import first_per
 WASTE = ("none", "black", "blurry", "shaky", "duplicate")
 
 
+#: Seconds of the time slots in which segments and frames meet.
+SLOT = 10.0
+
+
 def frames_in(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """Segments with each frame in [start, end): a join on the medium with the range as its condition."""
-    f = frames.select("media_id", "ts", "sharpness")
-    return segments.join(f, "media_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    """Segments with each frame in [start, end): an equi-join on medium and time slot, then the range, so that a long medium is not compared whole."""
+    slot = lambda c: F.floor(F.col(c) / SLOT)
+    f = frames.select("media_id", "ts", "sharpness", slot("ts").alias("__slot"))
+    s = segments.where(F.col("end") > F.col("start")).withColumn("__slot", F.explode(F.sequence(slot("start"), slot("end"))))
+    return s.join(f, ["media_id", "__slot"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).select(*segments.columns, "ts", "sharpness")
 
 
 def overlap_seconds(a1, a2, b1, b2):
@@ -71,6 +79,25 @@ def edit_plan(candidates: DataFrame, key: str = "trip_id", order: tuple[str, ...
     return rows.withColumn("total", F.sum("clip_seconds").over(w)).drop("__natural")
 
 
+def refined_plan(clips: DataFrame, refiner: Callable[[DataFrame], DataFrame] | None = None, key: str = "trip_id", target: float = 60.0) -> DataFrame:
+    """The clips after an optional refiner (DataFrame -> DataFrame of the same columns), with ai_refined.
+
+    A trip's refined plan is taken if it has clips, each once, all of the trip's own, numbered from 0 without gaps, of positive length, and
+    within the target together; else the trip keeps its base plan. Without a refiner every plan is the base plan.
+    """
+    base = clips.withColumn("ai_refined", F.lit(False))
+    if refiner is None:
+        return base
+    new = refiner(clips).select(*clips.columns)
+    own = clips.select(key, "id", F.lit(True).alias("__own"))
+    n = F.count(F.lit(1))
+    checked = new.join(own, [key, "id"], "left").groupBy(key).agg(
+        (F.count("__own") == n) & (F.count_distinct("id") == n) & (F.min("clip_order") == 0) & (F.max("clip_order") == n - 1) & (F.count_distinct("clip_order") == n) & (F.min("clip_seconds") > 0) & (F.sum("clip_seconds") <= target + 1e-6)
+    ).toDF(key, "__ok")
+    good = checked.where("__ok").select(key)
+    return new.join(good, key, "left_semi").withColumn("ai_refined", F.lit(True)).unionByName(base.join(good, key, "left_anti"))
+
+
 def transitions(clips: DataFrame, key: str = "trip_id") -> DataFrame:
     """(key, from_id, to_id, to_order) of neighbouring clips."""
     w = Window.partitionBy(key).orderBy("clip_order")

@@ -304,6 +304,12 @@ def a4_exact_cohorts(get):
     return dedup.exact_cohorts(d).select("trip_id", "file_hash", F.array_join("members", ",").alias("members"), "n")
 
 
+@query("SELECT lang AS trip_id, sha256(text) AS file_hash, doc_id AS id, n FROM (SELECT *, count(*) OVER (PARTITION BY lang, sha256(text)) AS n FROM documents WHERE text IS NOT NULL) WHERE n >= 2")
+def a4_exact_members(get):
+    d = get("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("trip_id"), F.sha2("text", 256).alias("file_hash"), F.lit(None).cast("long").alias("deleted_at"))
+    return dedup.exact_members(d)
+
+
 @query("WITH g AS (SELECT trip_id, file_hash, count(*) AS n FROM media WHERE deleted_at IS NULL GROUP BY trip_id, file_hash) SELECT trip_id, CAST(sum(n) AS BIGINT) AS scanned, count(*) AS distinct_hashes, count(*) FILTER (n >= 2) AS cohorts, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS members FROM g GROUP BY trip_id")
 def a5_exact_counts(get):
     return dedup.exact_counts(get("media"))
@@ -846,3 +852,102 @@ def o8_largest_keys(get):
 def a10_outcome_histogram(get):
     both = get("media").where("type = 'image' and deleted_at is null").join(get("analysis").withColumnRenamed("media_id", "id"), "id")
     return dedup.histogram(both.select(F.when(F.col("quality_score").isNull(), "missing").otherwise("applied").alias("outcome")), "outcome", ("applied", "missing"))
+
+
+# --- sources, hooks and handlers ---------------------------------------------------------------------
+@query("""SELECT concat('track-', CAST(doc_id AS VARCHAR), '.', CASE doc_id % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'FLAC' ELSE 'wav' END) AS name, concat('track-', CAST(doc_id AS VARCHAR)) AS slug, CASE doc_id % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'flac' ELSE 'wav' END AS extension,
+octet_length(encode(coalesce(text, '')))::BIGINT AS size_bytes, sha256(coalesce(text, '')) AS checksum FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 5 <> 0""")
+def s10_audio_seeds(get):
+    ext = F.expr("CASE doc_id % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'FLAC' WHEN 2 THEN 'wav' ELSE 'txt' END")
+    path = F.concat(F.lit("file:/audio/"), F.when(F.col("doc_id") % 5 == 0, ".").otherwise(""), F.lit("track-"), "doc_id", F.lit("."), ext)
+    return S.audio_seeds(get("documents").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+
+
+_UPLOAD = """f AS (SELECT doc_id AS id, concat('My Song ', CAST(doc_id % 10 AS STRING), CASE doc_id % 4 WHEN 0 THEN '.MP3' WHEN 1 THEN '' WHEN 2 THEN '.wav' ELSE '.txt' END) AS name, CASE doc_id % 3 WHEN 0 THEN 'audio/OGG' WHEN 1 THEN 'text/plain' END AS mime,
+n_chars AS size, concat('c', CAST(n_chars % 400 AS STRING)) AS checksum FROM documents)"""
+
+
+@query(f"""WITH {_UPLOAD}, l AS (SELECT concat('c', CAST(doc_id % 90 AS VARCHAR)) AS checksum, min(doc_id) AS known FROM documents GROUP BY 1),
+e AS (SELECT *, CASE WHEN name LIKE '%.MP3' THEN 'mp3' WHEN name LIKE '%.wav' THEN 'wav' WHEN mime = 'audio/OGG' THEN 'ogg' END AS extension FROM f),
+p AS (SELECT *, CASE WHEN coalesce(size, 0) <= 0 THEN 'empty' WHEN size > 5000 THEN 'too_large' WHEN extension IS NULL THEN 'unsupported' END AS problem FROM e),
+w AS (SELECT p.*, l.known, min(id) FILTER (problem IS NULL) OVER (PARTITION BY p.checksum) AS first FROM p LEFT JOIN l USING (checksum)),
+s AS (SELECT *, CASE WHEN problem IS NULL THEN coalesce(known, CASE WHEN first < id THEN first END) END AS same_as FROM w)
+SELECT id, coalesce(problem, CASE WHEN same_as IS NOT NULL THEN 'existing' ELSE 'created' END) AS outcome, extension, CASE WHEN problem IS NULL THEN concat('my-song-', CAST(id % 10 AS VARCHAR)) END AS slug,
+  CASE WHEN problem IS NULL THEN CASE WHEN mime = 'audio/OGG' THEN 'audio/ogg' ELSE CASE extension WHEN 'mp3' THEN 'audio/mpeg' WHEN 'wav' THEN 'audio/wav' END END END AS mime, same_as FROM s""")
+def s11_audio_uploads(get):
+    d = get("documents")
+    files = d.selectExpr("doc_id AS id", "concat('My Song ', doc_id % 10, CASE doc_id % 4 WHEN 0 THEN '.MP3' WHEN 1 THEN '' WHEN 2 THEN '.wav' ELSE '.txt' END) AS name", "CASE doc_id % 3 WHEN 0 THEN 'audio/OGG' WHEN 1 THEN 'text/plain' END AS mime", "n_chars AS size", "concat('c', n_chars % 400) AS checksum")
+    return S.audio_uploads(files, d.selectExpr("doc_id AS id", "concat('c', doc_id % 90) AS checksum"), 5000)
+
+
+@query("SELECT o_orderkey AS id, 640 + o_orderkey % 1280 AS width, 'h264' AS codec, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 0.5 ELSE 12.25 END AS duration, CASE WHEN o_orderkey % 2 = 0 THEN 30.0 ELSE 25.0 END AS fps, CASE WHEN o_orderkey % 5 > 0 THEN 'aac' END AS audio_codec FROM orders WHERE o_orderkey % 7 > 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0")
+def s13_probes(get):
+    o = get("orders")
+    k = F.col("o_orderkey")
+    video_ = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","height":720,"duration":"12.25","width":'), 640 + k % 1280, F.lit(',"r_frame_rate":"'), F.when(k % 2 == 0, "30/1").otherwise("0/0"), F.lit('","avg_frame_rate":"25/1"}'))
+    audio = F.when(k % 5 > 0, '{"codec_type":"audio","codec_name":"aac"},').otherwise("")
+    text = F.when(k % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"streams":['), audio, video_, F.lit('],"format":{'), F.when(k % 3 == 0, F.concat(F.lit('"duration":"'), "o_custkey", F.lit('.5"'))).otherwise(""), F.lit("}}")))
+    got = o.select(k.alias("id"), T.probe_projection(text).alias("p"))
+    return got.select("id", "p.width", "p.codec", "p.duration", "p.fps", "p.audio_codec")
+
+
+@query("SELECT c_custkey AS media_id, i AS frame, i * 1.5 AS ts, concat('k/', CAST(c_custkey AS VARCHAR), '/', CAST(i AS VARCHAR)) AS path FROM customer, range(0, 3) AS r(i) WHERE c_custkey % 4 > 0 AND i <= c_custkey % 3")
+def s14_manifests(get):
+    c = F.col("c_custkey")
+    frames = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), c % 3), lambda i: F.concat(F.lit('{"index":'), i, F.lit(',"timestampSec":'), i * 1.5, F.lit(',"path":"k/'), c, F.lit("/"), i, F.lit('"}'))), ",")
+    text = F.when(c % 4 == 0, "{broken").otherwise(F.concat(F.lit('{"frames":['), frames, F.lit("]}")))
+    return S.manifest_frames(get("customer").select(c.alias("media_id"), text.alias("m")), "m").select("media_id", F.col("frame.index").cast("long").alias("frame"), F.col("frame.timestampSec").alias("ts"), F.col("frame.path").alias("path"))
+
+
+def _refine(asked):
+    k = F.col("media_id") % 6
+    return asked.select("media_id", F.when(k < 4, "success").otherwise("failed").alias("status"), F.when(k == 0, b"").when(k < 4, F.encode(F.concat(F.lit("webp "), "path"), "UTF-8")).alias("output"), F.when(k >= 4, "limit reached").alias("error_message"))
+
+
+_REFINED = """WITH j AS (SELECT event_id AS job_id, user_id % 1500 AS media_id FROM events), a AS (SELECT id AS job_id, id AS audit_id FROM calls WHERE status = 'pending'),
+r AS (SELECT j.job_id, a.audit_id, j.media_id, CASE WHEN a.audit_id IS NULL THEN 'no_pending_audit' WHEN m.id IS NULL THEN 'media_missing' WHEN m.type <> 'image' THEN 'not_an_image' WHEN m.original_path IS NULL THEN 'no_original' WHEN m.file_size = 0 THEN 'empty_original'
+  WHEN j.media_id % 6 >= 4 THEN 'provider_failed' WHEN j.media_id % 6 = 0 THEN 'empty_output' END AS problem FROM j LEFT JOIN a USING (job_id) LEFT JOIN (SELECT * FROM media WHERE deleted_at IS NULL) m ON m.id = j.media_id)"""
+
+
+def _refined(get):
+    jobs = get("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 1500).alias("media_id"))
+    return models.refined_images(jobs, get("calls").withColumn("job_id", F.col("id")), get("media"), _refine)
+
+
+@query(f"{_REFINED} SELECT job_id, audit_id, media_id, problem, CASE WHEN problem = 'provider_failed' THEN 'limit reached' END AS error_message, CASE WHEN problem IS NULL THEN concat('derived/', CAST(media_id AS VARCHAR), '/ai_refined') END AS file_path FROM r")
+def s17_refined_images(get):
+    return _refined(get).drop("output")
+
+
+@query(f"""{_REFINED}, n AS (SELECT DISTINCT media_id FROM r WHERE problem IS NULL)
+SELECT v.media_id, v.version_type, v.file_path, v.status, 'kept' AS outcome FROM versions v WHERE v.version_type <> 'ai_refined' OR v.media_id NOT IN (SELECT media_id FROM n)
+UNION ALL SELECT n.media_id, 'ai_refined', concat('derived/', CAST(n.media_id AS VARCHAR), '/ai_refined'), 'ready', CASE WHEN v.media_id IS NULL THEN 'inserted' ELSE 'updated' END FROM n LEFT JOIN versions v ON v.media_id = n.media_id AND v.version_type = 'ai_refined'""")
+def s17_refined_versions(get):
+    base = get("versions").select("media_id", "version_type", "file_path", "status")
+    return merge.upserted(base, models.refined_versions(_refined(get)), ["media_id", "version_type"])
+
+
+@query(f"""{_REFINED} SELECT c.id, CASE WHEN r.audit_id IS NULL THEN c.status WHEN r.problem IS NULL THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN r.audit_id IS NULL THEN c.response_summary WHEN r.problem IS NULL THEN concat('derived/', CAST(r.media_id AS VARCHAR), '/ai_refined') END AS response_summary FROM calls c LEFT JOIN r ON r.audit_id = c.id""")
+def s17_audited(get):
+    log = get("calls").select("id", "status", "response_summary", F.lit(None).cast("string").alias("error_message"))
+    return models.audited(log, models.audit_results(_refined(get))).drop("error_message")
+
+
+@query(f"WITH {_SES} SELECT trip_id, group_index, count(*) AS n, 'code-time-1.0+scene_embedding-pending' AS algorithm_version FROM s GROUP BY trip_id, group_index")
+def u4_scene_versions(get):
+    rows = scenes.sessions(get("points"), gap=_GAP)
+    return scenes.versioned(rows.groupBy("trip_id", "group_index").agg(F.count(F.lit(1)).alias("n")), scenes.mock_embeddings())
+
+
+@query(f"""WITH {_CLIPS}, q AS (SELECT trip_id, id, least(c, 60.0 - start) AS s, row_number() OVER (PARTITION BY trip_id ORDER BY created_at, id) - 1 AS o FROM p WHERE start < 60.0 - 1e-6)
+SELECT trip_id, id, round(CASE WHEN trip_id % 3 = 0 THEN s / 2 ELSE s END, 4) AS clip_seconds, o AS clip_order, trip_id % 3 = 0 AS ai_refined FROM q""")
+def u5_refined_plans(get):
+    """A refiner that halves clips; its plans of two trips in three break the rules, so these keep their base plan."""
+    k = F.col("trip_id") % 3
+
+    def refiner(clips):
+        return clips.withColumn("clip_seconds", F.when(k == 0, F.col("clip_seconds") / 2).when(k == 1, -F.col("clip_seconds")).otherwise(F.col("clip_seconds") + 60))
+
+    out = video.refined_plan(_clips(get), refiner)
+    return out.select("trip_id", "id", F.round("clip_seconds", 4).alias("clip_seconds"), F.col("clip_order").cast("long").alias("clip_order"), "ai_refined")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.media import classified
+from ..functions.media import classified, lookup
 from ..functions.text import original_path
 from ..schemas import SCHEMAS
 
@@ -44,6 +44,12 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("mediaId is not null").select(F.col("mediaId").alias("media_id"), F.explode("frames").alias("frame"))
 
 
+def manifest_frames(rows: DataFrame, column: str) -> DataFrame:
+    """rows with each frame of a manifest (JSON in a column); malformed or null manifests give no rows."""
+    got = F.from_json(F.col(column), "frames array<struct<index:int,timestampSec:double,path:string,sharpness:double>>")
+    return rows.select(*[c for c in rows.columns if c != column], F.explode(got["frames"]).alias("frame"))
+
+
 def pending_changes(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Changes (name) that the ledger does not have, to be applied in order of their names."""
     return files.join(ledger.select("name"), "name", "left_anti").orderBy("name")
@@ -84,3 +90,25 @@ def audio_seeds(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     rows = files.withColumn("name", name).withColumn("extension", ext).where(~F.col("name").startswith(".") & F.col("extension").isin(*AUDIO_EXTENSIONS))
     return rows.select("name", slug(F.regexp_replace("name", r"\.[^.]+$", "")).alias("slug"), "extension", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("checksum")).orderBy("name")
+
+
+def audio_uploads(files: DataFrame, library: DataFrame, most_bytes: int) -> DataFrame:
+    """(id, outcome, extension, slug, mime, same_as) of uploaded audio (id, name, mime, size, checksum) against the user's library (id, checksum).
+
+    The first that applies: empty, too_large, unsupported, else existing (the checksum is in the library, or an upload with a smaller id has
+    it) or created.
+    """
+    from ..functions.text import AUDIO_MIME_OF, AUDIO_MIMES, audio_extension, slug
+
+    ext = audio_extension(F.col("name"), F.col("mime"))
+    problem = F.when(F.coalesce("size", F.lit(0)) <= 0, "empty").when(F.col("size") > most_bytes, "too_large").when(ext.isNull(), "unsupported")
+    rows = files.select("*", ext.alias("extension"), problem.alias("problem"))
+    known = library.groupBy("checksum").agg(F.min("id").alias("known"))
+    first = rows.where("problem is null").groupBy("checksum").agg(F.min("id").alias("first"))
+    rows = rows.join(known, "checksum", "left").join(first, "checksum", "left")
+    same = F.coalesce(F.col("known"), F.when(F.col("first") < F.col("id"), F.col("first")))
+    outcome = F.when(F.col("problem").isNotNull(), F.col("problem")).when(same.isNotNull(), "existing").otherwise("created")
+    low = F.lower("mime")
+    mime = F.when(low.isin(*AUDIO_MIMES), low).otherwise(F.coalesce(lookup(AUDIO_MIME_OF, F.col("extension")), F.lit("application/octet-stream")))
+    good = F.col("problem").isNull()
+    return rows.select("id", outcome.alias("outcome"), "extension", F.when(good, slug(F.regexp_replace("name", r"\.[^.]+$", ""))).alias("slug"), F.when(good, mime).alias("mime"), F.when(good, same).alias("same_as"))

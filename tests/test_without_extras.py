@@ -5,12 +5,17 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 from shoebox.plans.queries import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_entry_without_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_corpus_operators(tmp_path, pipeline):
+    if pipeline:  # left behind
+        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     shutil.copytree(f"{ROOT}/shoebox", tmp_path / "shoebox", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     (tmp_path / "shoebox" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
