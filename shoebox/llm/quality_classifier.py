@@ -6,10 +6,11 @@ into 2 ** 18 buckets. Each indicator is scaled by the log ratio of its smoothed
 classes; a linear hinge-loss model is fitted to the scaled indicators by dual coordinate descent; a
 logistic curve, fitted to margins of rows that the model was not fitted to, turns margins into scores.
 
-The model is fitted on the driver to at most FIT_ROWS labelled rows, chosen by a hash of the id (the
-bound on what reaches the driver). Scoring reads every whole text, in Arrow batches, without a shuffle.
+The model is fitted on the driver to at most FIT_ROWS labelled rows, those whose ids have the smallest hashes (the
+bound on what reaches the driver, as their indicators). Scoring reads every whole text, in Arrow batches, without a shuffle.
 
-Defined cases: null and empty texts get the score of no indicators; null ids are never learned from and
+Defined cases: an id with several labels has the highest; of rows that repeat a labelled id, the text with the smallest hash is
+learned from; long texts are worked on in pieces; null and empty texts get the score of no indicators; null ids are never learned from and
 count as not held out; repeated rows are scored each by itself; without labels of both classes
 every score is the share of label 1 (0.5 if there are no labels); an empty table gives an empty result;
 other columns (language and source among them) are not read.
@@ -159,10 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of the labelled rows that are not held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    share = fit_rows / max(known.count(), 1)
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "label", "text")
-    got = rows.mapInArrow(_indexed, "id long, label int, idx array<int>").limit(fit_rows + fit_rows // 4).toArrow()
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_rows))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.mapInArrow(_indexed, "id long, label int, idx array<int>").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     lists = got.column("idx").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists

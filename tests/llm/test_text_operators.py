@@ -110,6 +110,27 @@ def test_dual_coordinate_descent_separates():
     assert all(np.sign((w * r)[x].sum() + b) == v for x, v in zip(xs, y))
 
 
+def test_dual_coordinate_descent_finds_the_optimum():
+    """No step in any of many directions lowers the hinge-loss objective, which is convex."""
+    rng = np.random.default_rng(3)
+    xs = [np.unique(rng.integers(0, 12, 6)) for _ in range(60)]
+    y = np.where(rng.random(60) < [0.2 + 0.6 * (x[0] < 2) for x in xs], 1, -1)
+    r = quality_classifier.log_ratios(xs, y)
+    w, b = quality_classifier.dual_coordinate_descent(xs, y, r, epochs=5000)
+    rows = np.zeros((60, 13))
+    for k, x in enumerate(xs):
+        rows[k, x] = r[x] / np.sqrt((r[x] ** 2).sum())
+    rows[:, 12] = 1
+    loss = lambda v: v @ v / 2 + np.maximum(0, 1 - y * (rows @ v)).sum()
+    own = np.append(w[:12], b)
+    assert not w[12:].any() and loss(own) < loss(np.zeros(13)) - 5
+    step = np.zeros(13)
+    for t in range(1, 20_001):  # subgradient descent from elsewhere ends no lower
+        step -= (step - ((y * (rows @ step) < 1) * y) @ rows) / t
+    assert loss(own) <= loss(step) + 5e-3
+    assert all(loss(own + size * d / np.linalg.norm(d)) > loss(own) - 5e-3 for d in rng.normal(size=(400, 13)) for size in (1e-3, 1e-1, 1.0))
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
