@@ -24,7 +24,9 @@ def measures(text):
 TEXTS = [None, "", "a", "a b c", "a a a a", "a b c a b c", "x y z a x y z", "# | <a> b\n# | <a> b", "\n\n", "a b c d a b c", " a  b\tc\x0bd ", "漢 字 漢 字 漢 字 é"]
 
 
-def test_measures(spark, docs, rows):
+@pytest.mark.parametrize("packed", [4096, 2])
+def test_measures(spark, docs, rows, monkeypatch, packed):
+    monkeypatch.setattr(quality_rules, "PACKED_WORDS", packed)
     texts = TEXTS + [r[1] for r in rows]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r["doc_id"]: r for r in quality_rules.ledger(df).collect()}
