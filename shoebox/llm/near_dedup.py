@@ -156,18 +156,14 @@ def _linkable(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
 
 def _first_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, first, k, h, at): the first k of a node's shingles, rarest among the nodes first, of which a near set has one.
-
-    `first` are those of them that other nodes have too, and each is a row with its place in the order.
-    """
+    """(node, k, h, at): the first k of a node's shingles, rarest among the nodes first, of which a near set has one; those that others have, with their places."""
     s = round(similarity * 10_000)
     own = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("sh").alias("n"), F.explode("sh").alias("h"))
     often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
     ranked = own.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
     least = (F.col("n") - F.ceil(F.col("n") * s / 10_000) + 1).cast("int")
-    ranked = ranked.select("node", least.cast("long").alias("k"), F.filter(F.slice("all", F.lit(1), least), lambda x: x["often"] > 1)["h"].alias("first"))
-    # Those that no other node has come before them.
-    return ranked.select("node", "first", "k", F.posexplode("first").alias("at", "h")).withColumn("at", F.col("at") + F.col("k") - F.size("first"))
+    each = ranked.select("node", least.cast("long").alias("k"), F.posexplode(F.slice("all", F.lit(1), least)).alias("at", "x"))
+    return each.where("x.often > 1").select("node", "k", F.col("x.h").alias("h"), "at")
 
 
 #: Of four lanes of 15 bits in a long: the highest bit of each, and the others.
@@ -197,10 +193,14 @@ def _share_a_band(count: int) -> Column:
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, pivot: DataFrame, similarity: float, bands: int) -> DataFrame:
     """(a, b, la, lb): pairs of nodes of different components that share a bucket and can be near, met by their first shingles."""
     s = round(similarity * 10_000)
-    rows = written(_first_shingles(nodes, sets, similarity).join(nodes, "node").join(pivot, "node", "left"), "first")
-    main = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", "c").alias("main"))
-    rest = rows.join(written(main, "main"), "h").where("label <> main")
-    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "h"])
+    rows = written(_first_shingles(nodes, sets, similarity).join(nodes.select("node", "label"), "node"), "first")
+    # Only shingles that several components have can bring nodes of different ones together.
+    main = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "main")
+    rows = written(rows.join(written(main, "main"), "h"), "shared_first")
+    lists = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "h")))["h"].alias("first"))
+    rows = written(rows.join(lists, "node").join(nodes.drop("label"), "node").join(pivot, "node", "left"), "first")
+    rest = rows.where("label <> main")
+    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("h", "main")])
     differ = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2")))
     # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
     fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
