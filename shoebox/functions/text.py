@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .media import lookup
-from .numeric import leading_number
+from .numeric import clamp01, leading_number, round_to
 
 #: Audio types and the extension of each.
 AUDIO_EXTENSIONS = ("mp3", "m4a", "aac", "wav", "flac", "ogg", "opus")
@@ -123,3 +123,51 @@ def probe_projection(probe_json: Column) -> Column:
     first = lambda kind: F.get(F.filter(got["streams"], lambda s: s["codec_type"] == kind), 0)
     v, a = first("video"), first("audio")
     return F.struct(v["width"].alias("width"), v["height"].alias("height"), v["codec_name"].alias("codec"), F.coalesce(leading_number(got["format"]["duration"]), leading_number(v["duration"])).alias("duration"), F.coalesce(rational(v["r_frame_rate"]), rational(v["avg_frame_rate"])).alias("fps"), a["codec_name"].alias("audio_codec"))
+
+
+def loudness_filter(level: Column, peak: Column, spread: Column) -> Column:
+    """A loudness filter from integrated level, true peak and range; null if one is missing."""
+    return F.concat(F.lit("loudnorm=I="), _plain(level, 3), F.lit(":TP="), _plain(peak, 3), F.lit(":LRA="), _plain(spread, 3))
+
+
+def segment_path(trip: Column, media: Column, segment: Column) -> Column:
+    """Logical path of a segment's file; null if a part is not a safe segment."""
+    ok = safe_segment(trip) & safe_segment(media) & safe_segment(segment)
+    return F.when(ok, F.concat(F.lit("trips/"), trip, F.lit("/derived/"), media, F.lit("/segments/"), segment, F.lit(".mp4")))
+
+
+def _plain(x: Column, digits: int) -> Column:
+    """A number to so many places, without zeros at the end."""
+    return F.when(x.isNotNull(), F.regexp_replace(F.format_string(f"%.{digits}f", round_to(x, digits)), r"\.?0+$", ""))
+
+
+def segment_reason(blur: Column, black: Column, quality: Column, waste: Column, keyframes: Column, recommended: Column) -> Column:
+    """How a segment was judged, part by part."""
+    three = lambda x: F.when(x.isNull(), "NULL").otherwise(F.format_string("%.3f", round_to(x, 3)))
+    parts = [F.concat(F.lit(f"{name}="), three(x)) for name, x in (("blur", blur), ("blackRatio", black), ("quality", quality))]
+    parts += [F.concat(F.lit("waste="), waste), F.concat(F.lit("keyframes="), keyframes.cast("string")), F.when(keyframes == 0, "(no keyframes in interval; blur degraded to NULL)"), F.when(recommended, "recommended")]
+    return F.concat_ws(" ", *parts)
+
+
+#: Weights of the dimensions of quality, in their order.
+WEIGHTS = {"blur": 0.45, "exposure": 0.35, "color": 0.2}
+
+
+def final_reason(quality: Column, blur: Column, exposure: Column, color: Column, raw: Column) -> Column:
+    """The final quality with what each dimension said (labels from the raw JSON, '?' where it has none), the weights as set and as normalised, and the dimensions left out."""
+    got = F.from_json(raw, "blur struct<classification:string,laplacianVariance:double>, exposure struct<exposureLabel:string,meanBrightness:double>, color struct<colorCast:string,labels:array<string>>")
+    score = {"blur": blur, "exposure": exposure, "color": color}
+    label = lambda x: F.coalesce(x, F.lit("?"))
+    more = lambda name, x: F.coalesce(F.concat(F.lit(f", {name}="), _plain(x, 2)), F.lit(""))
+    labels = F.array_join(got["color"]["labels"], ",")
+    said = {
+        "blur": F.concat(F.lit("blur="), _plain(blur, 3), F.lit(" ["), label(got["blur"]["classification"]), more("variance", got["blur"]["laplacianVariance"]), F.lit("]")),
+        "exposure": F.concat(F.lit("exposure="), _plain(exposure, 3), F.lit(" ["), label(got["exposure"]["exposureLabel"]), more("mean", got["exposure"]["meanBrightness"]), F.lit("]")),
+        "color": F.concat(F.lit("color="), _plain(color, 3), F.lit(" (eff "), _plain(0.5 + 0.5 * clamp01(color), 3), F.lit(") ["), label(got["color"]["colorCast"]), F.when(F.length(labels) > 0, F.concat(F.lit(", labels="), labels)).otherwise(""), F.lit("]")),
+    }
+    total = sum((F.when(score[d].isNotNull(), w).otherwise(0.0) for d, w in WEIGHTS.items()), F.lit(0.0))
+    weights = [F.when(score[d].isNotNull(), F.concat(F.lit(f"{d}={w:g}→"), _plain(F.lit(w) / total, 3))) for d, w in WEIGHTS.items()]
+    skipped = F.array_join(F.array_compact(F.array(*[F.when(score[d].isNull(), d) for d in WEIGHTS])), ", ")
+    used = [F.when(score[d].isNotNull(), said[d]) for d in WEIGHTS]
+    out = F.concat(F.lit("final quality "), _plain(quality, 3), F.lit(" — "), F.concat_ws(" | ", *used), F.lit(" | weights "), F.concat_ws(" ", *weights), F.when(F.length(skipped) > 0, F.concat(F.lit(" (skipped: "), skipped, F.lit(")"))).otherwise(""))
+    return F.when(total > 0, out)

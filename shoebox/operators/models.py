@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import mock_blur_class
@@ -122,8 +122,18 @@ def with_analysis(media: DataFrame, analysis: DataFrame) -> DataFrame:
     return media.join(a, "id", "left")
 
 
+def ordered_items(items: DataFrame, media: DataFrame) -> DataFrame:
+    """(group_id, media_id, type, status, place): items of groups in order (most similar first, unknown last, then by id), each with its medium's type and status if it is active.
+
+    A row for each item, numbered by a window that spills, so that a group may have any number.
+    """
+    active = media.where("deleted_at is null").select(F.col("id").alias("media_id"), "type", "status")
+    order = Window.partitionBy("group_id").orderBy(F.col("similarity_score").desc_nulls_last(), "media_id")
+    return items.join(active, "media_id", "left").select("group_id", "media_id", "type", "status", (F.row_number().over(order) - 1).alias("place"))
+
+
 def groups_with_items(groups: DataFrame, items: DataFrame, media: DataFrame) -> DataFrame:
-    """Groups with their items in order, each with its medium (null if deleted). Groups are small; items are gathered per group."""
+    """Groups with their items in order, each with its medium (null if deleted), gathered in a row; for small groups (ordered_items is the form for any)."""
     active = media.where("deleted_at is null").select(F.col("id").alias("media_id"), F.struct("type", "status").alias("media"))
     rows = items.join(active, "media_id", "left")
     nested = rows.groupBy(F.col("group_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("similarity_score").isNull().alias("last"), (-F.col("similarity_score")).alias("order"), "media_id", "media"))).alias("items"))

@@ -176,6 +176,11 @@ def j6_calls_per_trip(get):
     return models.invocations_per_trip(get("calls"), get("media"))
 
 
+@query("SELECT group_id, media_id, CASE WHEN m.deleted_at IS NULL THEN m.type END AS type, row_number() OVER (PARTITION BY group_id ORDER BY similarity_score DESC NULLS LAST, media_id) - 1 AS place FROM members i LEFT JOIN media m ON m.id = i.media_id")
+def j7_j8_o2_ordered_items(get):
+    return models.ordered_items(get("members"), get("media")).select("group_id", "media_id", "type", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT group_id, media_id, CASE WHEN m.deleted_at IS NULL THEN m.type END AS type, row_number() OVER (PARTITION BY group_id ORDER BY similarity_score DESC NULLS LAST, media_id) - 1 AS place FROM members i LEFT JOIN media m ON m.id = i.media_id")
 def j7_j8_o2_groups_with_items(get):
     nested = models.groups_with_items(get("groups"), get("members"), get("media"))
@@ -951,3 +956,47 @@ def u5_refined_plans(get):
 
     out = video.refined_plan(_clips(get), refiner)
     return out.select("trip_id", "id", F.round("clip_seconds", 4).alias("clip_seconds"), F.col("clip_order").cast("long").alias("clip_order"), "ai_refined")
+
+
+@query("SELECT id, media_id, 'media' AS target_type, CAST(media_id AS VARCHAR) AS target_id, job_type, status, 0 AS progress, retry_count, 32 AS key_length FROM jobs")
+def s3_rebuilt_jobs(get):
+    new = S.rebuilt(get("jobs"), {"id": None, "media_id": None, "target_type": F.lit("media"), "target_id": F.col("media_id").cast("string"), "dedupe_key": S.random_key(), "job_type": None, "status": None, "progress": F.lit(0), "retry_count": None})
+    return new.withColumn("key_length", F.length("dedupe_key")).drop("dedupe_key")
+
+
+@query("SELECT c_custkey, length(trim(c_name)) > 0 AS named, concat(trim(c_name), '/', CAST(c_custkey AS VARCHAR)) AS label, concat('1998-06-', lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0'), 'T12:30:00.250Z') AS at FROM customer")
+def k27_strings(get):
+    at = F.make_timestamp_ntz(F.lit(1998), F.lit(6), (1 + F.col("c_custkey") % 28).cast("int"), F.lit(12), F.lit(30), F.lit(0.25).cast("decimal(8,6)"))
+    return get("customer").select("c_custkey", (F.length(F.trim("c_name")) > 0).alias("named"), F.concat(F.trim("c_name"), F.lit("/"), "c_custkey").alias("label"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+
+
+@query("SELECT c_custkey, concat('loudnorm=I=-', CAST(10 + c_custkey % 14 AS VARCHAR), ':TP=-1.5:LRA=', CAST(c_custkey % 20 AS VARCHAR)) AS filter, concat('trips/t', CAST(c_custkey % 7 AS VARCHAR), '/derived/m', CAST(c_custkey AS VARCHAR), '/segments/s1.mp4') AS path FROM customer")
+def k28_k32_loudness_and_paths(get):
+    k = F.col("c_custkey")
+    return get("customer").select("c_custkey", T.loudness_filter(-(10 + k % 14).cast("double"), F.lit(-1.5), (k % 20).cast("double")).alias("filter"), T.segment_path(F.concat(F.lit("t"), k % 7), F.concat(F.lit("m"), k), F.lit("s1")).alias("path"))
+
+
+def _number(x: str, digits: int) -> str:
+    return f"regexp_replace(printf('%.{digits}f', floor(({x}) * {10**digits} + 0.5) / {10**digits}), '\\.?0+$', '')"
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_discount * 10 END AS b, l_tax * 5 AS d FROM lineitem), w AS (SELECT *, b * (1 - d) AS q FROM v)
+SELECT l_orderkey, l_linenumber, concat('blur=', coalesce(printf('%.3f', floor(b * 1000 + 0.5) / 1000), 'NULL'), ' blackRatio=', printf('%.3f', floor(d * 1000 + 0.5) / 1000), ' quality=', coalesce(printf('%.3f', floor(q * 1000 + 0.5) / 1000), 'NULL'), ' waste=none keyframes=', CAST(l_linenumber % 3 AS VARCHAR),
+  CASE WHEN l_linenumber % 3 = 0 THEN ' (no keyframes in interval; blur degraded to NULL)' ELSE '' END, CASE WHEN coalesce(q >= 0.5, false) THEN ' recommended' ELSE '' END) AS reason FROM w""")
+def k32_segment_reasons(get):
+    n = F.col("l_linenumber") % 3
+    rows = get("lineitem").select("l_orderkey", "l_linenumber", F.when(n > 0, F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 5).alias("d"), n.alias("n"))
+    rows = rows.withColumn("q", F.col("b") * (1 - F.col("d")))
+    return rows.select("l_orderkey", "l_linenumber", T.segment_reason(F.col("b"), F.col("d"), F.col("q"), F.lit("none"), F.col("n"), F.coalesce(F.col("q") >= 0.5, F.lit(False))).alias("reason"))
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 5 AS b, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 4 END AS e, CASE WHEN l_linenumber % 3 = 0 THEN l_discount * 8 END AS c FROM lineitem),
+w AS (SELECT *, 0.45 + CASE WHEN e IS NULL THEN 0 ELSE 0.35 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END AS t FROM v)
+SELECT l_orderkey, l_linenumber, concat('final quality ', {_number("b", 3)}, ' — blur=', {_number("b", 3)}, ' [sharp, variance=', {_number("b * 100", 2)}, ']', CASE WHEN e IS NULL THEN '' ELSE concat(' | exposure=', {_number("e", 3)}, ' [?]') END,
+  CASE WHEN c IS NULL THEN '' ELSE concat(' | color=', {_number("c", 3)}, ' (eff ', {_number("0.5 + 0.5 * c", 3)}, ') [warm, labels=a,b]') END, ' | weights blur=0.45→', {_number("0.45 / t", 3)}, CASE WHEN e IS NULL THEN '' ELSE concat(' exposure=0.35→', {_number("0.35 / t", 3)}) END, CASE WHEN c IS NULL THEN '' ELSE concat(' color=0.2→', {_number("0.2 / t", 3)}) END,
+  CASE WHEN e IS NULL AND c IS NULL THEN ' (skipped: exposure, color)' WHEN e IS NULL THEN ' (skipped: exposure)' WHEN c IS NULL THEN ' (skipped: color)' ELSE '' END) AS reason FROM w""")
+def k32_final_reasons(get):
+    n, b = F.col("l_linenumber"), F.col("l_discount") * 5
+    raw = F.concat(F.lit('{"blur":{"classification":"sharp","laplacianVariance":'), (b * 100).cast("string"), F.lit('},"color":{"colorCast":"warm","labels":["a","b"]}}'))
+    reason = T.final_reason(b, b, F.when(n % 2 == 0, F.col("l_tax") * 4), F.when(n % 3 == 0, F.col("l_discount") * 8), raw)
+    return get("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))

@@ -44,6 +44,16 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("mediaId is not null").select(F.col("mediaId").alias("media_id"), F.explode("frames").alias("frame"))
 
 
+def rebuilt(df: DataFrame, columns: dict[str, Column | None]) -> DataFrame:
+    """A table copied into a new form: these columns in this order, each from an expression, or, where that is None, as it was."""
+    return df.select(*[(F.col(name) if value is None else value).alias(name) for name, value in columns.items()])
+
+
+def random_key() -> Column:
+    """32 random hex digits, as a default for a key that nothing refers to."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def manifest_frames(rows: DataFrame, column: str) -> DataFrame:
     """rows with each frame of a manifest (JSON in a column); malformed or null manifests give no rows."""
     got = F.from_json(F.col(column), "frames array<struct<index:int,timestampSec:double,path:string,sharpness:double>>")
