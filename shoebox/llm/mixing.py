@@ -38,6 +38,8 @@ BINS = 1024
 PART_ROWS, PART_SHARE = 32, 0.002
 #: Bins of a source that are added or taken away at most to come nearer to its target.
 FLIPS = 16
+#: Bins of a source up to which all choices of them are tried.
+ALL_CHOICES = 16
 
 
 def _class(size: Column) -> Column:
@@ -105,6 +107,25 @@ def balance(cells: DataFrame, targets: dict[str, dict], tokens: str = "tokens",
     return {m: {level: float(lam[where[m, level]]) if (m, level) in where else 0.0 for level in targets[m]} for m in margins}
 
 
+def _changes(changes: np.ndarray, lacking: float) -> list[int]:
+    """Which of the changes together come near to what is lacking: the best of all choices if there are few, else one after the other, each that helps most."""
+    if len(changes) <= ALL_CHOICES:
+        sums = np.zeros(1)
+        for x in changes:
+            sums = np.concatenate([sums, sums + x])
+        best = int(np.argmin(np.abs(sums - lacking)))
+        return [i for i in range(len(changes)) if best >> i & 1]
+    chosen: list[int] = []
+    for _ in range(FLIPS):
+        i = int(np.argmin(np.abs(lacking - changes)))
+        if abs(lacking - changes[i]) >= abs(lacking):
+            break
+        lacking -= changes[i]
+        chosen.append(i)
+        changes[i] = np.inf
+    return chosen
+
+
 def _fit_thresholds(rows: pd.DataFrame) -> pd.DataFrame:
     """For one source: by class, the hash bin below which documents get one more copy, the bin of which a part does, and bins for which it is the other way."""
     goal, whole = float(rows.goal.iloc[0]), float(rows.tokens.sum())
@@ -121,13 +142,8 @@ def _fit_thresholds(rows: pd.DataFrame) -> pd.DataFrame:
         carry = want - cum[k] - (share * tokens[at] if edge >= 0 else 0.0)
         free += [(float(t) if i >= k else -float(t), len(out), int(b)) for i, (t, b) in enumerate(zip(tokens, bins, strict=True)) if t and b != edge]
         out.append([cls, int(bins[k - 1]) + 1 if k else 0, edge, share, []])
-    changes = np.array([x[0] for x in free])
-    for _ in range(FLIPS if goal else 0):
-        if not len(changes) or abs(carry - changes[best := int(np.argmin(np.abs(carry - changes)))]) >= abs(carry):
-            break
-        carry -= changes[best]
-        out[free[best][1]][4].append(free[best][2])
-        changes[best] = np.inf
+    for i in _changes(np.array([x[0] for x in free]), carry) if goal else []:
+        out[free[i][1]][4].append(free[i][2])
     made = pd.DataFrame(out, columns=["cls", "below", "edge", "share", "flips"]).astype({"cls": "int32", "below": "int32", "edge": "int32"})
     made.insert(0, "source", [rows.source.iloc[0]] * len(out))
     return made
