@@ -256,7 +256,7 @@ def made_sentences(seed, n):
 
 def test_field_on_held_out_sentences(capsys):
     field = pii.train(pii.labelled_rows())
-    rows = made_sentences(11, 1500)
+    rows = made_sentences(2026, 1500)
     base = [pii.base_spans(t) for t, _ in rows]
     more = pii.added_spans([t for t, _ in rows], base, field)
     hit = found = want = 0
