@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def hex_bits(text: Column, digits: int = 16) -> Column:
     """The first hex digits of a text as a long; null where they are missing or are not hex."""
-    head = F.substring(text, 1, digits)
-    return F.when(head.rlike(f"^[0-9a-fA-F]{{{digits}}}$"), F.conv(head, 16, -10).cast("bigint"))
+    bits = lambda head: F.when(head.rlike(f"^[0-9a-fA-F]{{{digits}}}$"), F.conv(head, 16, -10).cast("bigint"))
+    return F.transform(F.array(F.substring(text, 1, digits)), bits)[0]  # so that a derived text is computed once
 
 
 def hamming(a: Column, b: Column, digits: int = 16) -> Column:

@@ -71,8 +71,8 @@ def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
 
 
 def image_hashes(media: DataFrame) -> DataFrame:
-    """(trip_id, id, bits) of active images, written so that a derived hash is computed once."""
-    return written(media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")).where("bits is not null"), "hashes")
+    """(trip_id, id, bits) of active images, written before they are filtered, so that a derived hash is computed once."""
+    return written(media.where("type = 'image' and deleted_at is null").select("trip_id", "id", hex_bits(F.col("perceptual_hash")).alias("bits")), "hashes").where("bits is not null")
 
 
 def _nodes(hashes: DataFrame) -> DataFrame:
