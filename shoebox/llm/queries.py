@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, near_dedup, pii, quality_classifier, quality_rules, token_store, url_filters, warc
+from . import centroid_clustering, decontamination, licenses, mixing, near_dedup, pii, quality_classifier, quality_rules, token_store, toxicity, url_filters, warc, whitening
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE,
@@ -22,4 +25,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op12_centroid_clustering": centroid_clustering.ORACLE,
 }
