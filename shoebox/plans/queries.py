@@ -1000,3 +1000,6 @@ def k32_final_reasons(get):
     raw = F.concat(F.lit('{"blur":{"classification":"sharp","laplacianVariance":'), (b * 100).cast("string"), F.lit('},"color":{"colorCast":"warm","labels":["a","b"]}}'))
     reason = T.final_reason(b, b, F.when(n % 2 == 0, F.col("l_tax") * 4), F.when(n % 3 == 0, F.col("l_discount") * 8), raw)
     return get("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
+
+
+from . import media_files  # noqa: E402, F401  registers its own queries
