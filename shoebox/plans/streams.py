@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import store
 from ..sources.work import work_folder
-from ..streaming import timers
+from ..streaming import ingest, timers
 from .queries import query
 
 DAY = 86_400_000
@@ -46,3 +48,48 @@ def q5_q6_supervised_stream(get):
         found = timers.supervised(source, f"{LATE_DAYS} days", TIMEOUT, BASE, LONGEST, MOST, forget_ms=1000 * DAY)
         found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(timers.OUTCOMES).parquet(f"{folder}/out").select("job_id", "outcome", F.unix_millis("at").alias("at_ms"), "retry_count")
+
+
+class Killed(Exception):
+    """Stands for a driver that is lost between a batch's rows and its ledger entry."""
+
+
+@query("""WITH f AS (SELECT concat('Track ', CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE '.MP3' END) AS name, doc_id % 4 AS part, text FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, sha256(text) AS checksum FROM f WHERE name LIKE '%MP3')
+SELECT checksum, arg_min(name, (part, name)) AS first_name, count(*) AS files, CAST(min(part) AS BIGINT) AS batch FROM g GROUP BY checksum""")
+def s10_ingested_once(get):
+    spark = get.spark
+    name = F.concat(F.lit("Track "), F.col("doc_id"), F.when(F.col("doc_id") % 7 == 0, ".txt").otherwise(".MP3"))
+    files = get("documents").where("text is not null").select(F.concat(F.lit("/audio/"), name).alias("path"), F.encode("text", "UTF-8").alias("content"), (F.col("doc_id") % 4).alias("part"))
+    folder = work_folder(spark)
+    for i in range(4):
+        files.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/part{i}")
+    source = lambda: spark.readStream.schema("path string, content binary").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    ledger, killed = ingest.Ledger(spark, f"{folder}/library", ingest.SEEDS), []
+
+    def kill(batch: int) -> None:
+        if batch == 2 and not killed:
+            killed.append(batch)
+            raise Killed(batch)
+
+    for _ in range(3):  # a run that is killed, one that goes on, and one that finds nothing new
+        try:
+            ingest.ingest_once(source(), ledger, f"{folder}/state", ingest.seeded, kill)
+        except StreamingQueryException as e:
+            if "Killed" not in str(e):
+                raise
+    rows = ledger.rows()
+    first = rows.where("outcome = 'inserted'").select("checksum", F.col("name").alias("first_name"), "batch")
+    return first.join(rows.groupBy("checksum").agg(F.count(F.lit(1)).alias("files")), "checksum")
+
+
+@query("""SELECT CAST(c_custkey % 20 AS VARCHAR) AS trip_id, CAST(c_custkey AS VARCHAR) AS media_id, CASE WHEN c_custkey % 4 > 1 THEN c_custkey % 5 END AS frames, CASE WHEN c_custkey % 4 > 1 AND c_custkey % 5 > 0 THEN (c_custkey % 5 - 1) * 1.5 END AS last_second
+ FROM customer WHERE c_custkey % 20 IN (3, 6, 8)""")
+def s1_s6_s14_stored_manifests(get):
+    spark, c = get.spark, F.col("c_custkey")
+    frames = F.when(c % 5 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(c % 5 - 1, F.lit(0))), lambda i: F.struct(i.alias("index"), (i * 1.5).alias("timestampSec")))).otherwise(F.array().cast("array<struct<index:bigint,timestampSec:double>>"))
+    manifest = F.when(c % 4 == 1, '{"frames":').when(c % 4 > 1, F.to_json(F.struct((c % 5).alias("frameCount"), frames.alias("frames"))))
+    root = f"{work_folder(spark)}/store"
+    store.write_manifests(get("customer").select((c % 20).cast("string").alias("trip_id"), c.cast("string").alias("media_id"), manifest.alias("manifest")), root)
+    rows = store.summaries(store.read_store(spark, root).where(F.col("trip_id").isin("3", "6", "8")))
+    return rows.select("trip_id", "media_id", F.size("summary.frames").cast("long").alias("frames"), F.when(F.size("summary.frames") > 0, F.array_max("summary.frames.timestampSec")).alias("last_second"))
