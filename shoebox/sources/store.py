@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 SCHEMA = "trip_id string, media_id string, manifest string"
 #: Trips of a partition.
@@ -65,7 +65,7 @@ class MediaReader(DataSourceReader):
                 self.trips = values if self.trips is None else self.trips & values
             elif values is not None and f.attribute == ("media_id",):
                 self.media = values if self.media is None else self.media & values
-            else:
+            elif not (isinstance(f, IsNotNull) and f.attribute in (("trip_id",), ("media_id",))):  # both are always there
                 yield f
 
     def partitions(self) -> list[Trips]:
