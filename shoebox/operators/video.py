@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -29,11 +30,59 @@ def overlap_seconds(a1, a2, b1, b2):
     return F.greatest(F.lit(0.0), F.least(a2, b2) - F.greatest(a1, b1))
 
 
+def covered_before(points: DataFrame, intervals: DataFrame, key: str = "media_id", slot: float = 600.0) -> DataFrame:
+    """points (key, t, ...) with `covered`: seconds before t that the key's intervals (key, start, end) cover, each interval counted.
+
+    A sweep instead of a join: the covered time before t is t * (starts - ends) - (sum of starts - sum of ends) over the starts and ends up to t,
+    so points and ends are sorted once and running sums do the rest. Sums run within time slots of a key, and what lies in
+    earlier slots is carried in from one row per slot: a long medium is spread over many tasks. Times count from their slot's start, so
+    large times lose no digits.
+    """
+    low = F.floor(F.col("t") / slot)
+    ends = intervals.where(F.col("end") > F.col("start")).select(key, F.explode(F.array(F.struct(F.col("start").cast("double").alias("t"), F.lit(1).alias("n")), F.struct(F.col("end").cast("double").alias("t"), F.lit(-1).alias("n")))).alias("e")).select(key, "e.*")
+    both = points.withColumn("__point", F.lit(True)).withColumn("n", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    both = both.withColumn("__slot", low).withColumn("__rel", F.col("t") - F.col("__slot") * slot)
+    sums = lambda w: [F.sum("n").over(w), F.sum(F.col("n") * F.col("__rel")).over(w)]
+    # One row per slot: its ends' count and their covered time up to the slot's end, then what earlier slots carry in.
+    totals = both.groupBy(key, "__slot").agg(F.sum("n").alias("tn"), F.sum(F.col("n") * (slot - F.col("__rel"))).alias("tc"))
+    at = Window.partitionBy(key).orderBy("__slot")
+    before = at.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("open", F.coalesce(F.sum("tn").over(before), F.lit(0)))
+    # Between two slots with rows, whatever is open covers every second.
+    gap = (F.col("__slot") - F.lag("__slot").over(at) - 1) * slot
+    totals = totals.withColumn("__gap", F.coalesce(gap, F.lit(0.0)) * F.col("open"))
+    base = F.coalesce(F.sum(F.col("tc") + F.col("open") * slot).over(before), F.lit(0.0)) + F.sum("__gap").over(at)
+    totals = totals.select(key, "__slot", "open", base.alias("base"))
+    within = Window.partitionBy(key, "__slot").orderBy("__rel")
+    n, s = sums(within)
+    rows = both.withColumn("rn", n).withColumn("rs", s).where("__point").join(totals, [key, "__slot"])
+    return rows.withColumn("covered", F.col("base") + (F.col("open") + F.col("rn")) * F.col("__rel") - F.col("rs")).select(*points.columns, "covered")
+
+
+def holding(points: DataFrame, intervals: DataFrame, key: str = "media_id", slack: float = 1e-9) -> DataFrame:
+    """points (key, t, ...) with each interval (key, start, end, ...) that holds t, ends included: an index by size class.
+
+    An interval of up to 2 ** c seconds lies in at most two slots of that width, so it is kept twice at most, and a point looks in one slot
+    of each class that occurs. No key's intervals meet all its points.
+    """
+    width = lambda c: F.pow(F.lit(2.0), c)
+    length = F.greatest(F.col("end") - F.col("start") + 2 * slack, F.lit(1e-3))
+    kept = intervals.where(F.col("end") >= F.col("start")).withColumn("__class", F.ceil(F.log2(length)).cast("int"))
+    slot = lambda t: F.floor(t / width(F.col("__class")))
+    kept = kept.withColumn("__slot", F.explode(F.array_distinct(F.array(slot(F.col("start") - slack), slot(F.col("end") + slack)))))
+    classes = kept.groupBy(key).agg(F.collect_set("__class").alias("__classes"))  # forty at most: powers of two between milliseconds and years
+    probes = points.join(classes, key).withColumn("__class", F.explode("__classes")).drop("__classes").withColumn("__slot", slot(F.col("t")))
+    return probes.join(kept, [key, "__class", "__slot"]).where((F.col("t") >= F.col("start") - slack) & (F.col("t") <= F.col("end") + slack)).drop("__class", "__slot")
+
+
 def measured(segments: DataFrame, frames: DataFrame, black: DataFrame) -> DataFrame:
     """Segments (id, media_id, start, end) with mean sharpness of their frames (null without frames) and covered black seconds."""
     sharp = frames_in(segments, frames).groupBy("id").agg(F.avg("sharpness").alias("blur_score"))
-    b = black.select("media_id", F.col("start").alias("b1"), F.col("end").alias("b2"))
-    dark = segments.join(b, "media_id").where((F.col("b1") < F.col("end")) & (F.col("b2") > F.col("start"))).groupBy("id").agg(F.sum(overlap_seconds(F.col("start"), F.col("end"), F.col("b1"), F.col("b2"))).alias("black_seconds"))
+    sides = F.explode(F.array(F.struct(F.col("start").cast("double").alias("t"), F.lit(-1).alias("side")), F.struct(F.col("end").cast("double").alias("t"), F.lit(1).alias("side")))).alias("e")
+    points = segments.where(F.col("end") > F.col("start")).select("id", "media_id", sides).select("id", "media_id", "e.*")
+    # Below 1e-9 seconds is what rounding leaves.
+    total = F.sum(F.col("side") * F.col("covered"))
+    dark = covered_before(points, black).groupBy("id").agg(F.when(total > 1e-9, total).otherwise(0.0).alias("black_seconds"))
     return segments.join(sharp, "id", "left").join(dark, "id", "left").withColumn("black_seconds", F.coalesce("black_seconds", F.lit(0.0)))
 
 
@@ -49,10 +98,14 @@ def judged(rows: DataFrame, black_at: float = 0.5, blurry_at: float = 0.25, good
 
 def carried_decisions(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
     """new segments with user_decision of the decided old segment that overlaps most (share of the new length), if by half."""
-    o = old.where("user_decision <> 'undecided'").select("media_id", F.col("start").alias("o1"), F.col("end").alias("o2"), F.col("id").alias("old_id"), F.col("user_decision").alias("__decision"))
-    share = overlap_seconds(F.col("start"), F.col("end"), F.col("o1"), F.col("o2")) / (F.col("end") - F.col("start"))
-    fits = new.join(o, "media_id").withColumn("share", share).where(F.col("share") > 0)
-    best = first_per(fits.select("id", "share", "o1", "old_id", "__decision"), ["id"], F.desc("share"), F.asc("o1"), F.asc("old_id")).where(F.col("share") >= least)
+    o = old.where("user_decision <> 'undecided'").select("media_id", "start", "end", F.col("id").alias("old_id"), F.col("user_decision").alias("__decision"))
+    length = F.col("b") - F.col("a")
+    # What covers that share of a segment holds one of the points that cut it into steps of the share: its middle, for a half.
+    steps = max(1, math.ceil(1 / least) - 1)
+    points = new.where(F.col("end") > F.col("start")).select("id", "media_id", F.col("start").alias("a"), F.col("end").alias("b")).withColumn("t", F.explode(F.array(*[F.col("a") + length * (least * j) for j in range(1, steps + 1)])))
+    share = overlap_seconds(F.col("a"), F.col("b"), F.col("start"), F.col("end")) / length
+    fits = holding(points, o).withColumn("share", share).where(F.col("share") >= least)
+    best = first_per(fits.select("id", "share", F.col("start").alias("o1"), "old_id", "__decision"), ["id"], F.desc("share"), F.asc("o1"), F.asc("old_id"))
     return new.join(best.select("id", "old_id", "__decision"), "id", "left").withColumn("user_decision", F.coalesce("__decision", F.lit("undecided"))).drop("__decision")
 
 

@@ -1002,4 +1002,4 @@ def k32_final_reasons(get):
     return get("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
 
 
-from . import media_files, streams  # noqa: E402, F401  they register their own queries
+from . import grids, media_files, streams  # noqa: E402, F401  they register their own queries
