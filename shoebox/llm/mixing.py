@@ -15,18 +15,17 @@ Only sums by (source, class, bin) leave the tasks: at most 41 x BINS rows per so
 
 Defined cases: null and empty texts have size 0 and take 0; null sources are one source, last in
 order; null ids are kept; rows of one id but different texts are rounded apart; rows equal in id and text are rounded together
-unless a bin of PART_ROWS or more of them outweighs PART_SHARE of its source, which is then split by row number (reruns over the
-same files agree); an empty table gives an empty mix. Other columns pass through `mixed` unread (names that
+unless a bin of PART_ROWS or more of them outweighs PART_SHARE of its source, which is then split evenly among its rows (reruns agree, however
+the input is split into tasks: of n equal rows the same number is taken); very long texts only count their words; an empty table gives an empty mix. Other columns pass through `mixed` unread (names that
 begin with __mix are reserved). The number of levels of all margins is checked against `max_levels`, since the driver
 holds them; margins that cannot be met raise an error.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, table, written
@@ -177,13 +176,35 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mixed(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
     own = docs.withColumn("__mix_size", n_words(F.col(text_col))).withColumn("__mix_bin", _bin(F.col(id_col), F.col(text_col)))
-    own = own.withColumn("__mix_row", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("mix")), F.lit(1 << 20)) / (1 << 20))
     names = {"source": "source", "cls": "cls", "source_size": "source_size", "target": "target", "copies": "whole", "below": "below", "edge": "edge", "share": "share", "flips": "flips"}
     out = own.join(made.select(*[F.col(c).alias(f"__mix_{name}") for c, name in names.items()]), F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")) & (_class(F.col("__mix_size")) == F.col("__mix_cls")), "left")
+    kept = [*docs.columns, "__mix_size", "__mix_source_size", "__mix_target"]
     under = (F.col("__mix_bin") < F.col("__mix_below")) != F.array_contains("__mix_flips", F.col("__mix_bin"))
-    more = (under | ((F.col("__mix_bin") == F.col("__mix_edge")) & (F.col("__mix_row") < F.col("__mix_share")))).cast("int")
-    out = out.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_whole") + more).otherwise(F.lit(0)))
-    return out.drop("__mix_bin", "__mix_row", *[f"__mix_{name}" for name in names.values() if name not in ("source_size", "target")])
+    copies = lambda more: F.when(F.col("__mix_size") > 0, F.col("__mix_whole") + more.cast("int")).otherwise(F.lit(0)).alias("__mix_copies")
+    if made.where("edge >= 0").isEmpty():
+        return out.select(*kept, copies(under))
+    parted = F.coalesce(F.col("__mix_bin") == F.col("__mix_edge"), F.lit(False))
+    return out.where(~parted).select(*kept, copies(under)).unionByName(_numbered(out.where(parted), docs.columns).select(*kept, copies(under | (F.col("__mix_place") < F.col("__mix_share")))))
+
+
+#: Steps of this part of the circle fill it evenly, whatever their number.
+GOLDEN = 0.6180339887498949
+
+
+def _numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with __mix_place in [0, 1): a hash of the whole row, moved on by a golden step for each row equal to it.
+
+    So n equal rows lie evenly in [0, 1), and how many are below a share depends on n alone, not on how the input was split.
+    Equal rows are counted in each partition; the counts, not the rows, meet across partitions, so no group is in one task.
+    """
+    rows = rows.withColumn("__mix_key", F.xxhash64(F.to_json(F.struct(*columns)))).withColumn("__mix_part", F.spark_partition_id())
+    here = Window.partitionBy("__mix_key", "__mix_part").orderBy("__mix_key")
+    rows = written(rows.withColumn("__mix_row", F.row_number().over(here) - 1), "parted")
+    before = Window.partitionBy("__mix_key").orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__mix_key", "__mix_part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("__mix_key", "__mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_before"))
+    start = F.pmod(F.xxhash64("__mix_key", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
+    return rows.join(counts, ["__mix_key", "__mix_part"]).withColumn("__mix_place", (start + (F.col("__mix_before") + F.col("__mix_row")) * GOLDEN) % 1)
 
 
 def mix(docs: DataFrame, **columns: str) -> DataFrame:

@@ -195,3 +195,21 @@ def test_margins_that_cannot_be_met(spark):
     cells = spark.createDataFrame([("a", "x", 10.0), ("b", "y", 10.0)], "s string, l string, tokens double")
     with pytest.raises(ValueError):
         mixing.balance(cells, {"s": {"a": 5.0, "b": 15.0}, "l": {"x": 15.0, "y": 5.0}}, max_steps=8)
+
+
+def test_reruns_agree_however_the_scan_is_split(spark, tmp_path):
+    rows = [(i % 7 if i % 2 else i, f"words of text {i % 3} and some" if i % 2 else f"a text of its own {i}", ("s0", "s1", "s2", None)[i % 4 if i % 3 else 0]) for i in range(30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    taken = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        df = spark.read.parquet(str(tmp_path / "docs"))
+        taken.append((df.rdd.getNumPartitions(), sorted((r[0], str(r[1]), r[2], r[3]) for r in mixing.mixed(df, mixing.plan(df)).groupBy("doc_id", "source", "text").agg(F.sum(F.col("__mix_copies") * F.col("__mix_size"))).collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert taken[0][0] != taken[1][0] and taken[0][1] == taken[1][1]
+    made = mixing.plan(df)
+    assert not made.where("edge >= 0").isEmpty()  # some bins are split
+    total = mixing.mixed(df, made).groupBy("source").agg((F.sum(F.col("__mix_copies") * F.col("__mix_size")) / F.max("__mix_target")).alias("r")).collect()
+    assert all(abs(r["r"] - 1) < 0.003 for r in total)
