@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -38,36 +39,64 @@ def exact_counts(media: DataFrame) -> DataFrame:
     return by.groupBy("trip_id").agg(F.sum("n").alias("scanned"), F.count(F.lit(1)).alias("distinct_hashes"), F.count_if(F.col("n") >= 2).alias("cohorts"), F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("members"))
 
 
-#: Distinct hashes in the largest trip up to which short bands are the cheaper index.
-BANDS_UP_TO = 4_000
+#: Probes that a hash may have in a scheme, and what a probe costs beside a pair that is compared.
+PROBES, PROBE_COST = 1000, 3.0
+
+
+def _scheme(threshold: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of each block.
+
+    The radii add up to threshold - blocks + 1: were a pair farther apart than the radius in every block, it would differ in more than
+    `threshold` bits altogether.
+    """
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    each, more = divmod(threshold - blocks + 1, blocks)
+    return [(lo, hi - lo, each + (i < more)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _flips(bits: int, radius: int) -> int:
+    return sum(math.comb(bits, r) for r in range(radius + 1))
+
+
+def schemes(threshold: int) -> dict[int, tuple[int, float]]:
+    """By number of blocks: (probes of a hash, share of the other hashes that it meets if bits are random)."""
+    out = {}
+    for m in range(1, threshold + 2):
+        own = _scheme(threshold, m)
+        probes = sum(_flips(bits, radius) for _, bits, radius in own)
+        if probes <= PROBES or m == threshold + 1:
+            out[m] = probes, sum(_flips(bits, radius) / 2.0**bits for _, bits, radius in own)
+    return out
 
 
 def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """(trip_id, a, b, distance): distinct hashes of a trip within the threshold.
 
-    The 64 bits are cut into blocks. Hashes within the threshold differ in at most floor(threshold / blocks) bits of one
-    of them, so an equi-join of (trip, block, value) with all values that near finds each pair, whatever the number
-    of blocks. threshold + 1 blocks need one row each, but a block of few bits is shared by many hashes of a large
-    trip; three blocks need hundreds of rows for a hash, which meet a few of a million. By default the largest trip
-    decides. A pair counts only in the first block where it is that near.
+    The 64 bits are cut into blocks, each with a radius, such that hashes within the threshold are within the radius in one block at
+    least (_scheme): an equi-join of (trip, block, value) with all values that near finds each pair. Few long blocks need many probes
+    for a hash and meet few others, many short blocks the other way round, so each trip takes the number of
+    blocks that costs least for its own number of hashes: a large trip changes nothing for the others. A hash has
+    at most PROBES probes. A pair counts only in the first block where it is that near.
     """
-    if blocks is None:
-        largest = nodes.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        blocks = threshold + 1 if largest <= BANDS_UP_TO else min(3, threshold + 1)
-    radius = threshold // blocks
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [(1 << (hi - lo)) - 1 if hi - lo < 63 else -1 for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    part = lambda c, i: F.shiftrightunsigned(F.col(c), cuts[i]).bitwiseAND(F.lit(masks[i]))
-    flips = [[sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(hi - lo), r)] for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    own = nodes.select("trip_id", "bits", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part("bits", i).alias("value")) for i in range(blocks)])).alias("x")).select("trip_id", "bits", "node", "x.block", "x.value")
-    other = own.select("trip_id", "block", "value", F.col("bits").alias("bits2"), F.col("node").alias("node2"))
-    if radius:
-        probes = nodes.sparkSession.createDataFrame([(i, x) for i, of in enumerate(flips) for x in of], "block int, flip long")
-        own = own.join(F.broadcast(probes), "block").select("trip_id", "bits", "node", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    known = {m: x for m, x in schemes(threshold).items()} if blocks is None else {blocks: (0, 0.0)}
+    n = F.col("n_trip")
+    cost = F.least(*[F.struct((F.lit(PROBE_COST * probes) + n * share).alias("cost"), F.lit(m).alias("m")) for m, (probes, share) in known.items()]) if len(known) > 1 else F.struct(F.lit(0.0).alias("cost"), F.lit(next(iter(known))).alias("m"))
+    trips = nodes.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_trip")).select("trip_id", cost["m"].alias("m"))
+    mask = lambda bits: (1 << bits) - 1 if bits < 64 else -1
+    cut = lambda c, lo, bits: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit(mask(bits)).cast("long"))
+    parts, first = F.lit(None), F.lit(None)
     differ = F.col("bits").bitwiseXOR(F.col("bits2"))
-    first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, cuts[i]).bitwiseAND(F.lit(masks[i]))) <= radius, F.lit(i)) for i in range(blocks)])
+    for m in known:
+        own = _scheme(threshold, m)
+        parts = F.when(F.col("m") == m, F.array(*[F.struct(F.lit(i).alias("block"), cut(F.col("bits"), lo, bits).alias("value")) for i, (lo, bits, _) in enumerate(own)])).otherwise(parts)
+        first = F.when(F.col("m") == m, F.coalesce(*[F.when(F.bit_count(cut(differ, lo, bits)) <= radius, F.lit(i)) for i, (lo, bits, radius) in enumerate(own)])).otherwise(first)
+    flips = [(m, i, sum(1 << b for b in places)) for m in known for i, (_, bits, radius) in enumerate(_scheme(threshold, m)) for r in range(radius + 1) for places in combinations(range(bits), r)]
+    probes = nodes.sparkSession.createDataFrame([(m, i, x - (1 << 64) if x >= 1 << 63 else x) for m, i, x in flips], "m int, block int, flip long")  # a few thousand rows
+    own = nodes.join(trips, "trip_id").select("trip_id", "m", "bits", "node", F.explode(parts).alias("x")).select("trip_id", "m", "bits", "node", "x.block", "x.value")
+    other = own.select("trip_id", "block", "value", F.col("bits").alias("bits2"), F.col("node").alias("node2"))
+    asked = own.join(F.broadcast(probes), ["m", "block"]).select("trip_id", "m", "bits", "node", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     distance = F.bit_count(differ)
-    return own.join(other, ["trip_id", "block", "value"]).where((F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
+    return asked.join(other, ["trip_id", "block", "value"]).where((F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
 
 
 def image_hashes(media: DataFrame) -> DataFrame:
@@ -79,6 +108,19 @@ def _nodes(hashes: DataFrame) -> DataFrame:
     return written(hashes.groupBy("trip_id", "bits").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
 
 
+def similar_classes(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(trip_id, a, b, distance, n_a, n_b): links between classes of equal hashes, each named by its smallest id, with their sizes.
+
+    A class of several images also has a row of its own (a = b, distance 0). However large the classes, rows grow
+    with the different hashes and their links; image_pairs expands them.
+    """
+    nodes = _nodes(image_hashes(media))
+    size = nodes.select("trip_id", "node", "n")
+    links = near_hashes(nodes, threshold).join(size.toDF("trip_id", "a", "n_a"), ["trip_id", "a"]).join(size.toDF("trip_id", "b", "n_b"), ["trip_id", "b"])
+    own = nodes.where("n > 1").select("trip_id", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return links.select("trip_id", "a", "b", "distance", "n_a", "n_b").unionByName(own)
+
+
 def image_pairs(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(trip_id, a, b, distance): all pairs of images within the threshold, equal hashes included (the expanded form)."""
     rows = image_hashes(media)

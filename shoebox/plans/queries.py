@@ -198,8 +198,14 @@ def _hashed(get):
     return get("hashes").select("id", "trip_id", "type", hashing.text_simhash(F.col("text")).alias("perceptual_hash"), F.lit(None).cast("long").alias("deleted_at"))
 
 
-@query(f"WITH {_SIM} SELECT * FROM p")
+@query(f"""WITH {_SIM}, n AS (SELECT trip_id, bits, min(id) AS node, count(*) AS n FROM s GROUP BY trip_id, bits)
+SELECT x.trip_id, x.node AS a, y.node AS b, bit_count(xor(x.bits, y.bits))::INT AS distance, x.n AS n_a, y.n AS n_b FROM n x JOIN n y ON x.trip_id = y.trip_id AND (x.node < y.node OR (x.node = y.node AND x.n > 1)) AND bit_count(xor(x.bits, y.bits)) <= 8""")
 def j9_k1_near_pairs(get):
+    return dedup.similar_classes(_hashed(get))
+
+
+@query(f"WITH {_SIM} SELECT * FROM p")
+def j9_expanded_pairs(get):
     return dedup.image_pairs(_hashed(get))
 
 

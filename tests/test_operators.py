@@ -175,3 +175,45 @@ def test_ingest(spark):
 def test_all_schemas_parse(spark):
     for name in SCHEMAS:
         assert conform(spark.range(0), name).columns
+
+
+def test_schemes_lose_no_pair():
+    """Any way to spread threshold differing bits over the blocks leaves one block within its radius."""
+    from itertools import product
+
+    for threshold in range(13):
+        known = dedup.schemes(threshold)
+        assert known and all(probes <= dedup.PROBES or m == threshold + 1 for m, (probes, _) in known.items())
+        for m in known:
+            own = dedup._scheme(threshold, m)
+            assert own[0][0] == 0 and sum(bits for _, bits, _ in own) == 64 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
+            assert sum(radius + 1 for _, _, radius in own) > threshold  # the cheapest way to be beyond every radius
+            if m <= 4:
+                assert all(any(d <= r for d, (_, _, r) in zip(split, own, strict=True)) for split in product(range(threshold + 1), repeat=m) if sum(split) <= threshold)
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 3, 5, 8, 12])
+def test_near_hashes_of_small_and_large_trips(spark, threshold):
+    r = random.Random(threshold)
+    rows = []
+    for trip, n in (("small", 40), ("large", 900), (None, 30)):
+        own = [r.getrandbits(64) for _ in range(n // 3)]
+        for x in list(own):
+            for _ in range(2):
+                y = x
+                for b in r.sample(range(64), r.randint(0, threshold + 2)):
+                    y ^= 1 << b
+                own.append(y)
+        rows += [(trip, x - (1 << 64) if x >> 63 else x, i + 10_000 * n) for i, x in enumerate(sorted(set(own)))]
+    nodes = spark.createDataFrame(rows, "trip_id string, bits long, node long")
+    want = {(t, min(a, b), max(a, b), d) for t in ("small", "large") for i, (u, x, a) in enumerate(rows) if u == t for v, y, b in rows[i + 1 :] if v == t and (d := ((x ^ y) & (1 << 64) - 1).bit_count()) <= threshold}
+    got = [tuple(x) for x in dedup.near_hashes(nodes, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for m in list(dedup.schemes(threshold))[:2]:
+        assert {tuple(x) for x in dedup.near_hashes(nodes, threshold, blocks=m).collect()} == want
+
+
+def test_classes_of_equal_hashes(spark):
+    rows = spark.createDataFrame([(i, "t", "image", None, f"{h:016x}") for i, h in enumerate([5] * 50 + [7, 1 << 40])], "id long, trip_id string, type string, deleted_at string, perceptual_hash string")
+    got = sorted(tuple(x) for x in dedup.similar_classes(rows).collect())
+    assert got == [("t", 0, 0, 0, 50, 50), ("t", 0, 50, 1, 50, 1), ("t", 0, 51, 3, 50, 1), ("t", 50, 51, 4, 1, 1)]
