@@ -112,3 +112,27 @@ def handles(job_type: str):
         return fn
 
     return register
+
+
+def dispatched(jobs: DataFrame, handlers: dict | None = None, base: int = 1000, longest: int = 60_000, most: int = 3) -> DataFrame:
+    """(id, status, retry_count, delay_ms, error_message) of running jobs after their handlers have run.
+
+    A handler gets all jobs of its type at once and gives (id, error): null for success. A type without a handler fails at once; a job with
+    an error, or that its handler has left out, is retried while it may be. Each handler reads only its own type.
+    """
+    handlers = HANDLERS if handlers is None else handlers
+    running = jobs.where("status = 'running'")
+    results = None
+    for kind, handler in handlers.items():
+        own = running.where(F.col("job_type") == kind)
+        done = own.select("id", "retry_count").join(handler(own).select("id", F.col("error").alias("__error"), F.lit(True).alias("__ran")), "id", "left")
+        error = F.when(F.col("__ran").isNull(), "the handler gave no result").otherwise(F.col("__error"))
+        part = done.select("id", "retry_count", error.alias("error_message"), F.lit(True).alias("__known"))
+        results = part if results is None else results.unionByName(part)
+    none = running.where(~F.coalesce(F.col("job_type").isin(*handlers), F.lit(False)) if handlers else F.lit(True))
+    none = none.select("id", "retry_count", F.concat(F.lit("no handler for job type "), F.coalesce("job_type", F.lit("null"))).alias("error_message"), F.lit(False).alias("__known"))
+    results = none if results is None else results.unionByName(none)
+    after = after_failure(F.col("retry_count"), F.lit(most), base, longest)
+    good, known = F.col("error_message").isNull(), F.col("__known")
+    pick = lambda name: F.when(known, after[name])
+    return results.select("id", F.when(good, "success").otherwise(F.coalesce(pick("status"), F.lit("failed"))).alias("status"), F.when(good, F.col("retry_count")).otherwise(F.coalesce(pick("retry_count"), F.col("retry_count"))).alias("retry_count"), F.when(~good, pick("delay_ms")).alias("delay_ms"), "error_message")

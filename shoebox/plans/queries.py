@@ -1008,4 +1008,18 @@ def k32_final_reasons(get):
     return get("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
 
 
+@query("""WITH r AS (SELECT id, job_type, retry_count, media_id FROM jobs WHERE status = 'running'),
+e AS (SELECT *, CASE WHEN job_type NOT IN ('image_thumbnail', 'image_hash') THEN concat('no handler for job type ', job_type) WHEN job_type = 'image_hash' AND media_id % 3 = 0 THEN 'unreadable'
+ WHEN job_type = 'image_thumbnail' AND media_id % 5 = 0 THEN 'the handler gave no result' END AS error, job_type IN ('image_thumbnail', 'image_hash') AS known FROM r)
+SELECT id, CASE WHEN error IS NULL THEN 'success' WHEN known AND retry_count < 3 THEN 'retrying' ELSE 'failed' END AS status, CAST(CASE WHEN error IS NOT NULL AND known AND retry_count < 3 THEN retry_count + 1 ELSE retry_count END AS BIGINT) AS retry_count,
+ CASE WHEN error IS NOT NULL AND known AND retry_count < 3 THEN least(1000 * CAST(pow(2, retry_count) AS BIGINT), 60000) END AS delay_ms, error AS error_message FROM e""")
+def u6_dispatched_jobs(get):
+    handlers = {
+        "image_hash": lambda own: own.select("id", F.when(F.col("media_id") % 3 == 0, "unreadable").alias("error")),
+        "image_thumbnail": lambda own: own.where("media_id % 5 <> 0").select("id", F.lit(None).cast("string").alias("error")),
+    }
+    out = J.dispatched(get("jobs"), handlers)
+    return out.withColumn("retry_count", F.col("retry_count").cast("long")).withColumn("delay_ms", F.col("delay_ms").cast("long"))
+
+
 from . import grids, media_files, streams  # noqa: E402, F401  they register their own queries

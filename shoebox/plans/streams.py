@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import store
-from ..sources.work import work_folder
+from ..sources.work import work_folder, written
 from ..streaming import ingest, timers
 from .queries import query
 
@@ -93,3 +93,23 @@ def s1_s6_s14_stored_manifests(get):
     store.write_manifests(get("customer").select((c % 20).cast("string").alias("trip_id"), c.cast("string").alias("media_id"), manifest.alias("manifest")), root)
     rows = store.summaries(store.read_store(spark, root).where(F.col("trip_id").isin("3", "6", "8")))
     return rows.select("trip_id", "media_id", F.size("summary.frames").cast("long").alias("frames"), F.when(F.size("summary.frames") > 0, F.array_max("summary.frames.timestampSec")).alias("last_second"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'invalid' ELSE 'stored' END AS original, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 'invalid' ELSE 'exists' END END AS again,
+ CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 7 > 0 END AS removed, c_custkey % 7 > 0 AND c_custkey % 5 > 0 AS found, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 5 > 0 THEN c_name END AS content,
+ CASE WHEN c_custkey % 4 = 0 THEN concat(c_name, ' new') END AS derived FROM customer""")
+def s5_s6_stored_objects(get):
+    spark, c = get.spark, F.col("c_custkey")
+    root = f"{work_folder(spark)}/objects"
+    trip = F.when(c % 7 == 0, "..").otherwise((c % 20).cast("string"))
+    rows = get("customer").select(c.alias("id"), F.concat(F.lit("trips/"), trip, F.lit("/originals/"), c, F.lit(".bin")).alias("path"), F.concat(F.lit("trips/t/derived/"), c, F.lit(".bin")).alias("derived"), F.col("c_name").alias("name"))
+    put = lambda df, path, content, overwrite: written(store.put_objects(df.select(F.col(path).alias("path"), F.encode(content, "UTF-8").alias("content"), F.lit(overwrite).alias("overwrite")), root), "put")
+    name, new = F.col("name"), F.concat("name", F.lit(" new"))
+    first, again = put(rows, "path", name, False), put(rows.where("id % 3 = 0"), "path", new, False)
+    removed = written(store.remove_objects(rows.where("id % 5 = 0"), root), "removed")
+    put(rows.where("id % 4 = 0"), "derived", name, True)
+    put(rows.where("id % 4 = 0"), "derived", new, True)
+    found = store.read_objects(rows, root).select("path", "found", F.decode("content", "UTF-8").alias("content"))
+    derived = store.read_objects(rows.where("id % 4 = 0").select(F.col("derived").alias("path")), root).select(F.col("path").alias("d"), F.decode("content", "UTF-8").alias("new"))
+    out = rows.join(first.toDF("path", "original"), "path").join(again.toDF("path", "again"), "path", "left").join(removed, "path", "left").join(found, "path").join(derived, rows["derived"] == derived["d"], "left")
+    return out.select("id", "original", "again", "removed", "found", "content", F.col("new").alias("derived"))

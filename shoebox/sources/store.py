@@ -132,3 +132,70 @@ def write_manifests(rows: DataFrame, root: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     rows.select("trip_id", "media_id", "manifest").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def _valid(path) -> bool:
+    return isinstance(path, str) and bool(path) and all(map(_safe, path.split("/")))
+
+
+def _each(rows: DataFrame, root: str, columns: list[str], out: str, work) -> DataFrame:
+    """work(filesystem, place, *row) for each row, in the tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        files, base = opened(root.rstrip("/"))
+        for batch in batches:
+            made = [work(files, f"{base}/{row[0]}" if _valid(row[0]) else None, *row) for row in batch.itertuples(index=False, name=None)]
+            yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")], dtype=object)
+
+    return rows.select(*columns).mapInPandas(run, out)
+
+
+def put_objects(rows: DataFrame, root: str) -> DataFrame:
+    """Writes objects (path, content, overwrite) and gives (path, outcome): stored, exists, or invalid for a path that is not safe or without content.
+
+    An object that is there is replaced only with overwrite; one that holds the same bytes counts as stored, so a task that runs again
+    gives the same outcomes. Of two rows with one path either may come first.
+    """
+
+    def put(files, at, path, content, overwrite):
+        from pyarrow import fs
+
+        if at is None or content is None:
+            return path, "invalid"
+        if not overwrite and files.get_file_info(at).type != fs.FileType.NotFound:
+            with files.open_input_stream(at) as f:
+                return path, "stored" if f.read() == bytes(content) else "exists"
+        files.create_dir(at.rpartition("/")[0])
+        with files.open_output_stream(at) as f:
+            f.write(content)
+        return path, "stored"
+
+    return _each(rows, root, ["path", "content", "overwrite"], "path string, outcome string", put)
+
+
+def read_objects(rows: DataFrame, root: str) -> DataFrame:
+    """(path, found, content) of paths; whether it is there, and its bytes."""
+
+    def read(files, at, path):
+        try:
+            with files.open_input_stream(at or "") as f:
+                return path, True, f.read()
+        except OSError:  # not there, or a folder
+            return path, False, None
+
+    return _each(rows, root, ["path"], "path string, found boolean, content binary", read)
+
+
+def remove_objects(rows: DataFrame, root: str) -> DataFrame:
+    """Removes objects and gives (path, removed). To be written once: a second run finds nothing left to remove."""
+
+    def remove(files, at, path):
+        try:
+            files.delete_file(at or "")
+            return path, True
+        except OSError:
+            return path, False
+
+    return _each(rows, root, ["path"], "path string, removed boolean", remove)
