@@ -213,3 +213,51 @@ def test_reruns_agree_however_the_scan_is_split(spark, tmp_path):
     assert not made.where("edge >= 0").isEmpty()  # some bins are split
     total = mixing.mixed(df, made).groupBy("source").agg((F.sum(F.col("__mix_copies") * F.col("__mix_size")) / F.max("__mix_target")).alias("r")).collect()
     assert all(abs(r["r"] - 1) < 0.003 for r in total)
+
+
+ENDORSE = """
+{} Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission."""
+FREE = """This {what} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {which} General Public
+License as published by the Free Software Foundation; either
+version {n} of the License, or (at your option) any later version."""
+BOOK = [
+    (BSD2.format("1.", "2.") + ENDORSE.format("3.", "Example Widgets International, Inc."), "BSD-3-Clause"),
+    (BSD2.format("*", "*") + ENDORSE.format("*", "the University"), "BSD-3-Clause"),
+    (BSD2.format("*", "*") + ENDORSE.format("*", "the copyright holder"), "BSD-3-Clause"),
+    (BSD2.format("1.", "2.") + ENDORSE.format("3.", "one two three four five six seven eight nine ten eleven twelve thirteen"), "BSD-2-Clause"),  # beyond a slot
+    (FREE.format(what="program", which="Affero", n="3"), "AGPL-3.0-or-later"), (FREE.format(what="library", which="Lesser", n="2.1"), "LGPL-2.1-or-later"), (FREE.format(what="library", which="Lesser", n="3"), "LGPL-3.0-or-later"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-or-later", "Apache-2.0,GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: MIT AND BSD-3-Clause\nSPDX-License-Identifier: Zlib", "BSD-3-Clause,MIT,Zlib"), ("SPDX-License-Identifier: Made-Up-1.0", ""),
+    ("To the extent possible under law, A. N. Author has waived all copyright and related or neighboring rights to this work.", "CC0-1.0"),
+    ("The program and the accompanying materials may be licensed.", ""), ("Free and unencumbered software, released into the world", ""), ("He has no license and no permission to redistribute it.", ""), ("in the public domain", ""),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib"),
+]
+
+
+def test_wider_book(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(BOOK)], "doc_id int, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert {k: ",".join(sorted(filter(None, v.split(",")))) for k, v in got.items()} == {k: x for k, (_, x) in enumerate(BOOK)}
+
+
+def test_operator_and_sql_hold_the_same_book(spark):
+    """Every sentence of the book, alone on a line, with slots filled (the SQL reads sentences in one piece)."""
+    import duckdb
+
+    one = [k.replace("{12}", "Some Holder of Nowhere") for k in licenses.BOOK]
+    texts = [*one, *[t.replace("\n", " ") for t, _ in BOOK], None, "", "nothing of it", "All rights reserved.\nAll rights reserved."]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = duck.execute(licenses.ORACLE)
+    names = [c[0] for c in want.description]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).select(*names).collect()
+    want = {r[0]: r for r in want.fetchall()}
+    assert {r["doc_id"]: tuple(r) for r in rows if r["doc_id"] < len(one)} == {k: v for k, v in want.items() if k < len(one)}
+    assert all(r["licenses"] or r["doc_id"] >= len(one) or r["sentence_ids"] for r in rows)
+    every = {tuple(r)[names.index("licenses")] for r in rows}
+    assert {n for n, _ in licenses.OFFICIAL_RULES if n not in ("GPL-3.0-or-later", "GPL-2.0-or-later")} <= set(",".join(every).split(","))
