@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words
+from .common import WORD, let, table, words, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -158,7 +158,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), "kept", "fail_bits")
 
 
-ORACLE = """
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version costs, from a stored ledger: no text is read again for a policy."""
+    rows = written(ledger(table(spark, sf_dir, "documents")), "ledger").select("fail_bits")
+    made = [ablations(rows, p) for p in POLICIES.values()]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_BITS = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
       FROM (SELECT rid, regexp_extract_all(t, '[^ \\t-\\r]+') AS ws FROM d)),
@@ -175,5 +185,7 @@ a AS (SELECT d.rid, d.doc_id, len(regexp_extract_all(t, '[^ \\t-\\r]+'))::BIGINT
 b AS (SELECT *, ((n_words < 50)::BIGINT | ((100 * n_repeat_words > 50 * n_words)::BIGINT << 1) | ((100 * n_symbols > 30 * n_words)::BIGINT << 2)
         | ((n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT << 3)
         | ((n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))::BIGINT << 4)) AS fail_bits FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+ORACLE = f"{_BITS}SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"
+ABLATIONS_ORACLE = _BITS + ", v(policy_version, all_bits, rule, bit) AS (VALUES " + ", ".join(f"({p.version}, {mask(p)}, '{r.name}', {1 << r.bit})" for p in POLICIES.values() for r in RULES if r.name in p.rules) + """)
+SELECT policy_version, rule, count(*) FILTER ((fail_bits & bit) <> 0) AS failed, count(*) FILTER ((fail_bits & all_bits) = bit) AS failed_only_here, count(*) FILTER ((fail_bits & all_bits & ~bit) = 0) AS kept_without FROM b, v GROUP BY policy_version, rule"""

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "quality_ablations": quality_rules.quality_ablations,
     "op7_token_store": token_store.op7_token_store,
     "op8_warc": warc.op8_warc,
     "op9_decontamination": decontamination.op9_decontamination,
@@ -23,6 +24,7 @@ ORACLES = {
     "op1_url_filters": url_filters.ORACLE,
     "op2_licenses": licenses.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "quality_ablations": quality_rules.ABLATIONS_ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op12_centroid_clustering": centroid_clustering.ORACLE,
