@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 SOURCE_ORDER = {"system": 0, "user": 1, "url_import": 2}
 
 
@@ -97,10 +99,17 @@ def ranked_duplicates(members: DataFrame) -> DataFrame:
     for score in _SCORES:
         rows = _tied(rows, keys, score)
         keys = [*keys, f"{score}_class"]
+    rows = classes = written(rows, "classes")  # read three times below
     size = [F.coalesce(F.col(c), F.lit(0)).desc() for c in ("resolution", "file_size")]
-    order = Window.partitionBy("group_id").orderBy(*keys[1:], *size, F.asc_nulls_last("created_at"), "media_id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    winner = [F.first(c).over(whole).alias(f"w_{c}") for c in (*_SCORES, "resolution", "file_size")]
-    counted = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
-    rows = rows.select("*", (F.row_number().over(order) - 1).alias("rank"), *winner).join(counted, "group_id")
+    # A large group is sorted class by class of its first two scores, in as many tasks; what ranks before a class is a count.
+    part = keys[:3]
+    order = Window.partitionBy(*part).orderBy(*keys[3:], *size, F.asc_nulls_last("created_at"), "media_id")
+    before = Window.partitionBy("group_id").orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    n = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    n = n.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("group_id")).alias("members"))
+    rows = rows.withColumn("__place", F.row_number().over(order)).join(n, part).withColumn("rank", (F.col("__before") + F.col("__place") - 1).cast("int"))
+    values = (*_SCORES, "resolution", "file_size")
+    first = F.struct(*keys[1:], *[-F.coalesce(F.col(c), F.lit(0)) for c in ("resolution", "file_size")], F.col("created_at").isNull(), "created_at", "media_id")
+    winner = classes.groupBy("group_id").agg(F.min_by(F.struct(*[F.col(c).alias(f"w_{c}") for c in values]), first).alias("w")).select("group_id", "w.*")
+    rows = rows.join(winner, "group_id")
     return rows.select("group_id", "media_id", "rank", F.when(F.col("rank") == 0, "keep").otherwise("remove").alias("recommendation"), _reason().alias("reason"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only on a local master (tests, a laptop) is a local folder set where that setting is absent.
+    Only with a master of one process (local or local[...]: tests, a laptop) is a local folder set where that setting is absent.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shoebox-"))
         root = spark.sparkContext.getCheckpointDir()
