@@ -51,8 +51,8 @@ from .text_hash import U, mix, pieces, shingle_sets
 
 BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
-#: Ids of candidates up to which they are broadcast to where the texts are; beyond, the texts are shuffled to them.
-BROADCAST_IDS = 4_000_000
+#: Ids of candidates (some 100 bytes each in a broadcast) up to which they are broadcast to where the texts are; beyond, the texts are shuffled to them.
+BROADCAST_IDS = 500_000
 _UNSET = U(0xFFFFFFFFFFFFFFFF)
 
 

@@ -78,8 +78,16 @@ _CODE = re.compile(r"(?:([A-Za-z_]{2,20})[=:]+)?[\"'`]?([A-Za-z0-9_+/=-]{8,})")
 _NAMES = re.compile(r"(?:[a-z]+[_-])*(?:token|key|apikey|secret|password|passwd|pwd|bearer)[=:]*")
 
 
-@lru_cache(100_000)
+#: Longest words whose shapes are remembered, so that the memory of a worker is bounded.
+CACHED_WORD = 64
+
+
 def shape(word: str) -> str:
+    """The shape of a word; see _shape."""
+    return _short_shape(word) if len(word) <= CACHED_WORD else _shape(word)
+
+
+def _shape(word: str) -> str:
     """Runs of digits as d and their number (9 at most), of letters as a; classes for long codes, for names of secrets, and for at and dot in brackets.
 
     Marks at the end are one full stop.
@@ -96,6 +104,7 @@ def shape(word: str) -> str:
     return _RUN.sub(lambda m: f"d{min(len(m[0]), 9)}" if m[0][0].isdigit() else ({"at": "AT", "dot": "DOT"}.get(m[0].lower(), "a") if "[" in word or "(" in word else "a"), _MARKS.sub("", word))[:40] + end
 
 
+_short_shape = lru_cache(100_000)(_shape)
 _COUNT = re.compile(r"(?<=d)[0-9]")
 
 

@@ -37,7 +37,8 @@ from .piece_encoder import GROUP, Encoder, encoder_of
 MAGIC = b"SBXTOK01"
 FOOTER = "<BQQQQQq"  # bytes per id, documents, ids, bytes of boundaries, of document ids, null ids, smallest id
 END_ID = 2
-SHARD_BYTES = 16 << 20
+#: Bytes of text of a shard: a SHARDS-th of all texts within these bounds, so that neither shards nor their number (and the manifest) grow without bound.
+SHARDS, SHARD_BYTES = 4096, (16 << 20, 512 << 20)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[list, bool, np.ndarray, np.ndarray]]:
@@ -103,11 +104,11 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> dict:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int | None = None) -> dict:
     """Write the shards and the manifest of docs; returns the manifest."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = max(1, -(-size // (shard_bytes or min(max(size // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1]))))
     # The row number only parts rows that are equal in all else, so that one id cannot fill one shard.
     keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     order = [F.asc_nulls_first("id"), F.asc("hash"), F.asc("row")]
