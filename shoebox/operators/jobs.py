@@ -81,24 +81,40 @@ MOVES = {
 }
 
 
-def fold(events: DataFrame, key: str = "job_id", time: str = "ts", tie: str = "seq") -> DataFrame:
+def fold(events: DataFrame, key: str = "job_id", time: str = "ts", tie: str = "seq", slot: Column | None = None) -> DataFrame:
     """(key, status, retry_count, applied, ignored) of jobs after their events in order.
 
-    Events that do not apply in a state are ignored, as a conditional update would change no row. A job's events are few;
-    they are gathered per job (never per trip) and folded in the row.
+    Events that do not apply in a state are ignored, as a conditional update would change no row. What some events in a row do
+    is a map from each of the six states to a state and counts, and such maps can be put together: the events of a slot of
+    time (slot, a column that rises with the time: a day, say) become one map, in as many tasks as there are slots, and a job's maps are applied in order.
+    So a row holds a slot's events or a job's slots, never all events of a job. Without a slot a job's events are one.
     """
-    by = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, tie, "event"))).alias("e"))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("retries"), F.lit(0).alias("applied"), F.lit(0).alias("ignored"))
+    zero = lambda st: F.struct(F.lit(st).alias("status"), F.lit(False).alias("reset"), F.lit(0).alias("added"), F.lit(0).alias("applied"), F.lit(0).alias("ignored"))
 
-    def step(s: Column, e: Column) -> Column:
+    def step(s: Column, event: Column) -> Column:
         to = F.lit(None).cast("string")
         for name, (sources, target) in MOVES.items():
-            to = F.when((e["event"] == name) & s["status"].isin(*sources), target).otherwise(to)
-        retries = F.when(to.isNull(), s["retries"]).when(e["event"] == "retry", 0).when(e["event"] == "retry_later", s["retries"] + 1).otherwise(s["retries"])
-        hit = to.isNotNull().cast("int")
-        return F.struct(F.coalesce(to, s["status"]).alias("status"), retries.alias("retries"), (s["applied"] + hit).alias("applied"), (s["ignored"] + 1 - hit).alias("ignored"))
+            to = F.when((event == name) & s["status"].isin(*sources), target).otherwise(to)
 
-    return by.select(key, F.aggregate("e", start, step).alias("s")).select(key, "s.status", F.col("s.retries").alias("retry_count"), "s.applied", "s.ignored")
+        def after(to: Column) -> Column:
+            hit, again = to.isNotNull(), to.isNotNull() & (event == "retry")
+            added = F.when(again, 0).when(hit & (event == "retry_later"), s["added"] + 1).otherwise(s["added"])
+            return F.struct(F.coalesce(to, s["status"]).alias("status"), (s["reset"] | again).alias("reset"), added.alias("added"), (s["applied"] + hit.cast("int")).alias("applied"), (s["ignored"] + (~hit).cast("int")).alias("ignored"))
+
+        return F.transform(F.array(to), after)[0]
+
+    slotted = events.select(key, (F.lit(0) if slot is None else slot).alias("__slot"), time, tie, "event")
+    by = slotted.groupBy(key, "__slot").agg(F.array_sort(F.collect_list(F.struct(time, tie, F.coalesce("event", F.lit("")).alias("event")))).alias("e"))
+    maps = by.select(key, "__slot", F.aggregate("e", F.array(*[zero(st) for st in STATES]), lambda all_, e: F.transform(all_, lambda s: step(s, e["event"]))).alias("map"))
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), F.lit(0).alias("applied"), F.lit(0).alias("ignored"))
+
+    def applied(s: Column, x: Column) -> Column:
+        made = F.element_at(x["map"], F.array_position(F.array(*map(F.lit, STATES)), s["status"]).cast("int"))
+        retries = lambda m: F.when(m["reset"], m["added"]).otherwise(s["retry_count"] + m["added"])
+        return F.transform(F.array(made), lambda m: F.struct(m["status"].alias("status"), retries(m).alias("retry_count"), (s["applied"] + m["applied"]).alias("applied"), (s["ignored"] + m["ignored"]).alias("ignored")))[0]
+
+    jobs = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__slot", "map"))).alias("maps"))
+    return jobs.select(key, F.aggregate("maps", start, applied).alias("s")).select(key, "s.*")
 
 
 HANDLERS: dict = {}

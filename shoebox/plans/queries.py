@@ -703,7 +703,7 @@ f AS (SELECT job_id, list_reduce(list_prepend({{ev: '', st: 'pending', r: 0, a:
 SELECT job_id, s.st AS status, s.r AS retry_count, s.a AS applied, s.i AS ignored FROM f""")
 def q4_fold(get):
     e = get("events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.expr(_EVENT).alias("event"))
-    return J.fold(e)
+    return J.fold(e, slot=F.to_date("ts"))
 
 
 # --- integrity -------------------------------------------------------------------------------------

@@ -217,3 +217,21 @@ def test_classes_of_equal_hashes(spark):
     rows = spark.createDataFrame([(i, "t", "image", None, f"{h:016x}") for i, h in enumerate([5] * 50 + [7, 1 << 40])], "id long, trip_id string, type string, deleted_at string, perceptual_hash string")
     got = sorted(tuple(x) for x in dedup.similar_classes(rows).collect())
     assert got == [("t", 0, 0, 0, 50, 50), ("t", 0, 50, 1, 50, 1), ("t", 0, 51, 3, 50, 1), ("t", 50, 51, 4, 1, 1)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 7, 1000])
+def test_fold_by_slots_is_the_fold(spark, width):
+    r = random.Random(width)
+    rows = [(j, t, t, r.choice([*jobs.MOVES, "unknown", None])) for j in range(12) for t in range(r.randrange(1, 60))]
+    want = {}
+    for j, _, _, e in rows:
+        status, retries, applied, ignored = want.get(j, ("pending", 0, 0, 0))
+        move = jobs.MOVES.get(e)
+        if move and status in move[0]:
+            status, retries, applied = move[1], 0 if e == "retry" else retries + (e == "retry_later"), applied + 1
+        else:
+            ignored += 1
+        want[j] = status, retries, applied, ignored
+    df = spark.createDataFrame(rows, "job_id int, ts int, seq int, event string")
+    assert {x["job_id"]: tuple(x)[1:] for x in jobs.fold(df, slot=F.floor(F.col("ts") / width)).collect()} == want
+    assert {x["job_id"]: tuple(x)[1:] for x in jobs.fold(df).collect()} == want
