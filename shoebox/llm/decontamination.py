@@ -23,7 +23,7 @@ and items from meeting one another. With radius=None every window of step 2 is v
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window; null
 ids of documents and items are kept; repeated rows with equal id and text give one result; texts with one item_id are
 items of their own, of which a document's best is reported, and texts without an item_id are reported each; items
-without words match nothing; empty tables give an empty result; other columns are not read.
+without words match nothing; very long texts are searched whole, anchor by anchor, within the row; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ rule. A policy is a named version with a mask of the rules it enforces; `apply_p
 `ablations` work on the stored bits alone, so a new policy never reads a text again.
 
 Defined cases: a null or empty text has no words and fails `few_words`; a null doc_id is kept as it
-is; repeated rows are judged each by itself; an empty table gives an empty ledger. Input columns
+is; repeated rows are judged each by itself; very long texts are measured whole, within the row; an empty table gives an empty ledger. Input columns
 other than the id and the text are not read, so their names cannot clash.
 """
 

@@ -14,7 +14,7 @@ Tokenizing is done by repeated pieces (piece_encoder). Every text is encoded who
 through memory in parts of a few megabytes.
 
 Defined cases: null and empty texts have the end id only; null ids come first; documents with equal
-ids are ordered by their text; an empty table gives an empty store; other columns are not read.
+ids are ordered by their text, and rows that are equal in both are documents each, in any order; an empty table gives an empty store; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ an equi-join on host suffixes (one row per label of the host), so neither side i
 
 Defined cases: a null URL, or one without '://', has empty host and path, fits no rule, and is no node:
 it is allowed; repeated rows are judged alike; null html has no edges; a tie of rules of equal
-length goes to allow; an empty table gives an empty result; other columns are not read.
+length goes to allow; URLs and html of any length are read whole (a host of many labels has a row for each); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

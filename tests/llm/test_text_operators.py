@@ -460,3 +460,10 @@ def test_radius_loses_nothing_at_the_threshold(spark):
         rows.append((own[:45], own[5:]))  # 40 of 50
     far = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(F.bit_count(decontamination.fingerprint(F.col("a")).bitwiseXOR(decontamination.fingerprint(F.col("b"))))).toPandas().iloc[:, 0]
     assert abs(far.mean() - 64 * p) < 0.7 and far.max() <= decontamination.RADIUS
+
+
+def test_very_long_urls_and_html(spark):
+    rows = spark.createDataFrame([(1, "http://" + "a." * 300 + "example.org/en/1" + "x" * 200_000, None), (2, "http://q.com/de/", "<p>" * 300_000 + '<link rel="canonical" href="http://b/' + "y" * 100_000 + '">')], "page_id int, url string, html string")
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    got = {r["id"]: (r["verdict"], r["rule"], len(r["path"])) for r in url_filters.judge(rows, rules, url_filters.link_edges(rows)).collect()}
+    assert got == {1: ("block", "example.org/en/1", 200_005), 2: ("block", "com/de/", 4)}
