@@ -18,7 +18,9 @@ cut into BANDS bands of ROWS values; nodes that agree on a band share a bucket.
    share one of their first n - ceil(0.8 n) + 1. So variants of one text, which have its frequent shingles in common,
    only meet where they share an edit, and a pair only meets at the first shingle that both have. Nodes of the component
    that is the most frequent at a shingle do not meet each other there. How many of their first shingles two nodes share
-   bounds what they share in all.
+   bounds what they share in all. Before all of them meet, a node meets, at each of its first shingles, a few of the component that is
+   the most frequent there, namely those nearest to their leaders, in rounds until no link is found: a large group that belongs together
+   becomes one component by links in proportion to its nodes, and what remains for step 5 is between components.
 5. Every pair that is left is compared, and the links found are united.
 
 Pairs are only dropped where their sizes, the shingles that others have too, their first shingles, or their distances from a
@@ -53,6 +55,8 @@ BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
 #: Ids of candidates (some 100 bytes each in a broadcast) up to which they are broadcast to where the texts are; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
+#: Nodes of a shingle's main component that others meet in a round.
+CENTRAL = 4
 _UNSET = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -125,11 +129,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Distinct pairs (a, b and other columns) with the similarity of their full sets (same), and whether it is enough (near)."""
     s = round(similarity * 10_000)
     pairs = written(pairs, "pairs")
-    one, two = (pairs.select("a", "b", F.col(x).alias("node")).join(sets, "node").select("a", "b", F.col("sh").alias(f"s{x}")) for x in "ab")
+    one, two = (pairs.select(*own, F.col(x).alias("node")).join(sets, "node").select(*own, F.col("sh").alias(f"s{x}")) for x, own in (("a", pairs.columns), ("b", ["a", "b"])))
     both = F.size("sa") + F.size("sb")
-    met = one.join(two, ["a", "b"]).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"), both.cast("long").alias("both"))
-    out = met.select("a", "b", (F.col("o") / (F.col("both") - F.col("o"))).alias("same"), (F.col("o") * (10_000 + s) >= F.col("both") * s).alias("near"))
-    return written(out if pairs.columns == ["a", "b"] else pairs.join(out, ["a", "b"]), "tested")
+    met = one.join(two, ["a", "b"]).select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"), both.cast("long").alias("both"))
+    return written(met.select(*pairs.columns, (F.col("o") / (F.col("both") - F.col("o"))).alias("same"), (F.col("o") * (10_000 + s) >= F.col("both") * s).alias("near")), "tested")
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -190,31 +193,61 @@ def _share_a_band(count: int) -> Column:
     return out
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, pivot: DataFrame, similarity: float, bands: int) -> DataFrame:
-    """(a, b, la, lb): pairs of nodes of different components that share a bucket and can be near, met by their first shingles."""
-    s = round(similarity * 10_000)
+def _prefix_rows(nodes: DataFrame, sets: DataFrame, pivot: DataFrame, similarity: float) -> DataFrame:
+    """A row for each of the first shingles (h, at its place) of a node that several components have, with what is known of the node."""
     rows = written(_first_shingles(nodes, sets, similarity).join(nodes.select("node", "label"), "node"), "first")
     # Only shingles that several components have can bring nodes of different ones together.
-    main = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "main")
-    rows = written(rows.join(written(main, "main"), "h"), "shared_first")
+    rows = written(rows.join(written(_main(rows), "main"), "h").drop("main"), "shared_first")
     lists = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "h")))["h"].alias("first"))
-    rows = written(rows.join(lists, "node").join(nodes.drop("label"), "node").join(pivot, "node", "left"), "first")
-    rest = rows.where("label <> main")
-    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("h", "main")])
-    differ = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    return written(rows.join(lists, "node").join(nodes.drop("label"), "node").join(pivot, "node", "left"), "first")
+
+
+def _main(rows: DataFrame) -> DataFrame:
+    """(h, main): the component that is the most frequent at each shingle that several have."""
+    return rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "main")
+
+
+def _can_be_near(similarity: float, bands: int) -> Column:
+    """Whether two nodes that meet at a first shingle share a bucket, and nothing known of them proves them under the threshold."""
+    s = round(similarity * 10_000)
     # The overlap is at most what either holds of shingles that others have too, and never more than either's size.
-    fits = F.least("held", "held2") * (10_000 + s) >= (F.col("n") + F.col("n2")) * s
+    both = F.col("n") + F.col("n2")
+    fits = F.least("held", "held2") * (10_000 + s) >= both * s
     apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-    # The shingle is the first that both have, so what both hold begins there; the set whose first shingles end earlier
-    # in the order has no others of the other's.
+    # The set whose first shingles end earlier in the order has no others of the other's.
+    most = F.size(F.array_intersect("first", "first2")) + F.greatest(F.col("n") - F.col("k"), F.col("n2") - F.col("k2"))
+    return fits & _share_a_band(bands) & ~apart & (most * (10_000 + s) >= both * s)
+
+
+def _second(rows: DataFrame) -> DataFrame:
+    return rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("h", "main")])
+
+
+def _central_pairs(rows: DataFrame, turn: int, similarity: float, bands: int) -> DataFrame:
+    """(a, b, la, lb): each node with up to CENTRAL nodes of the main component of each of its first shingles, the nearest to their leaders of that shingle's nodes."""
+    rows = rows.join(written(_main(rows), "main"), "h")
+    deal = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRAL))
+    central = rows.where("label = main").groupBy("h", deal.alias("deal")).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("h", "main")]), F.struct(F.coalesce("far", F.lit(1.0)), "node")).alias("x")).select("h", "x.*")
+    met = rows.where("label <> main").join(_second(central), "h").where(_can_be_near(similarity, bands))
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb")).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """(a, b, la, lb): pairs of nodes of different components that share a bucket and can be near, met by their first shingles."""
+    s = round(similarity * 10_000)
+    rows = written(rows.join(written(_main(rows), "main"), "h"), "first")
+    differ = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    # The shingle is the first that both have, so what both hold begins there.
     both, begins = F.col("n") + F.col("n2"), F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    common = F.array_intersect("first", "first2")
-    most = F.size(common) + F.greatest(F.col("n") - F.col("k"), F.col("n2") - F.col("k2"))
-    once = (begins * (10_000 + s) >= both * s) & (common[0] == F.col("h")) & (most * (10_000 + s) >= both * s)
-    met = rest.join(other, "h").where(differ & fits & _share_a_band(bands) & ~apart & once)
+    once = (begins * (10_000 + s) >= both * s) & (F.array_intersect("first", "first2")[0] == F.col("h"))
+    met = rows.where("label <> main").join(_second(rows), "h").where(differ & _can_be_near(similarity, bands) & once)
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
 
 
+def _untested(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    return pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+
 def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
     """df with each label replaced by the component that it is in, if it is in one."""
     return df.join(step.select(F.col("id").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
@@ -282,9 +315,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 4, similarity
     if not left.isEmpty():
         open_ = _linkable(left, sets, similarity)
         open_ = open_.join(nodes.select("node", *_lanes(F.col("bands"), bands)), "node")
-        pairs = _prefix_pairs(open_, sets, pivot, similarity, bands)
-        seen = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        fresh = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+        met = _prefix_rows(open_, sets, pivot, similarity)
+        pair = (F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        seen, turn = tested.select(*pair), 0
+        while True:
+            found = _verified(_untested(_central_pairs(met, turn, similarity, bands), seen), sets, similarity)
+            links = found.where("near")
+            if links.isEmpty():
+                break
+            merged.append(components(links, "la", "lb"))
+            met, seen, turn = written(_relabelled(met, merged[-1]), "first"), seen.unionByName(found.select(*pair)), turn + 1
+        fresh = _untested(_prefix_pairs(met, similarity, bands), seen.unionByName(found.select(*pair)))
         merged.append(components(_verified(fresh, sets, similarity).where("near"), "la", "lb"))
 
     lookup = nodes.select("digest", "id", F.col("node").alias("label"))

@@ -185,3 +185,26 @@ def test_components(spark):
     alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
     out = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: find(x) for x in root if x not in alone}
+
+
+def test_a_large_group_meets_in_proportion_to_its_nodes(spark, monkeypatch):
+    """Variants with one or two of a few edits in common link through one another: of 9,000 pairs only some hundreds are compared."""
+    rng, rows = random.Random(3), []
+    base = [f"t{i}" for i in range(90)]
+    edits = [(at, f"e{at}") for at in range(4, 90, 8)]
+    for k in range(240):
+        own = list(base)
+        for at, word in rng.sample(edits, rng.choice([1, 2, 3, 4])):
+            own[at] = word
+        own[-1 - k % 3] = f"own{k}"
+        rows.append((k, " ".join(own)))
+    tested, real = [], near_dedup._verified
+
+    def counted(pairs, sets, similarity):
+        out = real(pairs, sets, similarity)
+        tested.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    assert got(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(tested) < 10 * len(rows)
