@@ -58,12 +58,17 @@ def _flips(bits: int, radius: int) -> int:
     return sum(math.comb(bits, r) for r in range(radius + 1))
 
 
+def _sides(radius: int) -> tuple[int, int]:
+    """How many bits either hash of a pair flips, so that all values of a block within the radius meet."""
+    return (radius + 1) // 2, radius // 2
+
+
 def schemes(threshold: int) -> dict[int, tuple[int, float]]:
-    """By number of blocks: (probes of a hash, share of the other hashes that it meets if bits are random)."""
+    """By number of blocks: (probes of a hash on both sides, share of the other hashes that it meets if bits are random)."""
     out = {}
     for m in range(1, threshold + 2):
         own = _scheme(threshold, m)
-        probes = sum(_flips(bits, radius) for _, bits, radius in own)
+        probes = sum(_flips(bits, side) for _, bits, radius in own for side in _sides(radius))
         if probes <= PROBES or m == threshold + 1:
             out[m] = probes, sum(_flips(bits, radius) / 2.0**bits for _, bits, radius in own)
     return out
@@ -73,7 +78,8 @@ def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     """(trip_id, a, b, distance): distinct hashes of a trip within the threshold.
 
     The 64 bits are cut into blocks, each with a radius, such that hashes within the threshold are within the radius in one block at
-    least (_scheme): an equi-join of (trip, block, value) with all values that near finds each pair. Few long blocks need many probes
+    least (_scheme). Each side of an equi-join of (trip, block, value) flips up to half of the radius (_sides), which takes far fewer rows than
+    all flips on one side; a pair counts only where the one flips the lowest of the bits that differ and the other the rest. Few long blocks need many probes
     for a hash and meet few others, many short blocks the other way round, so each trip takes the number of
     blocks that costs least for its own number of hashes: a large trip changes nothing for the others. A hash has
     at most PROBES probes. A pair counts only in the first block where it is that near.
@@ -90,13 +96,18 @@ def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
         own = _scheme(threshold, m)
         parts = F.when(F.col("m") == m, F.array(*[F.struct(F.lit(i).alias("block"), cut(F.col("bits"), lo, bits).alias("value")) for i, (lo, bits, _) in enumerate(own)])).otherwise(parts)
         first = F.when(F.col("m") == m, F.coalesce(*[F.when(F.bit_count(cut(differ, lo, bits)) <= radius, F.lit(i)) for i, (lo, bits, radius) in enumerate(own)])).otherwise(first)
-    flips = [(m, i, sum(1 << b for b in places)) for m in known for i, (_, bits, radius) in enumerate(_scheme(threshold, m)) for r in range(radius + 1) for places in combinations(range(bits), r)]
-    probes = nodes.sparkSession.createDataFrame([(m, i, x - (1 << 64) if x >= 1 << 63 else x) for m, i, x in flips], "m int, block int, flip long")  # a few thousand rows
+    def flipped(side: int, limit) -> DataFrame:
+        """(m, block, flip, limit) of each set of bits that this side flips; a few hundred rows."""
+        flips = [(m, i, sum(1 << b for b in places), limit(places, _sides(radius)[side])) for m in known for i, (_, bits, radius) in enumerate(_scheme(threshold, m)) for r in range(_sides(radius)[side] + 1) for places in combinations(range(bits), r)]
+        return F.broadcast(nodes.sparkSession.createDataFrame([(m, i, x - (1 << 64) if x >= 1 << 63 else x, y) for m, i, x, y in flips], "m int, block int, flip long, limit int"))
+
     own = nodes.join(trips, "trip_id").select("trip_id", "m", "bits", "node", F.explode(parts).alias("x")).select("trip_id", "m", "bits", "node", "x.block", "x.value")
-    other = own.select("trip_id", "block", "value", F.col("bits").alias("bits2"), F.col("node").alias("node2"))
-    asked = own.join(F.broadcast(probes), ["m", "block"]).select("trip_id", "m", "bits", "node", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    value = F.col("value").bitwiseXOR(F.col("flip")).alias("value")
+    # The second flips only where the first has flipped its full number of bits, and only bits above them.
+    asked = own.join(flipped(0, lambda places, full: max(places, default=-1) if len(places) == full else 64), ["m", "block"]).select("trip_id", "m", "bits", "node", "block", value, F.col("limit").alias("top"))
+    other = own.join(flipped(1, lambda places, full: min(places, default=99)), ["m", "block"]).select("trip_id", "block", value, F.col("bits").alias("bits2"), F.col("node").alias("node2"), F.col("limit").alias("low"))
     distance = F.bit_count(differ)
-    return asked.join(other, ["trip_id", "block", "value"]).where((F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
+    return asked.join(other, ["trip_id", "block", "value"]).where((F.col("low") > F.col("top")) & (F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
 
 
 def image_hashes(media: DataFrame) -> DataFrame:
@@ -108,16 +119,20 @@ def _nodes(hashes: DataFrame) -> DataFrame:
     return written(hashes.groupBy("trip_id", "bits").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
 
 
-def similar_classes(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def similar_classes(media: DataFrame, threshold: int = THRESHOLD, members: bool = False) -> DataFrame:
     """(trip_id, a, b, distance, n_a, n_b): links between classes of equal hashes, each named by its smallest id, with their sizes.
 
-    A class of several images also has a row of its own (a = b, distance 0). However large the classes, rows grow
-    with the different hashes and their links; image_pairs expands them.
+    A class of several images also has a row of its own (a = b, distance 0, which no link has); with `members`, a row for each of
+    its images (b), so that all pairs of images follow from the rows. However large the classes, rows grow with the images and
+    the links between different hashes; image_pairs expands them.
     """
-    nodes = _nodes(image_hashes(media))
+    rows = image_hashes(media)
+    nodes = _nodes(rows)
     size = nodes.select("trip_id", "node", "n")
     links = near_hashes(nodes, threshold).join(size.toDF("trip_id", "a", "n_a"), ["trip_id", "a"]).join(size.toDF("trip_id", "b", "n_b"), ["trip_id", "b"])
-    own = nodes.where("n > 1").select("trip_id", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    classes = nodes.where("n > 1")
+    classes = rows.join(classes, ["trip_id", "bits"]) if members else classes.withColumn("id", F.col("node"))
+    own = classes.select("trip_id", F.col("node").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
     return links.select("trip_id", "a", "b", "distance", "n_a", "n_b").unionByName(own)
 
 

@@ -195,7 +195,9 @@ p AS (SELECT a.trip_id, a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits))::IN
 
 
 def _hashed(get):
-    return get("hashes").select("id", "trip_id", "type", hashing.text_simhash(F.col("text")).alias("perceptual_hash"), F.lit(None).cast("long").alias("deleted_at"))
+    # Dealt out before the hashes are derived: a file of few row groups would be hashed by as few tasks.
+    texts = get("hashes").select("id", "trip_id", "type", "text").repartition(4 * get.spark.sparkContext.defaultParallelism, "id")
+    return texts.select("id", "trip_id", "type", hashing.text_simhash(F.col("text")).alias("perceptual_hash"), F.lit(None).cast("long").alias("deleted_at"))
 
 
 @query(f"""WITH {_SIM}, n AS (SELECT trip_id, bits, min(id) AS node, count(*) AS n FROM s GROUP BY trip_id, bits)

@@ -235,3 +235,9 @@ def test_fold_by_slots_is_the_fold(spark, width):
     df = spark.createDataFrame(rows, "job_id int, ts int, seq int, event string")
     assert {x["job_id"]: tuple(x)[1:] for x in jobs.fold(df, slot=F.floor(F.col("ts") / width)).collect()} == want
     assert {x["job_id"]: tuple(x)[1:] for x in jobs.fold(df).collect()} == want
+
+
+def test_few_probes_for_a_hash():
+    """Both sides flip half of a radius: three blocks took 718 rows for a hash when one side flipped all."""
+    probes = {m: x for m, (x, _) in dedup.schemes(8).items()}
+    assert probes[3] < 150 and probes[9] == 18
