@@ -201,9 +201,10 @@ def _hashed(get):
 
 
 @query(f"""WITH {_SIM}, n AS (SELECT trip_id, bits, min(id) AS node, count(*) AS n FROM s GROUP BY trip_id, bits)
-SELECT x.trip_id, x.node AS a, y.node AS b, bit_count(xor(x.bits, y.bits))::INT AS distance, x.n AS n_a, y.n AS n_b FROM n x JOIN n y ON x.trip_id = y.trip_id AND (x.node < y.node OR (x.node = y.node AND x.n > 1)) AND bit_count(xor(x.bits, y.bits)) <= 8""")
+SELECT x.trip_id, x.node AS a, y.node AS b, bit_count(xor(x.bits, y.bits))::INT AS distance, x.n AS n_a, y.n AS n_b FROM n x JOIN n y ON x.trip_id = y.trip_id AND x.node < y.node AND bit_count(xor(x.bits, y.bits)) <= 8
+UNION ALL SELECT n.trip_id, n.node, s.id, 0, n.n, n.n FROM n JOIN s ON s.trip_id = n.trip_id AND s.bits = n.bits WHERE n.n > 1""")
 def j9_k1_near_pairs(get):
-    return dedup.similar_classes(_hashed(get))
+    return dedup.similar_classes(_hashed(get), members=True)
 
 
 @query(f"WITH {_SIM} SELECT * FROM p")

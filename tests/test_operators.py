@@ -237,6 +237,14 @@ def test_fold_by_slots_is_the_fold(spark, width):
     assert {x["job_id"]: tuple(x)[1:] for x in jobs.fold(df).collect()} == want
 
 
+def test_classes_with_their_members(spark):
+    rows = spark.createDataFrame([(i, "t", "image", None, f"{h:016x}") for i, h in enumerate([5, 5, 5, 7, 1 << 40, 1 << 40])], "id long, trip_id string, type string, deleted_at string, perceptual_hash string")
+    got = [tuple(x)[1:4] for x in dedup.similar_classes(rows, members=True).collect()]
+    of = {b: a for a, b, d in got if d == 0}
+    pairs = {(min(x, y), max(x, y), d) for a, b, d in got for x in range(6) for y in range(6) if x != y and (of.get(x, x), of.get(y, y)) == ((a, b) if d else (a, a))}
+    assert pairs == {tuple(x)[1:] for x in dedup.image_pairs(rows).collect()} and (0, 2, 0) in pairs
+
+
 def test_few_probes_for_a_hash():
     """Both sides flip half of a radius: three blocks took 718 rows for a hash when one side flipped all."""
     probes = {m: x for m, (x, _) in dedup.schemes(8).items()}
