@@ -146,3 +146,25 @@ def test_store_filters_are_pushed(spark, media_root, monkeypatch):
     assert list(reader.pushFilters([store.In(("trip_id",), ("7", "8")), store.EqualTo(("trip_id",), "8")])) == []
     monkeypatch.setattr(store, "_folders", lambda *a: pytest.fail("listed"))
     assert [p.names for p in reader.partitions()] == [["8"]]  # no folder was listed
+
+
+def test_parts_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, monkeypatch):
+    from shoebox.plans import streams
+    from shoebox.plans.queries import QUERIES
+
+    rows = [(i, f"text {i % 30}", "en", "s", 7) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6).write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(streams, "work_folder", lambda spark: f"file://{tmp_path}/work")
+    key = "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "128m")  # a task for each file
+    try:
+        out = QUERIES["s10_ingested_once"](spark, f"{tmp_path}/in").collect()
+    finally:
+        spark.conf.set(key, old)
+    assert all(len(list((tmp_path / f"work/in/part{i}").glob("*.parquet"))) > 1 for i in range(4))
+    kept = {i: i % 4 for i in range(120) if i % 7}
+    want = {}
+    for i, part in sorted(kept.items(), key=lambda x: (x[1], f"Track {x[0]}.MP3")):
+        want.setdefault(i % 30, [f"Track {i}.MP3", 0, part])[1] += 1
+    assert sorted((r["first_name"], r["files"], r["batch"]) for r in out) == sorted(tuple(w) for w in want.values())
