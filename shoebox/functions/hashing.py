@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def hex_bits(text: Column, digits: int = 16) -> Column:
@@ -23,10 +26,24 @@ def file_hash(content: Column) -> Column:
 
 
 def text_simhash(text: Column) -> Column:
-    """64-bit fingerprint of the distinct lower-cased tokens, as 16 hex digits: a stand-in for an image hash."""
+    """64-bit fingerprint of the distinct lower-cased tokens, as 16 hex digits: a stand-in for an image hash.
+
+    The bits that more than half of the tokens' hashes (the first half of their MD5) have. Texts without tokens and null have none.
+    """
     tokens = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("bigint"))
-    return F.lpad(F.lower(F.hex(F.transform(F.array(hashes), majority)[0])), 16, "0")
+    return _majority_hex(F.unhex(F.array_join(F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 16)), "")))
+
+
+@F.pandas_udf(StringType())
+def _majority_hex(hashes: pd.Series) -> pd.Series:
+    """The bits that more than half of the 8-byte hashes in a row's bytes have, as hex digits; their counts are one sum in numpy."""
+
+    def of(data: bytes | None) -> str:
+        rows = np.frombuffer(data or b"", np.uint8).reshape(-1, 8)
+        ones = sum((np.unpackbits(rows[i : i + 4096], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), 4096)), np.zeros(64, np.int64))
+        return np.packbits(2 * ones > len(rows)).tobytes().hex()
+
+    return pd.Series([of(d) for d in hashes], dtype=object)
 
 
 #: Four lanes of 16 bits in a long; sums of up to LANE_MAX ones leave the top lane positive.

@@ -88,26 +88,27 @@ def near_hashes(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     n = F.col("n_trip")
     cost = F.least(*[F.struct((F.lit(PROBE_COST * probes) + n * share).alias("cost"), F.lit(m).alias("m")) for m, (probes, share) in known.items()]) if len(known) > 1 else F.struct(F.lit(0.0).alias("cost"), F.lit(next(iter(known))).alias("m"))
     trips = nodes.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_trip")).select("trip_id", cost["m"].alias("m"))
-    mask = lambda bits: (1 << bits) - 1 if bits < 64 else -1
-    cut = lambda c, lo, bits: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit(mask(bits)).cast("long"))
-    parts, first = F.lit(None), F.lit(None)
-    differ = F.col("bits").bitwiseXOR(F.col("bits2"))
-    for m in known:
-        own = _scheme(threshold, m)
-        parts = F.when(F.col("m") == m, F.array(*[F.struct(F.lit(i).alias("block"), cut(F.col("bits"), lo, bits).alias("value")) for i, (lo, bits, _) in enumerate(own)])).otherwise(parts)
-        first = F.when(F.col("m") == m, F.coalesce(*[F.when(F.bit_count(cut(differ, lo, bits)) <= radius, F.lit(i)) for i, (lo, bits, radius) in enumerate(own)])).otherwise(first)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    mask = lambda bits: signed((1 << bits) - 1)
+
     def flipped(side: int, limit) -> DataFrame:
-        """(m, block, flip, limit) of each set of bits that this side flips; a few hundred rows."""
-        flips = [(m, i, sum(1 << b for b in places), limit(places, _sides(radius)[side])) for m in known for i, (_, bits, radius) in enumerate(_scheme(threshold, m)) for r in range(_sides(radius)[side] + 1) for places in combinations(range(bits), r)]
-        return F.broadcast(nodes.sparkSession.createDataFrame([(m, i, x - (1 << 64) if x >= 1 << 63 else x, y) for m, i, x, y in flips], "m int, block int, flip long, limit int"))
+        """(m, block, lo, mask, flip, limit) of each set of bits that this side flips; a few hundred rows."""
+        flips = [(m, i, lo, mask(bits), signed(sum(1 << b for b in places)), limit(places, _sides(radius)[side])) for m in known for i, (lo, bits, radius) in enumerate(_scheme(threshold, m)) for r in range(_sides(radius)[side] + 1) for places in combinations(range(bits), r)]
+        return F.broadcast(nodes.sparkSession.createDataFrame(flips, "m int, block int, lo int, mask long, flip long, limit int"))
 
-    own = nodes.join(trips, "trip_id").select("trip_id", "m", "bits", "node", F.explode(parts).alias("x")).select("trip_id", "m", "bits", "node", "x.block", "x.value")
-    value = F.col("value").bitwiseXOR(F.col("flip")).alias("value")
+    # Blocks and flips are rows, not branches: an expression with a branch for each scheme is too large for Spark's compiled code.
+    own = nodes.join(trips, "trip_id").select("trip_id", "m", "bits", "node")
+    value = F.expr("(shiftrightunsigned(bits, lo) & mask) ^ flip").alias("value")
     # The second flips only where the first has flipped its full number of bits, and only bits above them.
-    asked = own.join(flipped(0, lambda places, full: max(places, default=-1) if len(places) == full else 64), ["m", "block"]).select("trip_id", "m", "bits", "node", "block", value, F.col("limit").alias("top"))
-    other = own.join(flipped(1, lambda places, full: min(places, default=99)), ["m", "block"]).select("trip_id", "block", value, F.col("bits").alias("bits2"), F.col("node").alias("node2"), F.col("limit").alias("low"))
+    asked = own.join(flipped(0, lambda places, full: max(places, default=-1) if len(places) == full else 64), "m").select("trip_id", "m", "bits", "node", "block", value, F.col("limit").alias("top"))
+    other = own.join(flipped(1, lambda places, full: min(places, default=99)), "m").select("trip_id", "block", value, F.col("bits").alias("bits2"), F.col("node").alias("node2"), F.col("limit").alias("low"))
+    differ = F.col("bits").bitwiseXOR(F.col("bits2"))
     distance = F.bit_count(differ)
-    return asked.join(other, ["trip_id", "block", "value"]).where((F.col("low") > F.col("top")) & (F.col("node") < F.col("node2")) & (distance <= threshold) & (first == F.col("block"))).select("trip_id", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"))
+    # By value first: rows are sorted by their keys in this order, and the trip tells few of them apart.
+    near = asked.join(other, ["value", "block", "trip_id"]).where((F.col("low") > F.col("top")) & (F.col("node") < F.col("node2")) & (distance <= threshold))
+    before = F.broadcast(nodes.sparkSession.createDataFrame([(m, [(lo, mask(bits), radius) for lo, bits, radius in _scheme(threshold, m)]) for m in known], "m int, own array<struct<lo: int, mask: long, radius: int>>"))
+    near = near.select("trip_id", "m", "block", F.col("node").alias("a"), F.col("node2").alias("b"), distance.alias("distance"), differ.alias("differ")).join(before, "m")
+    return near.where("not exists(slice(own, 1, block), x -> bit_count(shiftrightunsigned(differ, x.lo) & x.mask) <= x.radius)").select("trip_id", "a", "b", "distance")
 
 
 def image_hashes(media: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Literal cases of the column functions and kernels."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,20 @@ def test_kernels(spark):
     df = spark.createDataFrame([(bytearray(g.tobytes()), 32, 32), (bytearray(b"x"), 32, 32), (None, 1, 1)], "p binary, w int, h int")
     got = df.select(kernels.phash_udf("p"), kernels.sharpness_udf("p", "w", "h"), kernels.colour_udf("p")["r"], kernels.brightness_udf("p")["mean"]).collect()
     assert got[0][0] == kernels.phash(g.ravel()) and got[1][0] is None and got[2][0] is None and got[0][3] == pytest.approx(g.mean())
+
+
+def test_text_hash_counts_in_one_sum(spark):
+    """Equal to counting bit by bit, also for no text, no tokens, and more tokens than a batch of the count."""
+    import hashlib
+
+    words = [f"w{i}" for i in range(9000)]
+    texts = [None, "", " .,; ", "One one ONE", "a b", "äß 漢字 x1", " ".join(words), " ".join(words[:4096])]
+
+    def plain(text):
+        seen = set(re.findall(r"[^\W_]+", (text or "").lower()))
+        own = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in seen]
+        return f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)):016x}"
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", hashing.text_simhash(F.col("text")).alias("h"))
+    assert dict(rows.collect()) == {i: plain(t) for i, t in enumerate(texts)}
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no pass over the tokens for each lane of bits

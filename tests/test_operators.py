@@ -213,6 +213,15 @@ def test_near_hashes_of_small_and_large_trips(spark, threshold):
         assert {tuple(x) for x in dedup.near_hashes(nodes, threshold, blocks=m).collect()} == want
 
 
+def test_near_hashes_have_no_branch_per_scheme(spark):
+    """Blocks come by a join: an expression with a branch for each scheme and block exceeds what Spark compiles well."""
+    nodes = spark.createDataFrame([("t", 1, 1), ("t", 3, 2)], "trip_id string, bits long, node long")
+    found = dedup.near_hashes(nodes)
+    assert [tuple(x) for x in found.collect()] == [("t", 1, 2, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") < 10  # 42 radii of blocks are in a table
+
+
 def test_classes_of_equal_hashes(spark):
     rows = spark.createDataFrame([(i, "t", "image", None, f"{h:016x}") for i, h in enumerate([5] * 50 + [7, 1 << 40])], "id long, trip_id string, type string, deleted_at string, perceptual_hash string")
     got = sorted(tuple(x) for x in dedup.similar_classes(rows).collect())
