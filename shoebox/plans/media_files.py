@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exif, media as M, mp4
 from .blobs import box, data, text, u
-from .queries import query
+from .queries import dealt, query
 
 
 def camera_blob():
@@ -38,14 +38,14 @@ _GOOD = "o_orderkey % 11 NOT IN (0, 1, 2, 3)"
  round(CASE WHEN {_GOOD} THEN (o_orderkey % 90 + o_orderkey % 60 / 60.0 + o_orderkey % 600 / 36000.0) * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END END, 9) AS latitude,
  round(CASE WHEN {_GOOD} THEN -(o_orderkey % 180 + o_orderkey % 60 / 60.0 + 0.5 / 3600) END, 9) AS longitude FROM orders""")
 def s12_camera_fields(get):
-    got = get("orders").select(F.col("o_orderkey").alias("id"), camera_blob().alias("content")).select("id", exif.camera_fields(F.col("content")).alias("f"))
+    got = dealt(get, get("orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(F.col("o_orderkey").alias("id"), camera_blob().alias("content")).select("id", exif.camera_fields(F.col("content")).alias("f"))
     r9 = lambda n: F.round(f"f.{n}", 9).alias(n)
     return got.select("id", "f.make", "f.orientation", "f.iso", "f.taken", r9("exposure"), r9("aperture"), r9("latitude"), r9("longitude"))
 
 
 @query(f"SELECT o_orderkey AS id, CASE WHEN {_GOOD} AND o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE '2001-02-03 04:05:06' END AS captured FROM orders")
 def s12_k13_captured_from_bytes(get):
-    got = get("orders").select(F.col("o_orderkey").alias("id"), exif.camera_fields(camera_blob()).alias("f"))
+    got = dealt(get, get("orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(F.col("o_orderkey").alias("id"), exif.camera_fields(camera_blob()).alias("f"))
     meta = F.to_json(F.struct(F.col("f.taken").alias("DateTimeOriginal")))
     return got.select("id", F.date_format(M.captured_at(meta, F.lit("2001-02-03 04:05:06").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss").alias("captured"))
 

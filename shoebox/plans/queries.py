@@ -194,9 +194,13 @@ s AS (SELECT h.id, h.trip_id, coalesce(sum(CASE WHEN one THEN (1::UBIGINT << k)
 p AS (SELECT a.trip_id, a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM s a JOIN s b ON a.trip_id = b.trip_id AND a.id < b.id WHERE bit_count(xor(a.bits, b.bits)) <= 8)"""
 
 
+def dealt(get, rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in as many tasks as the cluster runs, before something costly is derived: a file of few row groups would be read by as few tasks."""
+    return rows.repartition(4 * get.spark.sparkContext.defaultParallelism, *keys)
+
+
 def _hashed(get):
-    # Dealt out before the hashes are derived: a file of few row groups would be hashed by as few tasks.
-    texts = get("hashes").select("id", "trip_id", "type", "text").repartition(4 * get.spark.sparkContext.defaultParallelism, "id")
+    texts = dealt(get, get("hashes").select("id", "trip_id", "type", "text"), "id")
     return texts.select("id", "trip_id", "type", hashing.text_simhash(F.col("text")).alias("perceptual_hash"), F.lit(None).cast("long").alias("deleted_at"))
 
 
@@ -1008,7 +1012,8 @@ def k32_final_reasons(get):
     n, b = F.col("l_linenumber"), F.col("l_discount") * 5
     raw = F.concat(F.lit('{"blur":{"classification":"sharp","laplacianVariance":'), (b * 100).cast("string"), F.lit('},"color":{"colorCast":"warm","labels":["a","b"]}}'))
     reason = T.final_reason(b, b, F.when(n % 2 == 0, F.col("l_tax") * 4), F.when(n % 3 == 0, F.col("l_discount") * 8), raw)
-    return get("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
+    rows = dealt(get, get("lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_orderkey")
+    return rows.select("l_orderkey", "l_linenumber", reason.alias("reason"))
 
 
 @query("""WITH r AS (SELECT id, job_type, retry_count, media_id FROM jobs WHERE status = 'running'),

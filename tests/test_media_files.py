@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from shoebox.plans.queries import QUERIES
 from shoebox.functions import exif, mp4
 
 
@@ -100,3 +101,9 @@ def test_files_are_read_in_ranges(spark, tmp_path):
     assert set(got) == {"large.mp4", "small.mp4", "broken.mp4"}
     assert got["large.mp4"]["duration"] == got["small.mp4"]["duration"] == 10.0 and got["large.mp4"]["bytes_read"] < 1000 and got["large.mp4"]["length"] > 6_000_000_000
     assert got["broken.mp4"]["duration"] is None
+
+
+@pytest.mark.parametrize("name", ["s12_camera_fields", "s12_k13_captured_from_bytes", "k32_final_reasons"])
+def test_rows_are_dealt_out_before_costly_work(spark, sf, name):
+    """A table in one file of one row group is one task's to read, not to work on."""
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
