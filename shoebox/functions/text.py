@@ -137,8 +137,17 @@ def segment_path(trip: Column, media: Column, segment: Column) -> Column:
 
 
 def _plain(x: Column, digits: int) -> Column:
-    """A number to so many places, without zeros at the end."""
-    return F.when(x.isNotNull(), F.regexp_replace(F.format_string(f"%.{digits}f", round_to(x, digits)), r"\.?0+$", ""))
+    """A number to so many places, without zeros at the end.
+
+    Written from whole numbers; a formatter and a pattern, which take many times as long, serve only what has no such form.
+    """
+    f = 10**digits
+    scaled = F.floor(x.cast("double") * float(f) + 0.5)
+    part = F.abs(scaled) % f
+    whole = F.concat(F.when(scaled < 0, "-").otherwise(""), F.call_function("div", F.abs(scaled), F.lit(f)).cast("string"))
+    text = F.when(part == 0, whole).otherwise(F.concat(whole, F.lit("."), F.rtrim(F.lpad(part.cast("string"), digits, "0"), F.lit("0"))))
+    other = F.regexp_replace(F.format_string(f"%.{digits}f", round_to(x, digits)), r"\.?0+$", "")
+    return F.when(F.abs(x.cast("double")) < 1e15 / f, text).when(x.isNotNull(), other)
 
 
 def segment_reason(blur: Column, black: Column, quality: Column, waste: Column, keyframes: Column, recommended: Column) -> Column:
@@ -154,8 +163,17 @@ WEIGHTS = {"blur": 0.45, "exposure": 0.35, "color": 0.2}
 
 
 def final_reason(quality: Column, blur: Column, exposure: Column, color: Column, raw: Column) -> Column:
-    """The final quality with what each dimension said (labels from the raw JSON, '?' where it has none), the weights as set and as normalised, and the dimensions left out."""
+    """The final quality with what each dimension said (labels from the raw JSON, '?' where it has none), the weights as set and as normalised, and the dimensions left out.
+
+    The JSON is parsed once for a row, and the text is made within a lambda: as plain expressions, the parse and each number would stand
+    many times in one method, which gets too large for the JVM to compile.
+    """
     got = F.from_json(raw, "blur struct<classification:string,laplacianVariance:double>, exposure struct<exposureLabel:string,meanBrightness:double>, color struct<colorCast:string,labels:array<string>>")
+    row = F.struct(*[c.alias(n) for n, c in (("quality", quality), ("blur", blur), ("exposure", exposure), ("color", color), ("got", got))])
+    return F.transform(F.array(row), lambda r: _final_reason(r["quality"], r["blur"], r["exposure"], r["color"], r["got"]))[0]
+
+
+def _final_reason(quality: Column, blur: Column, exposure: Column, color: Column, got: Column) -> Column:
     score = {"blur": blur, "exposure": exposure, "color": color}
     label = lambda x: F.coalesce(x, F.lit("?"))
     more = lambda name, x: F.coalesce(F.concat(F.lit(f", {name}="), _plain(x, 2)), F.lit(""))

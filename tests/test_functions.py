@@ -120,3 +120,16 @@ def test_text_hash_counts_in_one_sum(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", hashing.text_simhash(F.col("text")).alias("h"))
     assert dict(rows.collect()) == {i: plain(t) for i, t in enumerate(texts)}
     assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no pass over the tokens for each lane of bits
+
+
+def test_plain_numbers_and_final_reasons_in_one_parse(spark):
+    """The short way to write a number equals the formatter; the JSON is parsed once for a row, outside any method of compiled code."""
+    xs = [0.0, -0.0, 1.0, 0.45, 100.0, -0.0004, -0.0006, -1.5, 2.0005, 1e7, 123456789.125, 1e12, 1e20, float("nan"), float("inf"), None, 0.1 + 0.2, 999.9996]
+    old = lambda d: F.regexp_replace(F.format_string(f"%.{d}f", N.round_to(F.col("x"), d)), r"\.?0+$", "")
+    for d in (2, 3):
+        got = values(spark, [(x,) for x in xs], "x double", T._plain(F.col("x"), d), F.when(F.col("x").isNotNull(), old(d)))
+        assert [a for a, _ in got] == [b for _, b in got]
+    reason = T.final_reason(F.col("q"), F.col("q"), F.col("e"), F.lit(None).cast("double"), F.col("raw"))
+    df = spark.createDataFrame([(0.5, 0.25, '{"exposure":{"exposureLabel":"dark","meanBrightness":7}}'), (None, None, "{broken")], "q double, e double, raw string").select(reason.alias("r"))
+    assert [r[0] for r in df.collect()] == ["final quality 0.5 — blur=0.5 [?] | exposure=0.25 [dark, mean=7] | weights blur=0.45→0.563 exposure=0.35→0.437 (skipped: color)", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
