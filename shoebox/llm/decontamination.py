@@ -11,7 +11,8 @@ similarity of at least 0.8 with the item; the weight of a shingle is how often i
    loses nothing either.
 3. Each window over an anchor of a pair that is left gets a 64-bit SimHash (64 counters, four to a long in lanes of 16
    bits), as the item has. Fingerprints are cut into BLOCKS blocks; those within RADIUS of one another are within
-   floor(RADIUS / BLOCKS) in one of the blocks, so looking up the blocks first misses none within the radius.
+   floor(RADIUS / BLOCKS) in one of the blocks. So an index holds each item under all values that near to its own, block by
+   block (block_index), and windows meet it by a join on item, block and value (looked_up), which misses none within the radius.
 4. The windows found are verified with the exact weighted similarity, within the pair's row. Where both sides repeat
    shingles, each is hashed with its occurrence number (numbered), so that the weighted similarity is that of sets.
 
@@ -28,6 +29,8 @@ without words match nothing; very long texts are searched whole, anchor by ancho
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +39,9 @@ from ..functions.hashing import majority
 
 N = 5
 SIMILARITY = 0.8
-RADIUS, BLOCKS = 31, 4
-#: Anchor rows up to which they are broadcast; beyond, Spark shuffles.
+#: Blocks of four bits, in which a radius of one is five values; fewer blocks would take thousands of values for an item.
+RADIUS, BLOCKS = 31, 16
+#: Rows of anchors or of the index of blocks up to which they are broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 
 
@@ -70,17 +74,45 @@ def fingerprint(window: Column) -> Column:
     return let(window, majority)
 
 
+def _cuts(blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, mask) of each block."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [(lo, hi - lo, (1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _block(x: Column, lo: int, mask: int) -> Column:
+    return F.shiftrightunsigned(x, lo).bitwiseAND(F.lit(mask).cast("bigint"))
+
+
+def first_near(differ: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+    """The first block in which no more than floor(radius / blocks) bits differ; null if there is none."""
+    near = [F.when(F.bit_count(_block(differ, lo, mask)) <= radius // blocks, i) for i, (lo, _, mask) in enumerate(_cuts(blocks))]
+    return F.coalesce(*near)
+
+
 def within(a: Column, b: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
     """Whether two fingerprints are within the radius: near in a block, then counted in full."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return let(a.bitwiseXOR(b), lambda x: first_near(x, radius, blocks).isNotNull() & (F.bit_count(x) <= radius))
+
 
-    def of(x: Column) -> Column:
-        near = F.lit(False)
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            near = near | (F.bit_count(F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1))) <= radius // blocks)
-        return near & (F.bit_count(x) <= radius)
+def block_index(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(item, block, value, item_fp): each item (item, item_fp) under every value of a block within floor(radius / blocks) bits of its own."""
+    flips = [(i, lo, mask, sum(1 << b for b in places)) for i, (lo, bits, mask) in enumerate(_cuts(blocks)) for r in range(radius // blocks + 1) for places in combinations(range(bits), r)]
+    flips = [(i, lo, mask, flip - (1 << 64) if flip >> 63 else flip) for i, lo, mask, flip in flips]
+    every = F.broadcast(items.sparkSession.createDataFrame(flips, "block int, lo int, mask long, flip long"))
+    return items.crossJoin(every).select("item", "block", F.expr("(shiftrightunsigned(item_fp, lo) & mask) ^ flip").alias("value"), "item_fp")
 
-    return let(a.bitwiseXOR(b), of)
+
+def looked_up(windows: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The windows (item, fp and other columns) whose fingerprint is within the radius of their item's, found by a join on the values of blocks.
+
+    A window that is near in several blocks is kept in the first of them only, so it comes once.
+    """
+    own = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), lo, mask).alias("value")) for i, (lo, _, mask) in enumerate(_cuts(blocks))])
+    probes = windows.select("*", F.explode(own).alias("b")).select(*windows.columns, "b.block", "b.value")
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    met = probes.join(index, ["item", "block", "value"]).where((first_near(differ, radius, blocks) == F.col("block")) & (F.bit_count(differ) <= radius))
+    return met.select(*windows.columns)
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -134,13 +166,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
     # Repeats only count twice where both sides have them.
     plain = F.size(F.array_distinct("item_sh")) == F.size("item_sh")
-    held = held.select("doc_key", "id", "item", "item_id", "m", "sh", "item_set", plain.alias("plain"), starts.alias("starts"), fingerprint(F.col("item_set")).alias("item_fp") if radius is not None else F.lit(None).alias("item_fp"))
+    held = held.select("doc_key", "id", "item", "item_id", "m", "sh", "item_set", plain.alias("plain"), starts.alias("starts"))
+
+    if radius is not None:
+        held = written(held, "held")  # read for the fingerprints and for the exact check
+        windows = held.select("doc_key", "item", "m", "sh", F.explode("starts").alias("start"))
+        windows = windows.select("doc_key", "item", "start", fingerprint(numbered(F.slice("sh", F.col("start") + 1, F.col("m")))).alias("fp"))
+        index = written(block_index(prepared.select("item", fingerprint(F.col("set")).alias("item_fp")), radius), "index")
+        if index.count() <= BROADCAST_ROWS:
+            index = F.broadcast(index)
+        near = looked_up(windows, index, radius).groupBy("doc_key", "item").agg(F.collect_list("start").alias("starts"))
+        held = held.drop("starts").join(near, ["doc_key", "item"])
 
     def of(start: Column) -> Column:
         window = F.slice("sh", start + 1, F.col("m"))
         same = F.when(F.col("plain"), F.size(F.array_intersect(window, F.col("item_set")))).otherwise(F.size(F.array_intersect(numbered(window), F.col("item_set")))).cast("double")
-        if radius is not None:
-            same = F.when(within(fingerprint(numbered(window)), F.col("item_fp"), radius), same).otherwise(F.lit(0.0))
         return let(same, lambda o: F.struct((o / (F.least(F.size("sh"), F.col("m")) + F.col("m") - o)).alias("similarity"), (-start).alias("neg")))
 
     scored = held.withColumn("b", F.array_max(F.transform("starts", of))).where(F.col("b.similarity") >= similarity - 1e-12)

@@ -447,6 +447,29 @@ def test_fingerprints_and_blocks(spark):
         assert [r[0] for r in got] == [(a ^ b).bit_count() <= radius for a, b in pairs]
 
 
+@pytest.mark.parametrize("radius, blocks", [(decontamination.RADIUS, decontamination.BLOCKS), (31, 32), (12, 4), (5, 3)])
+def test_windows_are_looked_up_by_blocks(spark, radius, blocks):
+    """The join on values of blocks finds each window within the radius of its item once, and no other."""
+    rng = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(i, rng.getrandbits(64)) for i in range(12)]
+    windows = [(w, i, fp ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 45)))) for w, (i, fp) in enumerate(items * 40)]
+    index = decontamination.block_index(spark.createDataFrame([(i, signed(fp)) for i, fp in items], "item long, item_fp long"), radius, blocks)
+    asked = spark.createDataFrame([(w, i, signed(fp)) for w, i, fp in windows], "start int, item long, fp long")
+    got = sorted(r["start"] for r in decontamination.looked_up(asked, index, radius, blocks).collect())
+    assert got == [w for w, i, fp in windows if (fp ^ items[i][1]).bit_count() <= radius]
+
+
+def test_leaks_come_through_the_index_of_blocks(spark, monkeypatch):
+    rows, items = [(1, " ".join(f"a{i}" for i in range(40)))], [(5, " ".join(f"a{i}" for i in range(5, 35)))]
+    docs, its = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination.decontaminate(docs, its).count() == 1
+    whole = decontamination.block_index
+    monkeypatch.setattr(decontamination, "block_index", lambda *a, **k: whole(*a, **k).limit(0))
+    assert decontamination.decontaminate(docs, its).count() == 0
+    assert decontamination.decontaminate(docs, its, radius=None).count() == 1
+
+
 def test_radius_loses_nothing_at_the_threshold(spark):
     """Windows at exactly 0.8, in number: all within the radius; bits differ as reckoned."""
     from math import acos, comb, pi
