@@ -15,13 +15,26 @@ DAY = 86_400_000
 PARTS, LATE_DAYS, TIMEOUT, BASE, LONGEST, MOST = 6, 1, 2 * DAY, DAY // 4, DAY, 3
 
 
-def arrivals(events: DataFrame, folder: str) -> None:
-    """Writes events as files in order of arrival: sixths of their time span, but each fortieth event comes two files late."""
+FILE_ROWS = 250_000
+
+
+def arrivals(events: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> int:
+    """Writes events in order of arrival: sixths of their time span, but each fortieth event comes two parts late.
+
+    Returns the number of files in each part, which is the same for all and grows with the smallest part, so that no file of a part is empty
+    and missing, and a stream that takes as many files at a time takes part by part.
+    """
     low, high = events.agg(F.min("ms"), F.max("ms")).first()
     part = F.floor((F.col("ms") - low) * PARTS / (high - low + 1))
     part = F.when(F.col("event_id") % 40 == 0, F.least(part + 2, F.lit(PARTS - 1))).otherwise(part)
+    sizes = {r["part"]: r["n"] for r in events.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(1, min(sizes.get(i, 0) for i in range(PARTS)) // file_rows)
     for i in range(PARTS):  # one after the other: a file stream reads in order of modification time
-        events.where(part == i).coalesce(1).write.parquet(f"{folder}/part{i}")
+        rows = events.where(part == i)
+        # Dealt out by event: with so many rows a file, none is left without any.
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.option("maxRecordsPerFile", 0).parquet(f"{folder}/part{i}")
+    return files
 
 
 _KIND = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'heartbeat' END"
@@ -42,8 +55,8 @@ def q5_q6_supervised_stream(get):
     spark, kind = get.spark, F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "succeed").otherwise("heartbeat")
     events = get("events").select("event_id", (F.col("user_id") * 3 + F.col("event_id") % 3).alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event")).withColumn("ms", F.unix_millis("ts"))
     folder = work_folder(spark)
-    arrivals(events, f"{folder}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    files = arrivals(events, f"{folder}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     with timers.state_on_disk(spark):
         found = timers.supervised(source, f"{LATE_DAYS} days", TIMEOUT, BASE, LONGEST, MOST, forget_ms=1000 * DAY)
         found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()

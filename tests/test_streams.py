@@ -1,11 +1,13 @@
 """Supervised jobs, ingest that applies once, and the media store's source, on small made input."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from shoebox.plans import streams
 from shoebox.sources import store
 from shoebox.streaming import ingest, timers
 
@@ -55,6 +57,27 @@ def test_jobs_at_rest_are_forgotten(spark, tmp_path):
     assert (1, 3, "failed", 3) in got and (1, 525, "retry_due", 1) in got  # a new job of that name begins anew
 
 
+def test_jobs_of_one_bucket_do_not_mix(spark, tmp_path):
+    rng = random.Random(3)
+    events = [(j, m, rng.choice(["start", "heartbeat", "fail", "succeed"])) for j in range(1, 30) for m in sorted(rng.sample(range(0, 400), rng.randrange(1, 9)))]
+    batches = [[e for e in events if e[1] // 100 == i] for i in range(4)] + [[(99, 900, "start")]]
+    got = {b: supervised(spark, tmp_path / str(b), batches, buckets=b) for b in (1, 5, 4096)}
+    assert got[1] == got[5] == got[4096] and len(got[1]) > 40
+
+
+def test_parts_of_several_files_arrive_part_by_part(spark, tmp_path):
+    """Each part has the number of files that is told, none empty, and holds its own events only."""
+    events = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("job_id"), F.timestamp_millis("id").alias("ts"), F.lit("start").alias("event"), F.col("id").alias("ms"))
+    files = streams.arrivals(events, str(tmp_path / "in"), file_rows=300)
+    assert files == 3
+    seen = []
+    for i in range(streams.PARTS):
+        part = spark.read.parquet(f"{tmp_path}/in/part{i}")
+        assert len(part.inputFiles()) == files and all(spark.read.parquet(f).count() for f in part.inputFiles())
+        seen += [(r["event_id"], i) for r in part.select("event_id").collect()]
+    assert sorted(seen) == [(e, min(e // 1000 + 2 * (e % 40 == 0), 5)) for e in range(6000)]
+
+
 class Lost(Exception):
     pass
 
