@@ -71,6 +71,55 @@ def test_ranking(spark):
     assert ranks(spark, [member("a", 0.5, size=10), member("b", 0.5, size=20)])[0] == ["b", "a"]
 
 
+def ranks_by_loops(rows):
+    """(group_id, media_id, rank), class by class and score by score."""
+
+    def ordered(rows, scores):
+        if not scores:
+            return sorted(rows, key=lambda r: (-(r["resolution"] or 0), -(r["file_size"] or 0), r["created_at"] is None, r["created_at"] or "", r["media_id"]))
+        left, out = sorted((r for r in rows if r[scores[0]] is not None), key=lambda r: -r[scores[0]]), []
+        while left:
+            tied = [r for r in left if not left[0][scores[0]] - r[scores[0]] > 0.01]
+            out, left = out + ordered(tied, scores[1:]), left[len(tied) :]
+        none = [r for r in rows if r[scores[0]] is None]
+        return out + (ordered(none, scores[1:]) if none else [])
+
+    groups = {g: [r for r in rows if r["group_id"] == g] for g in {r["group_id"] for r in rows} - {None}}
+    return sorted((g, r["media_id"], i) for g, of in groups.items() for i, r in enumerate(ordered(of, ["quality", "sharpness", "exposure", "color"])))
+
+
+def test_ranking_within_tasks_and_across_them(spark):
+    """Members are computed once, small groups are shuffled once, and large groups come out the same way (bounds between sizes and at 0)."""
+    rng = random.Random(5)
+    score = lambda: rng.choice([None, 0.5, 0.505, 0.51, 0.515, 0.52, 0.53, 0.9, round(rng.random(), 4)])
+    rows = [
+        member(f"m{i:03d}", score(), score(), score(), rng.choice([None, 1, 2]), group_id=g, exposure=score(), file_size=rng.choice([None, 3]), created_at=rng.choice([None, "2020", "2021"]))
+        for i, g in enumerate(["a"] * 90 + ["b"] * 30 + ["c"] * 7 + ["d", None, None])
+    ]
+    names, seen = [c.split()[0] for c in RANKED.split(", ")], spark.sparkContext.accumulator(0)
+
+    def ticked(x):
+        seen.add(1)
+        return x
+
+    made = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], RANKED)
+    got = ranking.ranked_duplicates(made.withColumn("quality", F.udf(ticked, "double")("quality")))
+    all_rows = sorted(map(tuple, got.collect()))
+    assert [r[:3] for r in all_rows] == ranks_by_loops(rows)
+    assert seen.value == len(rows) - 2  # those without a group are left out first
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    for within in (40, 0):
+        assert sorted(map(tuple, ranking.ranked_duplicates(made, within=within).collect())) == all_rows
+
+
+def test_reasons_write_numbers_as_the_formatter_does(spark):
+    xs = [0.0, -0.0, 0.5, 0.0004, -0.0006, 1.0, 100.0, 999.9996, 2.0005, 1e7, 1e13, float("inf"), float("nan"), None]
+    x = F.col("x")
+    old = F.when(x.isNull(), "n/a").otherwise(F.regexp_replace(F.format_string("%.3f", F.floor(x * 1000 + 0.5) / 1000), r"\.?0+$", ""))
+    got = spark.createDataFrame([(v,) for v in xs], "x double").select(ranking._say(x).alias("a"), old.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
 def test_gap_is_strict(spark):
     rows = [("t", i, f"2024-01-01 10:{m:02d}:00") for i, m in enumerate((0, 15, 31))]
     df = spark.createDataFrame(rows, "trip_id string, id int, t string").withColumn("captured_at", F.col("t").cast("timestamp"))
